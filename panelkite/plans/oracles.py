@@ -51,7 +51,9 @@ def _sql(ctes: str, keep: str, values: dict[str, str], source: str, dp: int = 4,
 
 
 def _dp(name: str, dp: int) -> int:
-    return max(dp, 6) if "spend" in name else dp
+    if "spend" in name or "deviation" in name:
+        return max(dp, 6)
+    return min(dp, 3) if "ewm" in name else dp
 
 
 def _frame(n: int) -> str:
@@ -420,7 +422,7 @@ ORACLES["weekday_summary"] = _sql(
 ORACLES["month_quarter_profile"] = f"""WITH {_PANEL},
 u AS (SELECT c_mktsegment, 'month' AS level, CAST(month(date) AS BIGINT) AS period, avg(daily_sales) AS m FROM p GROUP BY 1, 3
       UNION ALL SELECT c_mktsegment, 'quarter', CAST(quarter(date) AS BIGINT), avg(daily_sales) FROM p GROUP BY 1, 3)
-SELECT c_mktsegment, level, period, round(m, 4) AS mean,
+SELECT c_mktsegment, level, period, round(m, 6) AS mean,
        CAST(row_number() OVER (PARTITION BY c_mktsegment, level ORDER BY m DESC, period) = 1 AS BIGINT) AS is_best,
        CAST(row_number() OVER (PARTITION BY c_mktsegment, level ORDER BY m, period) = 1 AS BIGINT) AS is_worst FROM u"""
 _ON, _OFF = "avg(daily_sales) FILTER (is_holiday = 1)", "avg(daily_sales) FILTER (is_holiday = 0)"

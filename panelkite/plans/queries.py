@@ -33,8 +33,8 @@ def query(fn: Query) -> Query:
 
 
 def rounded(df: DataFrame, dp: int = 4) -> DataFrame:
-    """Round doubles; spend lies on a finer grid than sales and gets at least six places, so no value is a tie."""
-    places = lambda c: max(dp, 6) if "spend" in c else dp
+    """Round doubles. Spend and deviations lie on a finer grid and get six places, so no value is a tie."""
+    places = lambda c: max(dp, 6) if "spend" in c or "deviation" in c else min(dp, 3) if "ewm" in c else dp
     return df.select(*[F.round(c, places(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
@@ -398,7 +398,7 @@ def weekday_summary(spark, base):
 @query
 def month_quarter_profile(spark, base):
     out = eda.season_profile(sales(spark, base), SEG)
-    return show(out.withColumns({c: F.col(c).cast("int") for c in ("is_best", "is_worst")}))
+    return show(out.withColumns({c: F.col(c).cast("int") for c in ("is_best", "is_worst")}), 6)
 
 
 @query
