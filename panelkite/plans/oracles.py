@@ -570,3 +570,131 @@ _SEV = """CASE WHEN upper({0}) LIKE '%ERROR%' OR upper({0}) LIKE '%FAIL%' THEN '
 ORACLES["log_severity"] = f"""
 SELECT CAST(ts AS DATE) AS date, {_SEV.format("(event_type || ' ' || props)")} AS severity, count(*) AS lines FROM events GROUP BY 1, 2"""
 ORACLES["document_severity"] = f"SELECT source, {_SEV.format('text')} AS severity, count(*) AS lines FROM documents GROUP BY 1, 2"
+
+# --- models and forecasts --------------------------------------------------------------------
+
+_M10 = {f"lag_{k}": _lag(k) for k in (1, 7, 14, 28)}
+for _s in ("mean", "std"):
+    _M10 |= {f"rolling_{_s}_{n}": f"CASE WHEN count(daily_sales) OVER {_frame(n)} = {n} THEN {_roll(_s, n)} END" for n in (7, 14)}
+_M10 |= {"day_of_week": "CAST(isodow(date) - 1 AS DOUBLE)", "month": "CAST(month(date) AS DOUBLE)",
+         "day_of_year": "CAST(dayofyear(date) AS DOUBLE)", "day_num": f"CAST(row_number() OVER {_W} - 1 AS DOUBLE)"}
+ORACLES["lag_feature_matrix"] = _sql(_PANEL, "c_mktsegment, date", {"daily_sales": "daily_sales"} | _M10, "p")
+ORACLES["robust_sigma"] = f"""WITH {_NAIVE},
+md AS (SELECT c_mktsegment, model_name, median(actual - predicted) AS m FROM n GROUP BY 1, 2)
+SELECT c_mktsegment, model_name, round(1.4826 * median(abs(actual - predicted - m)), 2) AS residual_std
+FROM n JOIN md USING (c_mktsegment, model_name) GROUP BY 1, 2"""
+_FUTURE = "(SELECT c_mktsegment, max(date) AS last_date FROM p GROUP BY 1) CROSS JOIN range(1, {0}) r(i)"
+ORACLES["future_calendar"] = f"""WITH {_PANEL}
+SELECT c_mktsegment, last_date, CAST(last_date + CAST(i AS INT) AS DATE) AS date, i AS day_number FROM {_FUTURE.format(366)}"""
+
+_Z = "1.959963984540054"
+
+
+def _linear_ctes(name: str, weekday: bool) -> str:
+    """Least squares on the position; with weekday effects as the common slope within weekdays."""
+    if weekday:
+        parts = f"""
+{name}_g AS (SELECT c_mktsegment, isodow(date) AS dow, count(*) AS c, sum(pos) AS t, sum(daily_sales) AS y, sum(pos * pos) AS tt,
+                    sum(pos * daily_sales) AS ty FROM x GROUP BY 1, 2),
+{name}_s AS (SELECT c_mktsegment, sum(ty - t * y / c) / sum(tt - CAST(t AS DOUBLE) * t / c) AS slope FROM {name}_g GROUP BY 1),
+{name}_c AS (SELECT c_mktsegment, dow, slope, y / c - slope * t / c AS icpt FROM {name}_g JOIN {name}_s USING (c_mktsegment)),"""
+    else:
+        parts = f"""
+{name}_r AS (SELECT c_mktsegment, regr_slope(daily_sales, pos) AS slope, regr_intercept(daily_sales, pos) AS icpt FROM x GROUP BY 1),
+{name}_c AS (SELECT c_mktsegment, d AS dow, slope, icpt FROM {name}_r CROSS JOIN range(1, 8) w(d)),"""
+    return "," + parts + f"""
+{name}_e AS (SELECT x.c_mktsegment, date, daily_sales AS actual, icpt + slope * pos AS predicted, daily_sales - (icpt + slope * pos) AS r
+             FROM x JOIN {name}_c c ON c.c_mktsegment = x.c_mktsegment AND c.dow = isodow(x.date)),
+{name}_m AS (SELECT c_mktsegment, median(r) AS m FROM {name}_e GROUP BY 1),
+{name}_d AS (SELECT c_mktsegment, 1.4826 * median(abs(r - m)) AS sd FROM {name}_e JOIN {name}_m USING (c_mktsegment) GROUP BY 1),
+{name}_n AS (SELECT c_mktsegment, count(*) AS n, max(date) AS last_date FROM x GROUP BY 1),
+{name}_f AS (SELECT q.c_mktsegment, CAST(last_date + CAST(i AS INT) AS DATE) AS date, i AS day_number, greatest(icpt + slope * (n + i - 1), 0) AS predicted, sd
+             FROM {name}_n q CROSS JOIN range(1, 31) r(i) JOIN {name}_c c ON c.c_mktsegment = q.c_mktsegment AND c.dow = isodow(last_date + CAST(i AS INT))
+             JOIN {name}_d d ON d.c_mktsegment = q.c_mktsegment),
+{name} AS (SELECT c_mktsegment, date, day_number, predicted, greatest(predicted - {_Z} * sd, 0) AS lower_bound, predicted + {_Z} * sd AS upper_bound FROM {name}_f)"""
+
+
+_FC = {c: c for c in ("predicted", "lower_bound", "upper_bound")}
+_PLAIN, _WEEKDAY = _POS + _linear_ctes("f0", False), _POS + _linear_ctes("f1", True)
+_BOTH = _POS + _linear_ctes("f0", False) + _linear_ctes("f1", True) + """,
+bf AS (SELECT *, 'plain' AS model FROM f0 UNION ALL SELECT *, 'weekday' AS model FROM f1)"""
+ORACLES["linear_trend_forecast"] = _sql(_PLAIN, "c_mktsegment, date, day_number, 'linear_trend' AS model", _FC, "f0", 2)
+ORACLES["linear_weekday_forecast"] = _sql(_WEEKDAY, "c_mktsegment, date, day_number, 'linear_trend' AS model", _FC, "f1", 2)
+ORACLES["linear_in_sample"] = _sql(_WEEKDAY, "c_mktsegment, date", {"actual": "actual", "predicted": "predicted"}, "f1_e", 2)
+ORACLES["ensemble_forecast"] = _sql(
+    _BOTH, "c_mktsegment, f0.date, f0.day_number, 'ensemble' AS model", {c: f"0.75 * f0.{c} + 0.25 * f1.{c}" for c in _FC},
+    "f0 JOIN f1 USING (c_mktsegment, date)", 2)
+ORACLES["compare_forecasts"] = _sql(
+    _BOTH, "c_mktsegment, date",
+    {n + s: f"{f}.{c}" for n, f in (("plain", "f0"), ("weekday", "f1"))
+     for s, c in (("", "predicted"), ("_lower", "lower_bound"), ("_upper", "upper_bound"))},
+    "f0 JOIN f1 USING (c_mktsegment, date)", 2)
+ORACLES["pivot_forecasts"] = _sql(
+    _BOTH, "c_mktsegment, date", {"plain": "f0.predicted", "weekday": "f1.predicted"}, "f0 JOIN f1 USING (c_mktsegment, date)", 2)
+ORACLES["forecast_summary"] = _sql(
+    _BOTH, "c_mktsegment, model, count(*) AS n_days",
+    {"total": "sum(predicted)", "mean": "avg(predicted)", "min": "min(predicted)", "max": "max(predicted)",
+     "ci_mean_width": "avg(upper_bound - lower_bound)"}, "bf", 2, "GROUP BY 1, 2")
+ORACLES["forecast_table"] = _sql(
+    _BOTH, "c_mktsegment, model, date, substr(dayname(date), 1, 3) AS weekday",
+    {"predicted": "predicted", "percent_of_mean": "predicted / avg(predicted) OVER (PARTITION BY c_mktsegment, model) * 100",
+     "ci_range": "upper_bound - lower_bound"}, "bf", 2)
+ORACLES["forecast_export"] = _sql(
+    _WEEKDAY, "strftime(date, '%Y-%m-%d') AS date, substr(dayname(date), 1, 3) AS weekday, printf('%.2f', predicted) AS value", {}, "f1")
+ORACLES["history_and_forecast"] = f"""WITH {_WEEKDAY},
+h AS (SELECT c_mktsegment, date, daily_sales, row_number() OVER (PARTITION BY c_mktsegment ORDER BY date DESC) AS r FROM p)
+SELECT c_mktsegment, date, round(daily_sales, 2) AS value, 'history' AS kind FROM h WHERE r <= 60
+UNION ALL SELECT c_mktsegment, date, round(daily_sales, 2), 'anchor' FROM h WHERE r = 1
+UNION ALL SELECT c_mktsegment, date, round(predicted, 2), 'forecast' FROM f1"""
+
+# --- results store ---------------------------------------------------------------------------
+
+_RUN_ID = "c_mktsegment || '-' || model_name AS run_id"
+ORACLES["stored_runs"] = _sql(_TMC, f"c_mktsegment, model_name, {_RUN_ID}", {"test_mape": "test_mape", "test_mae": "mae"}, "tm", 3)
+ORACLES["stored_best_model"] = _sql(_TMC, "c_mktsegment, model_name", {"test_mape": "test_mape"}, "rk", 3, "WHERE rank = 1")
+ORACLES["stored_metrics_table"] = _sql(
+    _TMC, "c_mktsegment, model_name, model_name AS param, CAST(min(test_mape) OVER (PARTITION BY c_mktsegment) <= 20 AS BIGINT) AS target_met",
+    {"test_mape": "test_mape"}, "tm", 3)
+ORACLES["models_with_latest_run"] = _sql(
+    _TMC, "c_mktsegment, k AS model_name", {"test_mape": "test_mape"},
+    "(VALUES ('naive_1'), ('naive_7'), ('absent')) ks(k) LEFT JOIN tm ON model_name = k", 3)
+ORACLES["stored_comparison"] = _sql(
+    _TMC, "c_mktsegment, model_name, rank, 'c1' AS comparison_id", {"test_mape": "test_mape"}, "rk", 3)
+ORACLES["stored_forecast_summary"] = _sql(
+    _BOTH, "c_mktsegment, 'f1' AS forecast_id, model AS model_name, max(day_number) AS n_days, min(date) AS start, max(date) AS end",
+    {"total": "sum(predicted)", "mean": "avg(predicted)", "min": "min(predicted)", "max": "max(predicted)", "std": "stddev_pop(predicted)"},
+    "bf", 2, "GROUP BY c_mktsegment, model")
+ORACLES["stored_forecast_comparison"] = ORACLES["pivot_forecasts"]
+ORACLES["forecast_ids_newest_first"] = "SELECT user_id AS forecast_id, max(ts) AS created_at FROM events GROUP BY 1"
+ORACLES["flattened_insights"] = f"""WITH {_PANEL},
+a AS (SELECT c_mktsegment, count(*) AS days, min(date) AS first, sum(is_holiday) AS hol FROM p GROUP BY 1)
+SELECT c_mktsegment, 'span' AS insight_type, 'days' AS insight_key, CAST(days AS VARCHAR) AS insight_value FROM a
+UNION ALL SELECT c_mktsegment, 'span', 'first', '"' || strftime(first, '%Y-%m-%d') || '"' FROM a
+UNION ALL SELECT c_mktsegment, 'flags', 'holidays', CAST(hol AS VARCHAR) FROM a
+UNION ALL SELECT c_mktsegment, 'flags', 'gaps', 'null' FROM a
+UNION ALL SELECT c_mktsegment, 'category', 'value', '"' || c_mktsegment || '"' FROM a"""
+ORACLES["zipped_learning_curve"] = _sql(
+    _PANEL, "c_mktsegment, CAST(month(date) AS BIGINT) AS iteration",
+    {"train_loss": "avg(daily_sales)", "val_loss": "CASE WHEN month(date) <= 6 THEN avg(daily_sales) END"}, "p", 6,
+    "GROUP BY c_mktsegment, month(date)")
+ORACLES["stripped_parameter_names"] = "SELECT p_partkey, lower(p_brand) AS param FROM part"
+ORACLES["import_and_reload"] = ORACLES["daily_panel_by_segment"]
+
+# --- streams ---------------------------------------------------------------------------------
+
+ORACLES["streamed_sessions"] = """
+WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o
+           FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+b AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a),
+c AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n_events,
+             round(sum(value), 2) AS total_value FROM b GROUP BY user_id, s)
+SELECT user_id, CAST(session_start AS TIMESTAMPTZ) AS session_start, CAST(session_end AS TIMESTAMPTZ) AS session_end, n_events, total_value
+FROM c WHERE session_end <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
+ORACLES["streamed_severity"] = f"""
+SELECT CAST(date_trunc('day', ts) AS TIMESTAMPTZ) AS window_start, {_SEV.format("(event_type || ' ' || props)")} AS severity, count(*) AS lines
+FROM events GROUP BY 1, 2
+HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
+ORACLES["streamed_last_events"] = """
+SELECT event_id, CAST(ts AS TIMESTAMPTZ) AS ts, user_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
+ORACLES["csv_intake"] = ORACLES["daily_panel_by_segment"]

@@ -11,16 +11,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.config import DEFAULT
 from panelkite.functions import calendar as cal
 from panelkite.functions import windows as win
-from panelkite.functions.keys import series_window
-from panelkite.functions.scalars import contains_text
+from panelkite.functions.keys import attach, series_window
+from panelkite.functions.scalars import contains_text, strip_param_prefix
+from panelkite.models import arima, decomposable, ensemble, linear, search, trees
+from panelkite.models import base as base_model
 from panelkite.operators import cleaning, eda, features, metrics, quality, report, reshape, sessions, splits
 from panelkite.operators.quantiles import exact_quantiles
+from panelkite.plans import training
+from panelkite.session import new_path, written
 from panelkite.sources import sinks
 from panelkite.sources.panel import daily_panel, event_panel, table
-from panelkite.sources.readers import date_range
+from panelkite.sources.readers import date_range, load_sales
+from panelkite.sources.store import ResultsStore
+from panelkite.streaming import intake
+from panelkite.streaming import sessions as stream
 
 SEG = ["c_mktsegment"]
 Query = Callable[[SparkSession, str], DataFrame]
@@ -588,3 +594,288 @@ def log_severity(spark, base):
 @query
 def document_severity(spark, base):
     return show(sessions.severity_counts(table(spark, base, "documents").select("source", "text"), "text", ["source"]))
+
+
+# --- models and forecasts --------------------------------------------------------------------
+
+
+def _linear(spark, base, include_dow: bool, n_days: int = 30) -> DataFrame:
+    return linear.forecast(linear.fit(sales(spark, base), SEG, {"include_dow": include_dow}), n_days)
+
+
+@query
+def lag_feature_matrix(spark, base):
+    return show(trees.lag_matrix(sales(spark, base), SEG).drop("n_train"))
+
+
+@query
+def robust_sigma(spark, base):
+    n = naive_predictions(spark, base).withColumn("residual", F.col("actual") - F.col("predicted"))
+    return show(base_model.robust_sigma(n, [*SEG, "model_name"]), 2)
+
+
+@query
+def future_calendar(spark, base):
+    last = sales(spark, base).groupBy(*SEG).agg(F.max("date").alias("last_date"))
+    return show(base_model.future_calendar(last, 365))
+
+
+@query
+def linear_trend_forecast(spark, base):
+    return show(_linear(spark, base, False), 2)
+
+
+@query
+def linear_weekday_forecast(spark, base):
+    return show(_linear(spark, base, True), 2)
+
+
+@query
+def linear_in_sample(spark, base):
+    p = sales(spark, base)
+    return show(linear.in_sample(p, linear.fit(p, SEG)), 2)
+
+
+@query
+def linear_search(spark, base):
+    scores, candidates = search.score(sales(spark, base), SEG, linear.NAME, 10)
+    return show(search.best_params(scores, SEG, candidates), 3)
+
+
+def two_models(spark, base) -> DataFrame:
+    plain = _linear(spark, base, False).withColumn("model", F.lit("plain"))
+    return plain.unionByName(_linear(spark, base, True).withColumn("model", F.lit("weekday")))
+
+
+@query
+def ensemble_forecast(spark, base):
+    return show(ensemble.ensemble(two_models(spark, base), SEG, {"plain": 3.0, "weekday": 1.0}), 2)
+
+
+@query
+def compare_forecasts(spark, base):
+    return show(reshape.compare_forecasts(two_models(spark, base), SEG, ["plain", "weekday"], True), 2)
+
+
+@query
+def pivot_forecasts(spark, base):
+    return show(reshape.pivot_forecasts(two_models(spark, base), SEG, ["plain", "weekday"]), 2)
+
+
+@query
+def forecast_summary(spark, base):
+    return show(ensemble.forecast_summary(two_models(spark, base), [*SEG, "model"]), 2)
+
+
+@query
+def forecast_table(spark, base):
+    return show(reshape.forecast_table(two_models(spark, base), SEG), 2)
+
+
+@query
+def forecast_export(spark, base):
+    return sinks.forecast_export(_linear(spark, base, True))
+
+
+@query
+def history_and_forecast(spark, base):
+    return show(reshape.stitch(sales(spark, base), _linear(spark, base, True), SEG, 60), 2)
+
+
+@query
+def decomposable_forecast(spark, base):
+    return show(decomposable.forecast(decomposable.fit(sales(spark, base), SEG), 30), 2)
+
+
+@query
+def seasonal_arima_forecast(spark, base):
+    return show(arima.forecast(arima.fit(sales(spark, base), SEG), 30), 2)
+
+
+@query
+def boosted_trees_forecast(spark, base):
+    fitted = trees.fit(sales(spark, base), SEG, trees.BOOSTED, {"n_estimators": 10})
+    return show(trees.forecast(fitted, 30), 2)
+
+
+@query
+def random_forest_forecast(spark, base):
+    fitted = trees.fit(sales(spark, base), SEG, trees.FOREST, {"n_estimators": 10, "max_depth": 6})
+    return show(trees.forecast(fitted, 30), 2)
+
+
+@query
+def forest_learning_curve(spark, base):
+    fitted = trees.fit(sales(spark, base), SEG, trees.FOREST, {"n_estimators": 25, "max_depth": 5}, curve=True)
+    return show(attach(fitted.curve, trees.curve_verdict(fitted.curve).select("verdict"), []), 2)
+
+
+@query
+def forest_importance(spark, base):
+    fitted = trees.fit(sales(spark, base), SEG, trees.FOREST, {"n_estimators": 10, "max_depth": 5})
+    return show(fitted.importances, 4)
+
+
+@query
+def decomposable_search(spark, base):
+    scores, candidates = search.score(sales(spark, base), SEG, decomposable.NAME, 10)
+    return show(search.best_params(scores, SEG, candidates), 3)
+
+
+@query
+def arima_search(spark, base):
+    scores, candidates = search.score(sales(spark, base), SEG, arima.NAME, 10)
+    return show(search.best_params(scores, SEG, candidates), 3)
+
+
+@query
+def ranked_backtest(spark, base):
+    """Closed-form models trained, tested on untouched rows, and ranked per series."""
+    p = written(sales(spark, base), "panel")
+    _, ranked, _ = training.train_all(p, SEG, [linear.NAME, decomposable.NAME, arima.NAME], train_on_full_data=False)
+    return show(ranked.drop("run_id", "training_time"), 3)
+
+
+# --- results store ---------------------------------------------------------------------------
+
+
+def _runs(spark, base) -> DataFrame:
+    m = metrics.trainer_metrics(naive_predictions(spark, base), [*SEG, "model_name"])
+    named = m.select(*SEG, "model_name", *[F.col(c).alias(f"test_{c}") for c in ("mape", "mae", "rmse")])
+    return named.withColumns({
+        "run_id": F.concat_ws("-", *SEG, "model_name"),
+        "best_params": F.to_json(F.struct(F.col("model_name").alias("name"))),
+    })
+
+
+def _store(spark, base) -> ResultsStore:
+    """Every run is saved twice: first with a wrong score, then with the right one."""
+    store = ResultsStore(spark, new_path(spark, "store"), SEG)
+    runs = written(_runs(spark, base), "runs")
+    store.save_runs(runs.withColumns({"test_mape": F.lit(0.0), "created_at": F.timestamp_seconds(F.lit(0))}))
+    store.save_runs(runs)
+    return store
+
+
+@query
+def stored_runs(spark, base):
+    return show(_store(spark, base).runs().select(*SEG, "run_id", "model_name", "test_mape", "test_mae"), 3)
+
+
+@query
+def stored_best_model(spark, base):
+    return show(_store(spark, base).best_model().select(*SEG, "model_name", "test_mape"), 3)
+
+
+@query
+def stored_metrics_table(spark, base):
+    out = _store(spark, base).metrics().select(*SEG, "model_name", "test_mape", F.col("best_params")["name"].alias("param"), "target_met")
+    return show(out.withColumn("target_met", F.col("target_met").cast("int")), 3)
+
+
+@query
+def models_with_latest_run(spark, base):
+    return show(_store(spark, base).models(["naive_1", "naive_7", "absent"]).select(*SEG, "model_name", "test_mape"), 3)
+
+
+@query
+def stored_comparison(spark, base):
+    store = ResultsStore(spark, new_path(spark, "store"), SEG)
+    store.save_comparison("c1", _runs(spark, base))
+    return show(store.comparisons("c1").select(*SEG, "comparison_id", "rank", "model_name", "test_mape"), 3)
+
+
+@query
+def stored_forecast_summary(spark, base):
+    store = ResultsStore(spark, new_path(spark, "store"), SEG)
+    store.save_forecasts("f1", two_models(spark, base))
+    return show(store.forecast_summary("f1"), 2)
+
+
+@query
+def stored_forecast_comparison(spark, base):
+    store = ResultsStore(spark, new_path(spark, "store"), SEG)
+    store.save_forecasts("f1", two_models(spark, base))
+    return show(store.forecast_comparison(["plain", "weekday"]), 2)
+
+
+@query
+def forecast_ids_newest_first(spark, base):
+    e = table(spark, base, "events").select(F.col("user_id").alias("forecast_id"), F.col("ts").alias("created_at"))
+    return show(e.groupBy("forecast_id").agg(F.max("created_at").alias("created_at")).orderBy(F.desc("created_at")))
+
+
+@query
+def flattened_insights(spark, base):
+    p = sales(spark, base)
+    wide = p.groupBy(*SEG).agg(
+        F.struct(F.count("*").alias("days"), F.date_format(F.min("date"), "yyyy-MM-dd").alias("first")).alias("span"),
+        F.create_map(F.lit("holidays"), F.sum("is_holiday"), F.lit("gaps"), F.lit(None).cast("long")).alias("flags"),
+        F.max("product_category").alias("category"),
+    )
+    return show(reshape.flatten_insights(wide, SEG))
+
+
+@query
+def zipped_learning_curve(spark, base):
+    season = eda.season_profile(sales(spark, base), SEG)
+    m = season.filter(F.col("level") == "month").groupBy(*SEG).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("period", "mean"))), lambda r: r["mean"]).alias("train_losses"))
+    runs = m.withColumn("val_losses", F.slice("train_losses", 1, 6))
+    return show(reshape.zip_learning_curve(runs, SEG), 6)
+
+
+@query
+def stripped_parameter_names(spark, base):
+    t = table(spark, base, "part")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("lt_", "xgb_", "rf_", "prophet_", "sarima_", "")]), F.col("p_size") % 6 + 1)
+    return show(t.select("p_partkey", strip_param_prefix(F.concat(prefix, F.lower("p_brand"))).alias("param")))
+
+
+@query
+def import_and_reload(spark, base):
+    path = new_path(spark, "raw_sales")
+    sinks.import_sales(panel(spark, base), path, SEG)
+    return show(load_sales(spark, path))
+
+
+# --- streams ---------------------------------------------------------------------------------
+
+
+def _event_stream(spark, base) -> DataFrame:
+    return stream.read_events(spark, base, table(spark, base, "events").schema, "events.parquet")
+
+
+@query
+def streamed_sessions(spark, base):
+    """Closed sessions only: the watermark trails the newest event by a day."""
+    out, mark = new_path(spark, "sessions"), new_path(spark, "mark")
+    stream.run_available(stream.session_stream(_event_stream(spark, base), ["user_id"]), out, mark)
+    return show(spark.read.parquet(out), 2)
+
+
+@query
+def streamed_severity(spark, base):
+    out, mark = new_path(spark, "severity"), new_path(spark, "mark")
+    lines = _event_stream(spark, base).withColumn("line", F.concat_ws(" ", "event_type", "props"))
+    stream.run_available(stream.severity_stream(lines, "line"), out, mark)
+    return show(spark.read.parquet(out))
+
+
+@query
+def streamed_last_events(spark, base):
+    out, mark = new_path(spark, "last"), new_path(spark, "mark")
+    stream.keep_last_items(_event_stream(spark, base).select("event_id", "ts", "user_id"), ["user_id"], out, mark)
+    # Only the newest version is complete; a single file gives a single batch.
+    return show(spark.read.parquet(out).drop("batch"))
+
+
+@query
+def csv_intake(spark, base):
+    """The panel goes out as CSV and comes back through the validating stream."""
+    folder, out = new_path(spark, "csv"), new_path(spark, "intake")
+    p = panel(spark, base)
+    sinks.write_csv(p, folder)
+    raw = intake.stream_csv(spark, folder, p.columns)
+    intake.intake(raw, f"{out}/good", f"{out}/bad", f"{out}/checks", f"{out}/mark", SEG)
+    return show(intake.loaded(spark, f"{out}/good", SEG))
