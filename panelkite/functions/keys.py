@@ -24,12 +24,20 @@ def whole_series(keys: Iterable[str], date_col: str = "date") -> WindowSpec:
     return series_window(keys, date_col).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+SALT_BUCKETS = 32
+
+
+def attach(df: DataFrame, stats: DataFrame, keys: list[str], salted: bool = False) -> DataFrame:
     """Add the columns of ``stats`` (one row per series) to every row of ``df``.
 
     Without keys ``stats`` is one global-aggregate row and becomes a scalar subquery. With keys it
     is a null-safe equi-join left to the optimizer: small statistics are broadcast under the
-    configured size threshold, larger ones are shuffled, and adaptive execution splits a hot series.
+    configured size threshold, larger ones are shuffled.
+
+    ``salted`` is for row-level frames, where one series may hold much of the data: the statistics are
+    copied to every salt and a row meets one copy, so a shuffled join spreads a hot series. It also
+    keeps the join's partitioning from serving a later aggregate by the same keys, which would stop
+    adaptive execution from splitting what is still skewed.
     """
     value_cols = [c for c in stats.columns if c not in keys]
     if not keys:
@@ -38,12 +46,18 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
             df.withColumn("__stats", packed)
             .select(*df.columns, *[F.col(f"__stats.{c}").alias(c) for c in value_cols])
         )
-    renamed = stats.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *value_cols)
+    right = stats.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *value_cols)
     condition: Column | None = None
     for k in keys:
         term = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
         condition = term if condition is None else condition & term
-    return df.join(renamed, condition, "left").drop(*[f"__k_{k}" for k in keys])
+    left = df
+    if salted:
+        # A hash of the row and not a random number: a recomputed task sends its rows the same way.
+        left = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALT_BUCKETS)).cast("int"))
+        right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
+        condition = condition & (F.col("__salt") == F.col("__copy"))
+    return left.join(right, condition, "left").select(*df.columns, *value_cols)
 
 
 def first_per(df: DataFrame, by: list[str], order: list[Column], descending: bool = False) -> DataFrame:

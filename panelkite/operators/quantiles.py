@@ -46,7 +46,7 @@ def exact_quantiles(
         F.percentile_approx("v", edges, accuracy).alias("e"),
     )
     counts = (
-        attach(long, sketch.select(*ids, "e"), ids)
+        attach(long, sketch.select(*ids, "e"), ids, salted=True)
         .groupBy(*ids)
         .agg(
             *[F.count_if(F.col("v") < F.col("e")[2 * i]).alias(f"b{i}") for i in range(len(probs))],
@@ -58,7 +58,7 @@ def exact_quantiles(
     )
     # A row lands in the few brackets that hold it, usually none.
     inside = (
-        attach(long, brackets, ids)
+        attach(long, brackets, ids, salted=True)
         .select(*ids, "v", F.explode(F.filter("br", lambda b: F.col("v").between(b.lo, b.hi))).alias("b"))
         .groupBy(*ids, F.col("b.prob").alias("prob"), "v")
         .agg(F.count("*").alias("c"), F.first("b").alias("b"))

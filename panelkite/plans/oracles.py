@@ -490,6 +490,55 @@ SELECT ss.* EXCLUDE (spend_null), CAST(spend_null AS BIGINT) AS columns_with_nul
   best_day, worst_day, round(weekend_avg, 4) AS weekend_avg, round(weekday_avg, 4) AS weekday_avg, date_gaps, CAST(0 AS BIGINT) AS duplicates
 FROM ss JOIN oc USING (c_mktsegment) JOIN ds USING (c_mktsegment) JOIN gg USING (c_mktsegment)"""
 
+_CORR_PAIRS = ("marketing_spend", "is_holiday")
+_REPORT = f"""{_DOW}, {_OUT.split(_PANEL)[1].lstrip(',')}, {_LAGGED.split(_PANEL)[1].lstrip(',')},
+{_GAPS}, gg AS (SELECT c_mktsegment, count(*) FILTER (gap_days > 1) AS date_gaps FROM dgap GROUP BY 1),
+ss AS (SELECT c_mktsegment, {_BASIC_KEEP}, {_TREND_KEEP}, CAST(count(*) > count(marketing_spend) AS BIGINT) AS null_cols,
+  {', '.join(f'{e} AS {n}' for n, e in (_BASIC | _TREND | _AUTO).items())} FROM lg GROUP BY 1),
+cr AS (""" + _cast_union([
+    f"SELECT c_mktsegment, '{c}' AS col, corr(daily_sales, {c}) AS r FROM p GROUP BY 1" for c in _CORR_PAIRS
+]) + """),
+tc AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY abs(r) DESC, col) AS k FROM cr WHERE r IS NOT NULL AND NOT isnan(r)),
+rp AS (SELECT ss.*, best_day, worst_day, weekend_avg, weekday_avg, date_gaps, io, zo, oc.n AS rows_n, col AS top_col, r AS top_r
+       FROM ss JOIN ds USING (c_mktsegment) JOIN gg USING (c_mktsegment) JOIN oc USING (c_mktsegment)
+       LEFT JOIN tc ON tc.c_mktsegment = ss.c_mktsegment AND tc.k = 1)"""
+ORACLES["key_insights"] = f"""WITH {_REPORT},
+rules AS (
+  SELECT c_mktsegment, 1 AS o, CASE WHEN r_squared > 0.5 THEN 'Strong ' || trend_direction || ' trend detected (R²=' || printf('%.3f', r_squared) || ')'
+         WHEN r_squared > 0.3 THEN 'Moderate ' || trend_direction || ' trend detected (R²=' || printf('%.3f', r_squared) || ')'
+         ELSE 'No strong linear trend detected' END AS insight FROM rp
+  UNION ALL SELECT c_mktsegment, 2, CASE WHEN abs(growth_rate_percent) > 50
+         THEN 'Significant growth: ' || printf('%.1f', growth_rate_percent) || '% from first to second half' END FROM rp
+  UNION ALL SELECT c_mktsegment, 3, 'Day-of-week effect: ' || best_day || ' is best, ' || worst_day || ' is worst' FROM rp
+  UNION ALL SELECT c_mktsegment, 4, CASE WHEN abs(top_r) > 0.7 THEN 'Strong correlation: ' || top_col || ' (r=' || printf('%.3f', top_r) || ')' END FROM rp
+  UNION ALL SELECT c_mktsegment, 5, CASE WHEN lag_1 > 0.5 THEN 'High autocorrelation at lag-1: ' || printf('%.3f', lag_1) || ' (good for time series models)' END FROM rp
+  UNION ALL SELECT c_mktsegment, 6, CASE WHEN null_cols > 0 THEN 'Warning: Missing values in ' || null_cols || ' columns' END FROM rp
+  UNION ALL SELECT c_mktsegment, 7, CASE WHEN date_gaps > 0 THEN 'Warning: ' || date_gaps || ' date gaps found' END FROM rp)
+SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o) AS ord, insight FROM rules WHERE insight IS NOT NULL"""
+_MONEY = "'$' || format('{{:,.2f}}', {0})"
+_LINES = [
+    ("1. BASIC STATISTICS", [
+        ("Total Records", "format('{:,}', count)"), ("Date Range", "CAST(date_start AS VARCHAR) || ' to ' || CAST(date_end AS VARCHAR)"),
+        ("Mean Sales", _MONEY.format("mean")), ("Std Dev", _MONEY.format("std")), ("Min", _MONEY.format("min")),
+        ("Max", _MONEY.format("max")), ("Coefficient of Variation", "printf('%.2f', cv) || '%'")]),
+    ("2. TREND ANALYSIS", [
+        ("Trend Direction", "upper(trend_direction)"), ("Daily Change", _MONEY.format("slope")),
+        ("R-squared", "printf('%.4f', r_squared)"), ("Growth Rate", "printf('%.1f', growth_rate_percent) || '%'")]),
+    ("3. SEASONALITY", [
+        ("Best Day", "best_day"), ("Worst Day", "worst_day"),
+        ("Weekend vs Weekday", "'$' || format('{:,.0f}', weekend_avg) || ' vs $' || format('{:,.0f}', weekday_avg)"),
+        ("Lag-1 Autocorrelation", "printf('%.4f', lag_1)"), ("Lag-7 Autocorrelation", "printf('%.4f', lag_7)")]),
+    ("5. DATA QUALITY", [
+        ("Missing Values", "null_cols || ' columns with missing data'"), ("Duplicates", "'0'"), ("Date Gaps", "CAST(date_gaps AS VARCHAR)")]),
+    ("6. OUTLIERS", [
+        ("IQR Method", "io || ' outliers (' || printf('%.1f', 100.0 * io / rows_n) || '%)'"),
+        ("Z-Score Method", "zo || ' outliers (' || printf('%.1f', 100.0 * zo / rows_n) || '%)'")]),
+]
+ORACLES["section_report"] = f"WITH {_REPORT} " + _cast_union(
+    [f"SELECT c_mktsegment, '{s}' AS section, CAST({i} AS BIGINT) AS ord, '{label}' AS label, {e} AS value FROM rp"
+     for s, items in _LINES for i, (label, e) in enumerate(items, 1)]
+    + ["SELECT c_mktsegment, '4. TOP CORRELATIONS', k, col, printf('%.4f', r) FROM tc WHERE k <= 5"])
+
 # --- splits and metrics ----------------------------------------------------------------------
 
 _INFO_COLS = """min(date) FILTER (role = 'train') AS train_start, max(date) FILTER (role = 'train') AS train_end,
@@ -691,9 +740,9 @@ c AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS ses
 SELECT user_id, CAST(session_start AS TIMESTAMPTZ) AS session_start, CAST(session_end AS TIMESTAMPTZ) AS session_end, n_events, total_value
 FROM c WHERE session_end <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
 ORACLES["streamed_severity"] = f"""
-SELECT CAST(date_trunc('day', ts) AS TIMESTAMPTZ) AS window_start, {_SEV.format("(event_type || ' ' || props)")} AS severity, count(*) AS lines
-FROM events GROUP BY 1, 2
-HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
+SELECT CAST(d AS TIMESTAMPTZ) AS window_start, severity, count(*) AS lines
+FROM (SELECT date_trunc('day', ts) AS d, {_SEV.format("(event_type || ' ' || props)")} AS severity FROM events)
+WHERE d + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY GROUP BY 1, 2"""
 ORACLES["streamed_last_events"] = """
 SELECT event_id, CAST(ts AS TIMESTAMPTZ) AS ts, user_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
