@@ -89,13 +89,37 @@ def with_ewm(
     anything older weighs nothing in double precision.
     """
     prefix = prefix or f"{value_col}_ewm_"
-    alphas = {s: 2.0 / (s + 1.0) for s in spans}
-    decaying = [a for a in alphas.values() if a < 1.0]
-    block_len = max([math.ceil(37.0 / -math.log1p(-a)) for a in decaying], default=1)
+    decay = {s: 1.0 - 2.0 / (s + 1.0) for s in spans}
     w = series_window(keys, date_col)
     # Shifted by one row, so that a row never sees its own value.
-    base = df.select("*", (F.row_number().over(w) - 1).alias("__pos"), F.lag(value_col).over(w).alias("__x"))
-    base = base.select(
+    out = df.select("*", (F.row_number().over(w) - 1).alias("__pos"), F.lag(value_col).over(w).alias("__x"))
+    for block_len, members in _span_groups(decay):
+        out = _block_sums(out, keys, block_len, {s: decay[s] for s in members})
+    exprs = []
+    for s in spans:
+        if decay[s] > 0.0:
+            value = F.try_divide(F.col(f"__n{s}"), F.col(f"__d{s}"))
+        else:
+            value = F.last("__x", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+        exprs.append(value.alias(f"{prefix}{s}"))
+    return out.select(*df.columns, *exprs)
+
+
+def _span_groups(decay: dict[int, float]) -> list[tuple[int, list[int]]]:
+    """Spans that can share a block length: long enough for the slowest, short enough for the fastest not to overflow."""
+    needed = {s: math.ceil(37.0 / -math.log(d)) for s, d in decay.items() if d > 0.0}
+    groups: list[tuple[int, list[int]]] = []
+    for s in sorted(needed, key=lambda k: -needed[k]):
+        if groups and groups[-1][0] * -math.log(decay[s]) < 600.0:
+            groups[-1][1].append(s)
+        else:
+            groups.append((needed[s], [s]))
+    return groups
+
+
+def _block_sums(df: DataFrame, keys: list[str], block_len: int, decay: dict[int, float]) -> DataFrame:
+    """Add the weighted sum and the weight total of all earlier rows for each span."""
+    base = df.select(
         "*",
         F.floor(F.col("__pos") / block_len).cast("int").alias("__blk"),
         (F.col("__pos") % block_len).cast("double").alias("__off"),
@@ -103,28 +127,13 @@ def with_ewm(
     inside = W.partitionBy(*keys, "__blk").orderBy("__pos").rowsBetween(W.unboundedPreceding, 0)
     previous = W.partitionBy(*keys).orderBy("__blk").rangeBetween(-1, -1)
     x, off, known = F.col("__x"), F.col("__off"), F.col("__x").isNotNull()
-    run, carry, final = [], [], []
-    for span, a in alphas.items():
-        d = 1.0 - a
-        if d <= 0.0:
-            continue
-        up = F.pow(F.lit(d), -off)
-        run.append(F.sum(x * up).over(inside).alias(f"__rn{span}"))
-        run.append(F.sum(F.when(known, up)).over(inside).alias(f"__rd{span}"))
-        to_end = F.pow(F.lit(d), F.lit(block_len - 1.0) - off)
-        carry.append(F.sum(x * to_end).over(previous).alias(f"__cn{span}"))
-        carry.append(F.sum(F.when(known, to_end)).over(previous).alias(f"__cd{span}"))
-    out = base.select("*", *run).select("*", *carry) if run else base
-    for span, a in alphas.items():
-        d = 1.0 - a
-        if d <= 0.0:
-            final.append(F.last("__x", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0)))
-        else:
-            total = []
-            for part in ("n", "d"):
-                here = F.coalesce(F.col(f"__r{part}{span}"), F.lit(0.0)) * F.pow(F.lit(d), off)
-                older = F.coalesce(F.col(f"__c{part}{span}"), F.lit(0.0)) * F.pow(F.lit(d), off + 1.0)
-                total.append(here + older)
-            final.append(F.try_divide(total[0], total[1]))
-        final[-1] = final[-1].alias(f"{prefix}{span}")
-    return out.select(*df.columns, *final)
+    run, carry, total = [], [], []
+    for s, d in decay.items():
+        up, to_end = F.pow(F.lit(d), -off), F.pow(F.lit(d), F.lit(block_len - 1.0) - off)
+        for part, here in (("n", x), ("d", F.when(known, F.lit(1.0)))):
+            run.append(F.sum(here * up).over(inside).alias(f"__r{part}{s}"))
+            carry.append(F.sum(here * to_end).over(previous).alias(f"__c{part}{s}"))
+            inner = F.coalesce(F.col(f"__r{part}{s}"), F.lit(0.0)) * F.pow(F.lit(d), off)
+            older = F.coalesce(F.col(f"__c{part}{s}"), F.lit(0.0)) * F.pow(F.lit(d), off + 1.0)
+            total.append((inner + older).alias(f"__{part}{s}"))
+    return base.select("*", *run).select("*", *carry).select(*df.columns, *total)
