@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from panelkite.config import DEFAULT, PanelConfig
 from panelkite.operators.cleaning import clean, standardize_names
@@ -36,23 +35,21 @@ def run_pipeline(
 ) -> PipelineResult:
     """Validate, clean, derive features, drop incomplete rows, write table and report.
 
-    Findings of the validation are reported and do not stop the run. Row counts are observed by the
-    writing job. Any failure comes back as an unsuccessful result.
+    Findings of the validation are reported and do not stop the run. Rows are counted on the input and
+    on the stored table. Any failure comes back as an unsuccessful result.
     """
     keys = keys or []
     try:
-        before, after = Observation(), Observation()
-        named = coerce_types(standardize_names(raw), cfg)
-        findings = validate(named, keys, cfg)
-        cleaned = clean(raw.observe(before, F.count(F.lit(1)).alias("rows")), keys, cfg=cfg)
+        findings = validate(coerce_types(standardize_names(raw), cfg), keys, cfg)
+        cleaned = clean(raw, keys, cfg=cfg)
         made = create_features(cleaned, keys, mode, cfg=cfg)
         names = feature_names(cleaned, made)
-        done = drop_null_rows(made) if drop_nulls else made
         path = f"{out_dir}/features"
-        write_table(done.observe(after, F.count(F.lit(1)).alias("rows")), path, fmt)
-        n_in, n_out = int(before.get["rows"]), int(after.get["rows"])
-        stored = raw.sparkSession.read.parquet(path) if fmt == "parquet" else done
-        write_report(raw.sparkSession, f"{out_dir}/report", n_in, n_out, findings, feature_summary(stored, names, keys))
+        write_table(drop_null_rows(made) if drop_nulls else made, path, fmt)
+        stored = raw.sparkSession.read.format(fmt).option("header", True).schema(made.schema).load(path)
+        n_in, n_out = raw.count(), stored.count()
+        summary = feature_summary(stored, names, keys)
+        write_report(raw.sparkSession, f"{out_dir}/report", n_in, n_out, findings, summary)
         return PipelineResult(True, n_in, n_out, names, path)
     except Exception as error:  # noqa: BLE001 - the caller gets the reason, as from a job runner
         return PipelineResult(False, error=f"{type(error).__name__}: {error}")

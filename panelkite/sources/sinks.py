@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkite.functions.calendar import short_day_name
@@ -14,7 +14,7 @@ def import_sales(df: DataFrame, path: str, keys: list[str] | None = None) -> int
 
     Optional columns that are absent are written as NULL. Rows are range-partitioned by date and the
     series keys, so file statistics prune date bounds and one busy date spreads over its series. The
-    count is observed by the writing job itself.
+    count is read back from the file footers, so retried tasks cannot distort it.
     """
     keys = keys or []
     types = {"date": "date", "is_holiday": "int", "product_category": "string"}
@@ -22,10 +22,9 @@ def import_sales(df: DataFrame, path: str, keys: list[str] | None = None) -> int
         (F.col(c) if c in df.columns else F.lit(None)).cast(types.get(c, "double")).alias(c)
         for c in STORED_COLUMNS
     ]
-    seen = Observation()
-    out = df.select(*keys, *cols).observe(seen, F.count(F.lit(1)).alias("rows"))
-    out.repartitionByRange("date", *keys).sortWithinPartitions("date", *keys).write.mode("overwrite").parquet(path)
-    return int(seen.get["rows"])
+    out = df.select(*keys, *cols).repartitionByRange("date", *keys).sortWithinPartitions("date", *keys)
+    out.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path).count()
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", by: list[str] | None = None) -> None:
