@@ -1,13 +1,20 @@
-"""Series-key helpers: windows, and joining per-series statistics back to rows."""
+"""Series-key helpers: windows, and joining per-series statistics back to rows.
+
+Keys identify a series. On a daily panel they must not be NULL (name a missing key first); the
+row-level quality and cleaning operators accept NULL keys.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from panelkite.session import written
+
 
 def series_window(keys: Iterable[str], date_col: str = "date") -> WindowSpec:
     """One series in date order.
@@ -25,39 +32,62 @@ def whole_series(keys: Iterable[str], date_col: str = "date") -> WindowSpec:
 
 
 SALT_BUCKETS = 32
+# Statistics of at most this many series are broadcast to row-level frames; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def _renamed(stats: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], Column]:
+    value_cols = [c for c in stats.columns if c not in keys]
+    right = stats.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *value_cols)
+    condition = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys])
+    return right, value_cols, condition
 
 
-def attach(df: DataFrame, stats: DataFrame, keys: list[str], salted: bool = False) -> DataFrame:
-    """Add the columns of ``stats`` (one row per series) to every row of ``df``.
+def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the columns of ``stats`` (one row per series) to every row of ``df``, itself a small summary.
 
     Without keys ``stats`` is one global-aggregate row and becomes a scalar subquery. With keys it
-    is a null-safe equi-join left to the optimizer: small statistics are broadcast under the
-    configured size threshold, larger ones are shuffled.
-
-    ``salted`` is for row-level frames, where one series may hold much of the data: the statistics are
-    copied to every salt and a row meets one copy, so a shuffled join spreads a hot series. It also
-    keeps the join's partitioning from serving a later aggregate by the same keys, which would stop
-    adaptive execution from splitting what is still skewed.
+    is a null-safe equi-join left to the optimizer.
     """
-    value_cols = [c for c in stats.columns if c not in keys]
     if not keys:
+        value_cols = list(stats.columns)
         packed = stats.select(F.struct(*value_cols).alias("s")).scalar()
         return (
             df.withColumn("__stats", packed)
             .select(*df.columns, *[F.col(f"__stats.{c}").alias(c) for c in value_cols])
         )
-    right = stats.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *value_cols)
-    condition: Column | None = None
-    for k in keys:
-        term = F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-        condition = term if condition is None else condition & term
-    left = df
-    if salted:
-        # A hash of the row and not a random number: a recomputed task sends its rows the same way.
-        left = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALT_BUCKETS)).cast("int"))
-        right = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
-        condition = condition & (F.col("__salt") == F.col("__copy"))
-    return left.join(right, condition, "left").select(*df.columns, *value_cols)
+    right, value_cols, condition = _renamed(stats, keys)
+    return df.join(right, condition, "left").select(*df.columns, *value_cols)
+
+
+def attach_rows(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`attach` for row-level frames, where one series may hold much of the data.
+
+    The statistics are written first and counted. Up to ``BROADCAST_ROWS`` series they are broadcast
+    and the rows do not move. Beyond that they are copied to every salt and a row meets one copy, so a
+    hot series is spread over tasks, and the join's partitioning does not serve a later aggregate by
+    the same keys, which leaves adaptive execution free to split what is still skewed.
+    """
+    if not keys:
+        return attach(df, stats, keys)
+    stats = written(stats, "stats")
+    right, value_cols, condition = _renamed(stats, keys)
+    if stats.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(right), condition, "left").select(*df.columns, *value_cols)
+    # A hash of the row and not a random number: a recomputed task sends its rows the same way.
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALT_BUCKETS)).cast("int"))
+    copies = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(SALT_BUCKETS - 1))))
+    condition = condition & (F.col("__salt") == F.col("__copy"))
+    return salted.join(copies, condition, "left").select(*df.columns, *value_cols)
+
+
+def join_series(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """As :func:`attach` for a daily panel, whose keys are not NULL.
+
+    A plain equi-join on the keys keeps the partitioning of windows and aggregates by the same keys,
+    so no row of the panel is shuffled again.
+    """
+    return df.join(stats, keys, "left") if keys else attach(df, stats, keys)
 
 
 def first_per(df: DataFrame, by: list[str], order: list[Column], descending: bool = False) -> DataFrame:

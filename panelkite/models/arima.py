@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig
 from panelkite.functions.scalars import z_value
-from panelkite.models.base import Fitted, check_horizon, finish, future_calendar
+from panelkite.models.base import Fitted, check_horizon, finish, points
 from panelkite.models.decomposable import key_fields, panel_rows
 
 NAME = "seasonal_arima"
@@ -207,13 +207,13 @@ def forecast(
                 values.append([{"predicted": m, "se": d} for m, d in zip(mean, se)])
             yield pdf[[*keys, "last_date"]].assign(v=values)
 
-    days = future_calendar(fitted.series.mapInPandas(kernel, schema), n_days)
-    x = F.element_at("v", F.col("day_number"))
-    rows = days.select(
-        *keys, "date", "day_number", x["predicted"].alias("predicted"),
-        (x["predicted"] - z * x["se"]).alias("lower_bound"), (x["predicted"] + z * x["se"]).alias("upper_bound"),
-    )
-    return finish(rows, keys, NAME, level, include_ci, native=True)
+    def value(i, _):
+        x = F.element_at("v", i)
+        return {"predicted": x["predicted"], "lower_bound": x["predicted"] - z * x["se"],
+                "upper_bound": x["predicted"] + z * x["se"]}
+
+    made = fitted.series.mapInPandas(kernel, schema)
+    return finish(made, keys, NAME, points(n_days, value), level, include_ci, native=True)
 
 
 def candidate_errors(train: tuple, valid: tuple, candidates: list[dict[str, Any]]) -> list[float | None]:

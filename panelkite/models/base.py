@@ -63,29 +63,54 @@ def confidence_bounds(predicted: Column, sigma: Column, level: float = 0.95) ->
     return non_negative(predicted - z * sigma), predicted + z * sigma
 
 
-def robust_sigma(residuals: DataFrame, keys: list[str], residual: str = "residual", name: str = "residual_std") -> DataFrame:
-    """1.4826 * median(|r - median(r)|) per series; a window and an aggregate over one exchange."""
+def robust_sigma(
+    residuals: DataFrame, keys: list[str], residual: str = "residual", name: str = "residual_std", carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """1.4826 * median(|r - median(r)|) per series; a window and an aggregate over one exchange.
+
+    ``carry`` names columns that are constant within a series and go along to the result.
+    """
     group = W.partitionBy(*keys)
-    centred = residuals.select(*keys, F.abs(F.col(residual) - F.percentile(residual, F.lit(0.5)).over(group)).alias("__d"))
-    return centred.groupBy(*keys).agg((F.lit(MAD_TO_SIGMA) * F.percentile("__d", F.lit(0.5))).alias(name))
+    centred = residuals.select(
+        *keys, *carry, F.abs(F.col(residual) - F.percentile(residual, F.lit(0.5)).over(group)).alias("__d"))
+    return centred.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in carry], (F.lit(MAD_TO_SIGMA) * F.percentile("__d", F.lit(0.5))).alias(name))
+
+
+def points(n_days: int, value, last: str = "last_date") -> Column:
+    """Array of ``date, day_number`` and the fields of ``value(day_number, date)`` for the days after ``last``.
+
+    The horizon of a series stays in its row until the end, so a forecast moves no data.
+    """
+
+    def point(i: Column) -> Column:
+        date = F.date_add(F.col(last), i)
+        return F.struct(date.alias("date"), i.alias("day_number"), *[c.alias(n) for n, c in value(i, date).items()])
+
+    return F.transform(F.sequence(F.lit(1), F.lit(n_days)), point)
 
 
 def finish(
-    rows: DataFrame, keys: list[str], model: str, level: float, include_ci: bool, native: bool = False
+    series: DataFrame, keys: list[str], model: str, path: Column, level: float, include_ci: bool, native: bool = False
 ) -> DataFrame:
-    """The long forecast frame from ``predicted`` and either native bounds or a ``residual_std``.
+    """The long forecast frame from one row per series and its ``path`` of points.
 
-    Without a residual deviation the fallback is a tenth of the mean prediction of the series.
+    Bounds are the native ones of the points, or come from ``residual_std``; without that the fallback
+    is a tenth of the mean prediction of the series.
     """
-    predicted = non_negative(F.col("predicted"))
-    none = F.lit(None).cast("double")
+    rows = series.withColumn("__p", path)
+    extra: list[Column] = []
+    if include_ci and not native:
+        total = F.aggregate("__p", F.lit(0.0), lambda a, p: a + non_negative(p["predicted"]))
+        extra = [F.coalesce("residual_std", total / F.size("__p") * 0.1).alias("__sd")]
+    rows = rows.select(*keys, *extra, F.inline("__p"))
+    predicted, none = non_negative(F.col("predicted")), F.lit(None).cast("double")
     if not include_ci:
         lower, upper = none, none
     elif native:
         lower, upper = non_negative(F.col("lower_bound")), non_negative(F.col("upper_bound"))
     else:
-        fallback = F.avg(predicted).over(W.partitionBy(*keys)) * 0.1
-        lower, upper = confidence_bounds(predicted, F.coalesce("residual_std", fallback), level)
+        lower, upper = confidence_bounds(predicted, F.col("__sd"), level)
     return rows.select(
         *keys, F.lit(model).alias("model"), "date", F.col("day_number").cast("int").alias("day_number"),
         predicted.alias("predicted"), lower.alias("lower_bound"), upper.alias("upper_bound"),

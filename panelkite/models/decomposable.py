@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig
-from panelkite.functions.keys import attach
+from panelkite.functions.keys import join_series
 from panelkite.functions.scalars import z_value
-from panelkite.models.base import Fitted, check_horizon, finish, future_calendar
+from panelkite.models.base import Fitted, check_horizon, finish, points
 
 NAME = "decomposable"
 DEFAULTS = {"changepoint": 0.05, "seasonality": 10.0, "mode": "multiplicative", "yearly": True, "weekly": True}
@@ -144,8 +144,12 @@ def forecast(
     check_horizon(n_days, limit)
     keys = fitted.keys
     z = z_value(level)
-    extra = T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in ("plain", "lower", "upper", "effect")]))
-    schema = T.StructType(key_fields(fitted.series, keys) + [T.StructField("last_date", T.DateType()), T.StructField("v", extra)])
+    fields = [T.StructField(c, T.DoubleType()) for c in ("plain", "lower", "upper", "effect")]
+    schema = T.StructType(
+        key_fields(fitted.series, keys)
+        + [T.StructField("last_date", T.DateType()), T.StructField("is_log", T.BooleanType()),
+           T.StructField("v", T.ArrayType(T.StructType(fields)))]
+    )
 
     def kernel(batches):
         for pdf in batches:
@@ -156,28 +160,25 @@ def forecast(
                 sd, h = s["residual_std"], s["holiday"]
                 shift = [to_natural(s, base + d) for d in (0.0, -z * sd, z * sd, h)]
                 values.append([dict(zip(("plain", "lower", "upper", "effect"), v)) for v in zip(*shift)])
-            yield pdf[[*keys, "last_date"]].assign(v=values)
+            yield pdf[[*keys, "last_date", "is_log"]].assign(v=values)
 
     made = fitted.series.mapInPandas(kernel, schema)
-    days = future_calendar(made, n_days).withColumn("x", F.element_at("v", F.col("day_number")))
+    on = F.lit(False)
     if holidays is not None:
-        marked = holidays.select(*keys, "date").distinct().withColumn("__h", F.lit(True))
-        days = attach(days, marked, [*keys, "date"])
-    else:
-        days = days.withColumn("__h", F.lit(False))
-    # A holiday moves the centre and both bounds: by a factor on the log scale, by a shift otherwise.
-    on = F.coalesce("__h", F.lit(False))
-    flags = fitted.series.select(*keys, "is_log")
-    days = attach(days, flags, keys)
-    plain, effect = F.col("x.plain"), F.col("x.effect")
-    moved = lambda v: F.when(
-        on, F.when(F.col("is_log"), v * F.try_divide(effect, plain)).otherwise(v + effect - plain)
-    ).otherwise(v)
-    rows = days.select(
-        *keys, "date", "day_number", moved(plain).alias("predicted"),
-        moved(F.col("x.lower")).alias("lower_bound"), moved(F.col("x.upper")).alias("upper_bound"),
-    )
-    return finish(rows, keys, NAME, level, include_ci, native=True)
+        marked = holidays.groupBy(*keys).agg(F.collect_set("date").alias("__days"))
+        made = join_series(made, marked, keys)
+        on = None
+
+    def value(i, date):
+        x = F.element_at("v", i)
+        hit = on if on is not None else F.coalesce(F.array_contains("__days", date), F.lit(False))
+        # A holiday moves the centre and both bounds: by a factor on the log scale, by a shift otherwise.
+        moved = lambda v: F.when(
+            hit, F.when(F.col("is_log"), v * F.try_divide(x["effect"], x["plain"])).otherwise(v + x["effect"] - x["plain"])
+        ).otherwise(v)
+        return {"predicted": moved(x["plain"]), "lower_bound": moved(x["lower"]), "upper_bound": moved(x["upper"])}
+
+    return finish(made, keys, NAME, points(n_days, value), level, include_ci, native=True)
 
 
 def candidate_errors(train: tuple, valid: tuple, candidates: list[dict[str, Any]]) -> list[float | None]:

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from panelkite.config import DEFAULT, PanelConfig
-from panelkite.functions.keys import attach, series_window
-from panelkite.models.base import Fitted, check_horizon, finish, future_calendar, robust_sigma
+from panelkite.functions.keys import join_series, series_window
+from panelkite.models.base import Fitted, check_horizon, finish, points, robust_sigma
 
 NAME = "linear_trend"
 DEFAULTS = {"include_dow": True, "regularization": 0.0}
@@ -104,16 +104,14 @@ def fit(
         *keys, "n_train", "last_date",
         _solve("__m", F.lit(bool(p["include_dow"])), F.lit(float(p["regularization"]))).alias("coef"),
     )
-    fitted = attach(rows, solved.select(*keys, "coef"), keys).select(
-        *keys, (F.col("y") - line(F.col("coef"), F.col("t"), F.col("dow"))).alias("residual")
-    )
-    series = attach(solved, robust_sigma(fitted, keys), keys)
-    return Fitted(NAME, keys, p, series)
+    residual = F.col("y") - line(F.col("coef"), F.col("t"), F.col("dow"))
+    fitted = join_series(rows, solved, keys).select(*keys, "n_train", "last_date", "coef", residual.alias("residual"))
+    return Fitted(NAME, keys, p, robust_sigma(fitted, keys, carry=("n_train", "last_date", "coef")))
 
 
 def in_sample(df: DataFrame, fitted: Fitted, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """``keys, date, actual, predicted`` on the training rows."""
-    rows = attach(_rows(df, fitted.keys, cfg), fitted.series.select(*fitted.keys, "coef"), fitted.keys)
+    rows = join_series(_rows(df, fitted.keys, cfg), fitted.series.select(*fitted.keys, "coef"), fitted.keys)
     return rows.select(
         *fitted.keys, "date", F.col("y").alias("actual"),
         line(F.col("coef"), F.col("t"), F.col("dow")).alias("predicted"),
@@ -123,10 +121,11 @@ def in_sample(df: DataFrame, fitted: Fitted, cfg: PanelConfig = DEFAULT) -> Data
 def forecast(
     fitted: Fitted, n_days: int, level: float = 0.95, include_ci: bool = True, limit: int | None = 365
 ) -> DataFrame:
-    days = future_calendar(fitted.series, check_horizon(n_days, limit))
-    t = (F.col("n_train") + F.col("day_number") - 1).cast("double")
-    rows = days.withColumn("predicted", line(F.col("coef"), t, F.weekday("date")))
-    return finish(rows, fitted.keys, NAME, level, include_ci)
+    def value(i: Column, date: Column) -> dict[str, Column]:
+        t = (F.col("n_train") + i - 1).cast("double")
+        return {"predicted": line(F.col("coef"), t, F.weekday(date))}
+
+    return finish(fitted.series, fitted.keys, NAME, points(check_horizon(n_days, limit), value), level, include_ci)
 
 
 def score_candidates(
@@ -151,7 +150,7 @@ def score_candidates(
         F.first("n_train").alias("n_train"), F.first("last_date").alias("last_date"),
         F.collect_list(F.struct("trial", "coef")).alias("models"),
     )
-    rows = attach(valid.select(*keys, cfg.date_col, F.col(cfg.target_col).alias("y")), packed, keys)
+    rows = join_series(valid.select(*keys, cfg.date_col, F.col(cfg.target_col).alias("y")), packed, keys)
     t = (F.col("n_train") + F.datediff(cfg.date_col, "last_date") - 1).cast("double")
     scored = rows.select(*keys, "y", t.alias("t"), F.weekday(cfg.date_col).alias("dow"), F.inline("models"))
     predicted = F.greatest(line(F.col("coef"), F.col("t"), F.col("dow")), F.lit(0.0))

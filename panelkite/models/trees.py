@@ -21,8 +21,8 @@ from pyspark.storagelevel import StorageLevel
 
 from panelkite.config import DEFAULT, PanelConfig
 from panelkite.functions import windows as win
-from panelkite.functions.keys import attach, series_window, whole_series
-from panelkite.models.base import Fitted, check_horizon, finish, future_calendar, robust_sigma
+from panelkite.functions.keys import join_series, series_window, whole_series
+from panelkite.models.base import Fitted, check_horizon, finish, points, robust_sigma
 from panelkite.models.decomposable import key_fields
 from panelkite.session import new_path
 
@@ -124,7 +124,7 @@ def fit(
                 learning = _curve(honest, rows, model, target)
         trained = _estimator(model, p | {"n_estimators": rounds}, target).fit(rows)
         residuals = trained.transform(rows).select(*keys, (F.col(target) - F.col("prediction")).alias("residual"))
-        state = attach(_tails(df, keys, cfg), robust_sigma(residuals, keys), keys)
+        state = join_series(_tails(df, keys, cfg), robust_sigma(residuals, keys), keys)
         path = new_path(spark, f"{model}-state")
         state.write.parquet(path)
     finally:
@@ -241,9 +241,8 @@ def forecast(
             out = roll_forward(forest, np.stack(pdf["tail"].to_list()), pdf["n_train"].to_numpy(float), last, n_days)
             yield pdf[[*keys, "last_date", "residual_std"]].assign(v=list(out))
 
-    rows = future_calendar(fitted.series.mapInPandas(kernel, schema), n_days)
-    rows = rows.withColumn("predicted", F.element_at("v", F.col("day_number")))
-    return finish(rows, keys, fitted.model, level, include_ci)
+    path = points(n_days, lambda i, _: {"predicted": F.element_at("v", i)})
+    return finish(fitted.series.mapInPandas(kernel, schema), keys, fitted.model, path, level, include_ci)
 
 
 def in_sample(df: DataFrame, fitted: Fitted, cfg: PanelConfig = DEFAULT) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig, numeric_columns
-from panelkite.functions.keys import attach, first_per, null_if_nan, series_window
+from panelkite.functions.keys import attach_rows, first_per, null_if_nan, series_window
 from panelkite.functions.windows import forward_back_fill
 from panelkite.sources.readers import coerce_types, parse_date
 
@@ -64,7 +64,7 @@ def fill_mode(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     columns = [c for c in columns if c in df.columns]
     if not columns:
         return df
-    joined = attach(df, modes(df, keys, columns), keys, salted=True)
+    joined = attach_rows(df, modes(df, keys, columns), keys)
     return joined.select(
         *[F.coalesce(F.col(c), F.col(f"__mode_{c}")).alias(c) if c in columns else F.col(c) for c in df.columns]
     )
@@ -131,11 +131,11 @@ def handle_outliers(
         raise ValueError("method must be clip or remove")
     columns = [c for c in (columns or [cfg.target_col, cfg.spend_col]) if c in df.columns]
     if method == "clip":
-        bounded = attach(df, _bounds(df, keys, columns, n_std), keys, salted=True)
+        bounded = attach_rows(df, _bounds(df, keys, columns, n_std), keys)
         return bounded.select(*[_clip(c) if c in columns else F.col(c) for c in df.columns])
     out = df
     for c in columns:
-        bounded = attach(out, _bounds(out, keys, [c], n_std), keys, salted=True)
+        bounded = attach_rows(out, _bounds(out, keys, [c], n_std), keys)
         outside = (F.col(c) < F.col(f"__lo_{c}")) | (F.col(c) > F.col(f"__hi_{c}"))
         out = bounded.filter(~F.coalesce(outside, F.lit(False))).select(*df.columns)
     return out

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig, numeric_columns
-from panelkite.functions.keys import attach, series_window
+from panelkite.functions.keys import attach, attach_rows, series_window
 from panelkite.operators.quantiles import exact_quantiles, wide_quantiles
+from panelkite.session import written
 from panelkite.sources.readers import parse_date
 
 REPORT_FIELDS = ("check", "severity", "column", "count", "pct", "message")
@@ -91,10 +92,10 @@ def iqr_bounds(df: DataFrame, keys: list[str], columns: list[str], k: float = 1.
 
 def iqr_outliers(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``keys, column, q1, q3, lower_bound, upper_bound, count, pct`` of values outside the bounds."""
-    bounds = iqr_bounds(df, keys, columns)
+    bounds = written(iqr_bounds(df, keys, columns), "bounds")
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (column, v)")
-    rows = attach(long, bounds.select(*keys, "column", "lower_bound", "upper_bound"), [*keys, "column"], salted=True)
+    rows = attach_rows(long, bounds.select(*keys, "column", "lower_bound", "upper_bound"), [*keys, "column"])
     outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
     counted = rows.groupBy(*keys, "column").agg(F.count_if(outside).alias("count"), F.count("*").alias("n"))
     return attach(bounds, counted, [*keys, "column"]).select(

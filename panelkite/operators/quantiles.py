@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelkite.functions.keys import attach
+from panelkite.functions.keys import attach, attach_rows
+from panelkite.session import written
 
 
 def exact_quantiles(
@@ -29,7 +30,8 @@ def exact_quantiles(
 ) -> DataFrame:
     """Tidy rows ``keys, column, prob, value``; NULL and NaN values are ignored.
 
-    A group without values gives no row. ``df`` is scanned three times: persist it if it is costly.
+    A group without values gives no row. ``df`` is scanned three times, and the first two passes run
+    when the function is called; what they leave, a few values per group, is kept in the shared folder.
     """
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (column, v)")
@@ -45,8 +47,9 @@ def exact_quantiles(
         F.max("v").alias("v_max"),
         F.percentile_approx("v", edges, accuracy).alias("e"),
     )
+    sketch = written(sketch, "sketch")
     counts = (
-        attach(long, sketch.select(*ids, "e"), ids, salted=True)
+        attach_rows(long, sketch.select(*ids, "e"), ids)
         .groupBy(*ids)
         .agg(
             *[F.count_if(F.col("v") < F.col("e")[2 * i]).alias(f"b{i}") for i in range(len(probs))],
@@ -58,7 +61,7 @@ def exact_quantiles(
     )
     # A row lands in the few brackets that hold it, usually none.
     inside = (
-        attach(long, brackets, ids, salted=True)
+        attach_rows(long, brackets, ids)
         .select(*ids, "v", F.explode(F.filter("br", lambda b: F.col("v").between(b.lo, b.hi))).alias("b"))
         .groupBy(*ids, F.col("b.prob").alias("prob"), "v")
         .agg(F.count("*").alias("c"), F.first("b").alias("b"))

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkite.config import DEFAULT, PanelConfig
-from panelkite.functions.keys import attach
+from panelkite.functions.keys import join_series
 from panelkite.operators.eda import series_profile
 from panelkite.operators.quality import duplicate_rows
 
 
 def analysis(df: DataFrame, keys: list[str], cfg: PanelConfig = DEFAULT) -> DataFrame:
     """The analysis bundle: one row per series, duplicates of the raw rows included."""
-    return attach(series_profile(df, keys, cfg), duplicate_rows(df, keys), keys)
+    return join_series(series_profile(df, keys, cfg), duplicate_rows(df, keys), keys)
 
 
 def insights(profile: DataFrame, keys: list[str]) -> DataFrame:

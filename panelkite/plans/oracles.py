@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+from panelkite.functions.scalars import AS241
+
 _PANEL = """
 sp AS (SELECT l_orderkey, sum(l_extendedprice * l_discount) AS spend FROM lineitem GROUP BY 1),
 p AS (
@@ -371,17 +373,31 @@ SELECT c_mktsegment, date, round({_fill('daily_sales')}, 4) AS daily_sales, roun
 FROM k LEFT JOIN {_MODE.format(src='k')} USING (c_mktsegment)"""
 
 
-def _bound(sign: str, x: str, src: str) -> str:
+ORACLES["cleaning_report"] = f"""WITH {_RAW},
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, date ORDER BY daily_sales NULLS FIRST,
+        marketing_spend NULLS FIRST, is_holiday NULLS FIRST, product_category NULLS FIRST) AS r FROM raw WHERE date IS NOT NULL) WHERE r = 1),
+k2 AS (SELECT {_fill('daily_sales')} AS a, {_fill('marketing_spend')} AS b, {_fill('is_holiday')} AS c, coalesce(product_category, mode) AS d
+       FROM k LEFT JOIN {_MODE.format(src='k')} USING (c_mktsegment)),
+n0 AS (SELECT count(*) AS kept, count(*) * 4 - count(daily_sales) - count(marketing_spend) - count(is_holiday) - count(product_category) AS b FROM k),
+n1 AS (SELECT count(*) * 4 - count(a) - count(b) - count(c) - count(d) AS a FROM k2),
+nr AS (SELECT count(*) FILTER (date IS NULL) AS undated, count(date) AS dated FROM raw)
+SELECT 'renamed_columns' AS operation, CAST(0 AS BIGINT) AS count
+UNION ALL SELECT 'rows_without_date', undated FROM nr
+UNION ALL SELECT 'duplicate_rows_removed', dated - kept FROM nr, n0
+UNION ALL SELECT 'values_filled', n0.b - n1.a FROM n0, n1"""
+
+
+def _bound(x: str, src: str) -> str:
     return f"(SELECT c_mktsegment, avg({x}) - 2.0 * stddev_samp({x}) AS lo, avg({x}) + 2.0 * stddev_samp({x}) AS hi FROM {src} GROUP BY 1)"
 
 
 ORACLES["clip_outliers"] = f"""WITH {_PANEL}
 SELECT c_mktsegment, date, round(CASE WHEN daily_sales IS NOT NULL THEN least(greatest(daily_sales, a.lo), a.hi) END, 4) AS daily_sales,
        round(CASE WHEN marketing_spend IS NOT NULL THEN least(greatest(marketing_spend, b.lo), b.hi) END, 6) AS marketing_spend, CAST(is_holiday AS BIGINT) AS is_holiday
-FROM p JOIN {_bound('', 'daily_sales', 'p')} a USING (c_mktsegment) JOIN {_bound('', 'marketing_spend', 'p')} b USING (c_mktsegment)"""
+FROM p JOIN {_bound('daily_sales', 'p')} a USING (c_mktsegment) JOIN {_bound('marketing_spend', 'p')} b USING (c_mktsegment)"""
 ORACLES["remove_outliers"] = f"""WITH {_PANEL},
-p1 AS (SELECT p.* FROM p JOIN {_bound('', 'daily_sales', 'p')} a USING (c_mktsegment) WHERE NOT coalesce(daily_sales < a.lo OR daily_sales > a.hi, false)),
-p2 AS (SELECT p1.* FROM p1 JOIN {_bound('', 'marketing_spend', 'p1')} b USING (c_mktsegment) WHERE NOT coalesce(marketing_spend < b.lo OR marketing_spend > b.hi, false))
+p1 AS (SELECT p.* FROM p JOIN {_bound('daily_sales', 'p')} a USING (c_mktsegment) WHERE NOT coalesce(daily_sales < a.lo OR daily_sales > a.hi, false)),
+p2 AS (SELECT p1.* FROM p1 JOIN {_bound('marketing_spend', 'p1')} b USING (c_mktsegment) WHERE NOT coalesce(marketing_spend < b.lo OR marketing_spend > b.hi, false))
 SELECT c_mktsegment, date, round(daily_sales, 4) AS daily_sales, round(marketing_spend, 6) AS marketing_spend, CAST(is_holiday AS BIGINT) AS is_holiday FROM p2"""
 
 # --- exploratory statistics ------------------------------------------------------------------
@@ -451,6 +467,7 @@ _CM = ("daily_sales", "marketing_spend", "daily_sales_lag_1", "day_of_week_num")
 ORACLES["correlation_matrix"] = f"WITH {_FEAT} " + _cast_union([
     f"SELECT c_mktsegment, '{b}' AS column_a, '{a}' AS column_b, round(corr({a}, {b}), 7) AS correlation FROM ft GROUP BY 1"
     for i, a in enumerate(_CM) for b in _CM[i + 1:]])
+ORACLES["top_correlations"] = f"SELECT * FROM ({ORACLES['target_correlations']}) WHERE rank <= 3"
 _OUT = _PANEL + """,
 oq AS (SELECT c_mktsegment, quantile_cont(daily_sales, 0.25) AS q1, quantile_cont(daily_sales, 0.75) AS q3, avg(daily_sales) AS mu,
               stddev_pop(daily_sales) AS sd FROM p GROUP BY 1),
@@ -490,6 +507,25 @@ SELECT ss.* EXCLUDE (spend_null), CAST(spend_null AS BIGINT) AS columns_with_nul
   best_day, worst_day, round(weekend_avg, 4) AS weekend_avg, round(weekday_avg, 4) AS weekday_avg, date_gaps, CAST(0 AS BIGINT) AS duplicates
 FROM ss JOIN oc USING (c_mktsegment) JOIN ds USING (c_mktsegment) JOIN gg USING (c_mktsegment)"""
 
+
+
+def _poly(region: str, r: str) -> str:
+    num, den = ("(" + " + ".join(f"{c!r}::DOUBLE * pow({r}, {i})" for i, c in enumerate(cs)) + ")" for cs in AS241[region])
+    return f"{num} / {den}"
+
+
+_QQ = _PANEL + """,
+qr AS (SELECT c_mktsegment, daily_sales AS ordered, row_number() OVER (PARTITION BY c_mktsegment ORDER BY daily_sales, date) AS i,
+              count(*) OVER (PARTITION BY c_mktsegment) AS n FROM p),
+qm AS (SELECT c_mktsegment, ordered, i, CASE WHEN i = n THEN pow(0.5, 1.0 / n) WHEN i = 1 THEN 1 - pow(0.5, 1.0 / n)
+              ELSE (i - 0.3175) / (n + 0.365) END AS m FROM qr),
+qs AS (SELECT *, m - 0.5 AS q, sqrt(-ln(least(m, 1 - m))) AS r FROM qm),
+""" + f"""qt AS (SELECT c_mktsegment, ordered, i, CASE WHEN abs(q) <= 0.425 THEN q * {_poly("central", "(0.180625 - q * q)")}
+  ELSE sign(q) * CASE WHEN r <= 5 THEN {_poly("near", "(r - 1.6)")} ELSE {_poly("far", "(r - 5)")} END END AS theoretical FROM qs),
+ql AS (SELECT c_mktsegment, regr_slope(ordered, theoretical) AS s, regr_intercept(ordered, theoretical) AS b FROM qt GROUP BY 1)"""
+ORACLES["qq_points"] = _sql(
+    _QQ, "c_mktsegment, i", {"theoretical": "theoretical", "ordered": "ordered", "line_slope": "s", "line_intercept": "b"},
+    "qt JOIN ql USING (c_mktsegment)")
 _CORR_PAIRS = ("marketing_spend", "is_holiday")
 _REPORT = f"""{_DOW}, {_OUT.split(_PANEL)[1].lstrip(',')}, {_LAGGED.split(_PANEL)[1].lstrip(',')},
 {_GAPS}, gg AS (SELECT c_mktsegment, count(*) FILTER (gap_days > 1) AS date_gaps FROM dgap GROUP BY 1),
@@ -539,6 +575,17 @@ ORACLES["section_report"] = f"WITH {_REPORT} " + _cast_union(
      for s, items in _LINES for i, (label, e) in enumerate(items, 1)]
     + ["SELECT c_mktsegment, '4. TOP CORRELATIONS', k, col, printf('%.4f', r) FROM tc WHERE k <= 5"])
 
+_TIDY = {
+    "basic_stats": ("lg", {"count": "count(*)"} | _BASIC | {"date_range_days": "max(date) - min(date) + 1"}),
+    "trend": ("lg", _TREND | {"n": "count(daily_sales)"}), "holiday_effect": ("lg", _HOLIDAY), "autocorrelation": ("lg", _AUTO),
+    "outliers": ("oc", {"lower_bound": "any_value(lo)", "upper_bound": "any_value(hi)", "iqr_outliers": "any_value(io)",
+                        "iqr_outlier_percent": "any_value(100.0 * io / oc.n)", "zscore_outliers": "any_value(zo)",
+                        "zscore_outlier_percent": "any_value(100.0 * zo / oc.n)"}),
+}
+ORACLES["tidy_analysis"] = f"WITH {_LAGGED}, {_OUT.split(_PANEL)[1].lstrip(',')} " + _cast_union([
+    f"SELECT c_mktsegment, '{section}' AS section, '{k}' AS key, round(CAST({e} AS DOUBLE), 4) AS value FROM {src} GROUP BY 1"
+    for section, (src, values) in _TIDY.items() for k, e in values.items()])
+
 # --- splits and metrics ----------------------------------------------------------------------
 
 _INFO_COLS = """min(date) FILTER (role = 'train') AS train_start, max(date) FILTER (role = 'train') AS train_end,

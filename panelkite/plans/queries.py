@@ -7,6 +7,7 @@ for comparison with the SQL of :mod:`panelkite.plans.oracles`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -362,6 +363,12 @@ def remove_outliers(spark, base):
     return show(cleaning.handle_outliers(panel(spark, base).drop("product_category"), SEG, method="remove", n_std=2.0))
 
 
+@query
+def cleaning_report(spark, base):
+    raw = raw_sales(spark, base)
+    return show(cleaning.cleaning_report(raw, cleaning.clean(raw, SEG), SEG))
+
+
 # --- exploratory statistics ------------------------------------------------------------------
 
 
@@ -476,6 +483,23 @@ def section_report(spark, base):
     return show(report.section_report(report.analysis(panel(spark, base), SEG), SEG))
 
 
+@query
+def tidy_analysis(spark, base):
+    """The analysis bundle in long form: one row per series, section and figure."""
+    p = sales(spark, base)
+    parts = [("basic_stats", eda.basic_stats(p, SEG)), ("trend", eda.trend(p, SEG, p_value=False)),
+             ("holiday_effect", eda.holiday_effect(p, SEG)), ("autocorrelation", eda.autocorrelation(p, SEG)),
+             ("outliers", eda.outliers(p, SEG))]
+    return show(reduce(DataFrame.unionByName, [report.tidy(w, SEG, name) for name, w in parts]))
+
+
+@query
+def top_correlations(spark, base):
+    made = features.create_features(panel(spark, base), SEG, "minimal")
+    cols = ["marketing_spend", "is_holiday", "day_of_week_num", "month", "daily_sales_lag_1", "daily_sales_rolling_mean_7"]
+    return show(eda.target_correlations(made, SEG, cols).filter(F.col("rank") <= 3), 7)
+
+
 # --- splits and metrics ----------------------------------------------------------------------
 
 
@@ -866,8 +890,7 @@ def streamed_severity(spark, base):
 def streamed_last_events(spark, base):
     out, mark = new_path(spark, "last"), new_path(spark, "mark")
     stream.keep_last_items(_event_stream(spark, base).select("event_id", "ts", "user_id"), ["user_id"], out, mark)
-    # Only the newest version is complete; a single file gives a single batch.
-    return show(spark.read.parquet(out).drop("batch"))
+    return show(stream.read_last_items(spark, out))
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelkite.config import DEFAULT, PanelConfig
-from panelkite.functions.keys import attach
+from panelkite.functions.keys import join_series
 from panelkite.models import linear, trees
 from panelkite.models.base import Fitted
 from panelkite.models.registry import MODELS, resolve
@@ -75,7 +75,7 @@ def train_model(
         path = f"{model_dir}/{spec.name}"
         final.save(path)
     info = split_info(split, keys, cfg).drop("fold")
-    runs = attach(attach(info, tested, keys), learned, keys).withColumns({
+    runs = join_series(join_series(info, tested, keys), learned, keys).withColumns({
         "run_id": F.lit(run_id),
         "model_name": F.lit(spec.name),
         "best_params": F.lit(json.dumps(spec.defaults | chosen)),

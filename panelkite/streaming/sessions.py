@@ -55,20 +55,29 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 def keep_last_items(
     stream: DataFrame, by: list[str], out: str, checkpoint: str, n: int = HISTORY_LENGTH, ts: str = "ts", tie: str = "event_id"
 ) -> None:
-    """Maintain the newest ``n`` rows per entity in versioned tables ``out/batch=<id>``.
+    """Maintain the newest ``n`` rows per entity; read them with :func:`read_last_items`.
 
-    Each micro-batch merges with the version before it and writes its own version; a repeated batch
-    overwrites only itself. The limit is applied before the shuffle, so no entity is collected whole.
+    Each micro-batch merges with the version before it and writes its own, in turn into one of two
+    slots: a repeated batch overwrites only itself, readers always find the version before it, and
+    old versions do not pile up. The limit is applied before the shuffle, so no entity is collected whole.
     """
     spark, schema = stream.sparkSession, stream.schema
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         if batch_id > 0:
-            batch = batch.unionByName(spark.read.schema(schema).parquet(f"{out}/batch={batch_id - 1}"))
-        last_items(batch, by, n, ts, tie).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            batch = batch.unionByName(spark.read.schema(schema).parquet(f"{out}/slot={(batch_id - 1) % 2}"))
+        kept = last_items(batch, by, n, ts, tie).withColumn("version", F.lit(batch_id).cast("long"))
+        kept.write.mode("overwrite").parquet(f"{out}/slot={batch_id % 2}")
 
     query = (
         stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+
+
+def read_last_items(spark: SparkSession, out: str) -> DataFrame:
+    """The newest complete version."""
+    rows = spark.read.parquet(out)
+    newest = rows.agg(F.max("version").alias("v")).scalar()
+    return rows.filter(F.col("version") == newest).drop("version", "slot")

@@ -161,7 +161,7 @@ def test_last_items_across_batches(spark, folder):
     batches = [[(i, i, i % 2, 0.0) for i in range(20)], [(100 + i, 1000 + i, 0, 0.0) for i in range(3)]]
     raw = event_files(spark, folder, batches)
     stream.keep_last_items(raw, ["user_id"], f"{folder}/out", f"{folder}/mark", n=4)
-    got = spark.read.parquet(f"{folder}/out/batch=1")
+    got = stream.read_last_items(spark, f"{folder}/out")
     assert got.filter("user_id = 1").count() == 4
     ids = {r["event_id"] for r in got.filter("user_id = 0").collect()}
     assert ids == {100, 101, 102, 18}
