@@ -13,6 +13,8 @@ from exact counts:
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,21 +58,22 @@ def exact_quantiles(
             *[F.count_if(F.col("v") <= F.col("e")[2 * i + 1]).alias(f"u{i}") for i in range(len(probs))],
         )
     )
-    brackets = attach(sketch, counts, ids).select(
-        *ids, F.array(*[_bracket(i, p) for i, p in enumerate(probs)]).alias("br")
-    )
-    # A row lands in the few brackets that hold it, usually none.
+    bounds = attach(sketch, counts, ids).select(*ids, "n", *_brackets(probs))
+    rows = attach_rows(long, bounds, ids)
+    hits = [F.col("v").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(probs))]
+    # A plain filter first: nearly every row is in no bracket and ends here, inside generated code.
+    near = rows.filter(reduce(lambda x, y: x | y, hits))
+    tags = F.array_compact(F.array(*[F.when(h, _target(i, p)) for i, (h, p) in enumerate(zip(hits, probs))]))
     inside = (
-        attach_rows(long, brackets, ids)
-        .select(*ids, "v", F.explode(F.filter("br", lambda b: F.col("v").between(b.lo, b.hi))).alias("b"))
-        .groupBy(*ids, F.col("b.prob").alias("prob"), "v")
-        .agg(F.count("*").alias("c"), F.first("b").alias("b"))
+        near.select(*ids, "v", F.explode(tags).alias("b"))
+        .groupBy(*ids, F.col("b.prob").alias("prob"), F.col("b.rank").alias("rank"), F.col("b.below").alias("below"), "v")
+        .agg(F.count("*").alias("c"))
     )
     upto = F.sum("c").over(
         W.partitionBy(*ids, "prob").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
     )
-    ranked = inside.select(*ids, "prob", "v", "b", (F.col("b.below") + upto).alias("upto"))
-    rank = F.col("b.rank")
+    ranked = inside.select(*ids, "prob", "v", "rank", (F.col("below") + upto).alias("upto"))
+    rank = F.col("rank")
     picked = ranked.groupBy(*ids, "prob").agg(
         F.min(F.when(F.col("upto") > F.floor(rank), F.col("v"))).alias("x0"),
         F.min(F.when(F.col("upto") > F.ceil(rank), F.col("v"))).alias("x1"),
@@ -79,16 +82,23 @@ def exact_quantiles(
     return picked.select(*ids, "prob", (F.col("x0") + F.col("w") * (F.col("x1") - F.col("x0"))).alias("value"))
 
 
-def _bracket(i: int, p: float) -> Column:
-    rank = (F.col("n") - 1) * F.lit(p)
-    sound = (F.floor(rank) >= F.col(f"b{i}")) & (F.ceil(rank) < F.col(f"u{i}"))
-    return F.struct(
-        F.lit(p).alias("prob"),
-        rank.alias("rank"),
-        F.when(sound, F.col("e")[2 * i]).otherwise(F.col("v_min")).alias("lo"),
-        F.when(sound, F.col("e")[2 * i + 1]).otherwise(F.col("v_max")).alias("hi"),
-        F.when(sound, F.col(f"b{i}")).otherwise(F.lit(0).cast("long")).alias("below"),
-    )
+def _rank(p: float) -> Column:
+    return (F.col("n") - 1) * F.lit(p)
+
+
+def _brackets(probs: tuple[float, ...]) -> list[Column]:
+    """Bounds and the count below them; the whole range where a bracket misses its rank."""
+    out = []
+    for i, p in enumerate(probs):
+        sound = (F.floor(_rank(p)) >= F.col(f"b{i}")) & (F.ceil(_rank(p)) < F.col(f"u{i}"))
+        out.append(F.when(sound, F.col("e")[2 * i]).otherwise(F.col("v_min")).alias(f"lo{i}"))
+        out.append(F.when(sound, F.col("e")[2 * i + 1]).otherwise(F.col("v_max")).alias(f"hi{i}"))
+        out.append(F.when(sound, F.col(f"b{i}")).otherwise(F.lit(0).cast("long")).alias(f"below{i}"))
+    return out
+
+
+def _target(i: int, p: float) -> Column:
+    return F.struct(F.lit(p).alias("prob"), _rank(p).alias("rank"), F.col(f"below{i}").alias("below"))
 
 
 def wide_quantiles(quantiles: DataFrame, keys: list[str], names: dict[float, str]) -> DataFrame:

@@ -652,7 +652,7 @@ ORACLES["sessionize"] = """
 WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS o
            FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
 b AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a)
-SELECT user_id, CAST(s AS BIGINT) AS session_no, CAST(min(ts) AS TIMESTAMPTZ) AS session_start, CAST(max(ts) AS TIMESTAMPTZ) AS last_event,
+SELECT user_id, CAST(s AS BIGINT) AS session_no, min(ts) AS session_start, max(ts) AS last_event,
        count(*) AS n_events, round(sum(value), 2) AS total_value FROM b GROUP BY 1, 2"""
 ORACLES["last_events_per_user"] = """
 SELECT event_id, ts, user_id, event_type FROM events
@@ -784,13 +784,13 @@ WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts)
 b AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a),
 c AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n_events,
              round(sum(value), 2) AS total_value FROM b GROUP BY user_id, s)
-SELECT user_id, CAST(session_start AS TIMESTAMPTZ) AS session_start, CAST(session_end AS TIMESTAMPTZ) AS session_end, n_events, total_value
+SELECT user_id, session_start AS session_start, session_end AS session_end, n_events, total_value
 FROM c WHERE session_end <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
 ORACLES["streamed_severity"] = f"""
-SELECT CAST(d AS TIMESTAMPTZ) AS window_start, severity, count(*) AS lines
+SELECT d AS window_start, severity, count(*) AS lines
 FROM (SELECT date_trunc('day', ts) AS d, {_SEV.format("(event_type || ' ' || props)")} AS severity FROM events)
 WHERE d + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY GROUP BY 1, 2"""
 ORACLES["streamed_last_events"] = """
-SELECT event_id, CAST(ts AS TIMESTAMPTZ) AS ts, user_id FROM events
+SELECT event_id, ts AS ts, user_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
 ORACLES["csv_intake"] = ORACLES["daily_panel_by_segment"]

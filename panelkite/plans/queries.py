@@ -49,8 +49,12 @@ def longs(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("long").alias(c) if t in ("int", "smallint") else F.col(c) for c, t in df.dtypes])
 
 
+def zoneless(df: DataFrame) -> DataFrame:
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
+
+
 def show(df: DataFrame, dp: int = 4) -> DataFrame:
-    return longs(rounded(df, dp))
+    return zoneless(longs(rounded(df, dp)))
 
 
 def panel(spark: SparkSession, base: str) -> DataFrame:
