@@ -53,9 +53,14 @@ def _sql(ctes: str, keep: str, values: dict[str, str], source: str, dp: int = 4,
 
 
 def _dp(name: str, dp: int) -> int:
-    if "spend" in name or "deviation" in name:
+    """The same places as ``queries.places``."""
+    if name == "mse":
+        return 0
+    if "ewm" in name:
+        return min(dp, 3)
+    if "spend" in name or "deviation" in name or (dp == 4 and ("mean" in name or "bound" in name or "avg" in name)):
         return max(dp, 6)
-    return min(dp, 3) if "ewm" in name else dp
+    return dp
 
 
 def _frame(n: int) -> str:
@@ -331,7 +336,7 @@ ORACLES["data_info"] = f"WITH {_RAW}, t AS (SELECT count(*) AS n, min(date) AS l
             lo AS date_start, hi AS date_end FROM t""" for c in _INFO])
 ORACLES["quality_report"] = f"WITH {_RAW_DATES} " + _cast_union([
     f"""SELECT c_mktsegment, count(*) AS rows, '{c}' AS "column", count(*) FILTER ({c} IS NULL) AS nulls,
-        round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max,
+        round(avg({c}), 6) AS mean, round(stddev_samp({c}), 4) AS std, round(min({c})::DOUBLE, 4) AS min, round(max({c})::DOUBLE, 4) AS max,
         round(skewness({c}), 4) AS skewness, round(kurtosis({c}), 4) AS kurtosis, round(median({c}), 4) AS median,
         any_value(rd.dups) AS duplicates FROM raw JOIN rd USING (c_mktsegment) GROUP BY 1"""
     for c in ("daily_sales", "marketing_spend", "is_holiday")])
@@ -482,7 +487,7 @@ b AS (SELECT c_mktsegment, min(daily_sales) AS lo, max(daily_sales) AS hi, avg(d
 h AS (SELECT c_mktsegment, least(coalesce(floor((daily_sales - lo) / nullif((hi - lo) / 30, 0)) + 1, 1), 30) AS bin, count(*) AS c
       FROM p JOIN b USING (c_mktsegment) GROUP BY 1, 2)
 SELECT b.c_mktsegment, CAST(i + 1 AS BIGINT) AS bin, round(lo + i * ((hi - lo) / 30), 4) AS bin_start,
-       round(lo + (i + 1) * ((hi - lo) / 30), 4) AS bin_end, coalesce(c, 0) AS count, round(mu, 4) AS mean, round(md, 4) AS median
+       round(lo + (i + 1) * ((hi - lo) / 30), 4) AS bin_end, coalesce(c, 0) AS count, round(mu, 6) AS mean, round(md, 4) AS median
 FROM b CROSS JOIN range(30) r(i) LEFT JOIN h ON h.c_mktsegment = b.c_mktsegment AND h.bin = i + 1"""
 _BOX = _PANEL + """,
 bx AS (SELECT c_mktsegment, date, daily_sales, 'all' AS grouping_, 'all' AS group_ FROM p
@@ -501,10 +506,10 @@ ORACLES["boxplot_fliers"] = _sql(
 ORACLES["series_analysis"] = f"""WITH {_DOW}, {_OUT.split(_PANEL)[1].lstrip(',')}, {_LAGGED.split(_PANEL)[1].lstrip(',')},
 {_GAPS}, gg AS (SELECT c_mktsegment, count(*) FILTER (gap_days > 1) AS date_gaps FROM dgap GROUP BY 1),
 ss AS (SELECT c_mktsegment, {_BASIC_KEEP}, {_TREND_KEEP}, count(*) - count(marketing_spend) > 0 AS spend_null,
-  {', '.join(f'round({e}, 4) AS {n}' for n, e in (_BASIC | _TREND | _AUTO | _HOLIDAY).items())} FROM lg GROUP BY 1)
-SELECT ss.* EXCLUDE (spend_null), CAST(spend_null AS BIGINT) AS columns_with_nulls, round(lo, 4) AS lower_bound, round(hi, 4) AS upper_bound,
+  {', '.join(f'round({e}, {_dp(n, 4)}) AS {n}' for n, e in (_BASIC | _TREND | _AUTO | _HOLIDAY).items())} FROM lg GROUP BY 1)
+SELECT ss.* EXCLUDE (spend_null), CAST(spend_null AS BIGINT) AS columns_with_nulls, round(lo, 6) AS lower_bound, round(hi, 6) AS upper_bound,
   io AS iqr_outliers, zo AS zscore_outliers, round(100.0 * io / oc.n, 4) AS iqr_outlier_percent, round(100.0 * zo / oc.n, 4) AS zscore_outlier_percent,
-  best_day, worst_day, round(weekend_avg, 4) AS weekend_avg, round(weekday_avg, 4) AS weekday_avg, date_gaps, CAST(0 AS BIGINT) AS duplicates
+  best_day, worst_day, round(weekend_avg, 6) AS weekend_avg, round(weekday_avg, 6) AS weekday_avg, date_gaps, CAST(0 AS BIGINT) AS duplicates
 FROM ss JOIN oc USING (c_mktsegment) JOIN ds USING (c_mktsegment) JOIN gg USING (c_mktsegment)"""
 
 
@@ -583,7 +588,7 @@ _TIDY = {
                         "zscore_outlier_percent": "any_value(100.0 * zo / oc.n)"}),
 }
 ORACLES["tidy_analysis"] = f"WITH {_LAGGED}, {_OUT.split(_PANEL)[1].lstrip(',')} " + _cast_union([
-    f"SELECT c_mktsegment, '{section}' AS section, '{k}' AS key, round(CAST({e} AS DOUBLE), 4) AS value FROM {src} GROUP BY 1"
+    f"SELECT c_mktsegment, '{section}' AS section, '{k}' AS key, round(CAST({e} AS DOUBLE), 5) AS value FROM {src} GROUP BY 1"
     for section, (src, values) in _TIDY.items() for k, e in values.items()])
 
 # --- splits and metrics ----------------------------------------------------------------------
@@ -658,7 +663,7 @@ ORACLES["last_events_per_user"] = """
 SELECT event_id, ts, user_id, event_type FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
 ORACLES["user_liveness"] = """
-SELECT user_id, last_seen, round(epoch_us(m - last_seen) / 1e6, 4) AS idle_seconds,
+SELECT user_id, last_seen, round(epoch_us(m - last_seen) / 1e6, 6) AS idle_seconds,
        CAST(epoch_us(m - last_seen) <= 3600000000 AS BIGINT) AS is_active, CAST(epoch_us(m - last_seen) > 300000000 AS BIGINT) AS is_stale
 FROM (SELECT user_id, max(ts) AS last_seen FROM events GROUP BY 1), (SELECT max(ts) AS m FROM events)"""
 _SEV = """CASE WHEN upper({0}) LIKE '%ERROR%' OR upper({0}) LIKE '%FAIL%' THEN 'error' WHEN upper({0}) LIKE '%WARN%' THEN 'warning'
@@ -784,13 +789,13 @@ WITH a AS (SELECT *, CASE WHEN ts - lag(ts) OVER w > INTERVAL 1 HOUR OR lag(ts)
 b AS (SELECT *, sum(o) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM a),
 c AS (SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 1 HOUR AS session_end, count(*) AS n_events,
              round(sum(value), 2) AS total_value FROM b GROUP BY user_id, s)
-SELECT user_id, session_start AS session_start, session_end AS session_end, n_events, total_value
+SELECT user_id, session_start, session_end, n_events, total_value
 FROM c WHERE session_end <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
 ORACLES["streamed_severity"] = f"""
 SELECT d AS window_start, severity, count(*) AS lines
 FROM (SELECT date_trunc('day', ts) AS d, {_SEV.format("(event_type || ' ' || props)")} AS severity FROM events)
 WHERE d + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY GROUP BY 1, 2"""
 ORACLES["streamed_last_events"] = """
-SELECT event_id, ts AS ts, user_id FROM events
+SELECT event_id, ts, user_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
 ORACLES["csv_intake"] = ORACLES["daily_panel_by_segment"]

@@ -39,10 +39,22 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def places(name: str, dp: int) -> int:
+    """Decimal places by column, chosen so that no value sits on a rounding tie.
+
+    Spend, deviations, means and bounds lie on a finer grid than four places can hold.
+    """
+    if name == "mse":
+        return 0
+    if "ewm" in name:
+        return min(dp, 3)
+    if "spend" in name or "deviation" in name or (dp == 4 and ("mean" in name or "bound" in name or "avg" in name)):
+        return max(dp, 6)
+    return dp
+
+
 def rounded(df: DataFrame, dp: int = 4) -> DataFrame:
-    """Round doubles. Spend and deviations lie on a finer grid and get six places, so no value is a tie."""
-    places = lambda c: max(dp, 6) if "spend" in c or "deviation" in c else min(dp, 3) if "ewm" in c else dp
-    return df.select(*[F.round(c, places(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[F.round(c, places(c, dp)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def longs(df: DataFrame) -> DataFrame:
@@ -494,7 +506,7 @@ def tidy_analysis(spark, base):
     parts = [("basic_stats", eda.basic_stats(p, SEG)), ("trend", eda.trend(p, SEG, p_value=False)),
              ("holiday_effect", eda.holiday_effect(p, SEG)), ("autocorrelation", eda.autocorrelation(p, SEG)),
              ("outliers", eda.outliers(p, SEG))]
-    return show(reduce(DataFrame.unionByName, [report.tidy(w, SEG, name) for name, w in parts]))
+    return show(reduce(DataFrame.unionByName, [report.tidy(w, SEG, name) for name, w in parts]), 5)
 
 
 @query
@@ -609,7 +621,7 @@ def last_events_per_user(spark, base):
 @query
 def user_liveness(spark, base):
     out = sessions.liveness(table(spark, base, "events"), ["user_id"])
-    return show(out.withColumns({c: F.col(c).cast("int") for c in ("is_active", "is_stale")}))
+    return show(out.withColumns({c: F.col(c).cast("int") for c in ("is_active", "is_stale")}), 6)
 
 
 @query
