@@ -60,17 +60,17 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, condition, "left").select(*df.columns, *value_cols)
 
 
-def attach_rows(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+def attach_rows(df: DataFrame, stats: DataFrame, keys: list[str], stored: bool = False) -> DataFrame:
     """As :func:`attach` for row-level frames, where one series may hold much of the data.
 
-    The statistics are written first and counted. Up to ``BROADCAST_ROWS`` series they are broadcast
+    The statistics are written first (unless ``stored`` says they are) and counted. Up to ``BROADCAST_ROWS`` series they are broadcast
     and the rows do not move. Beyond that they are copied to every salt and a row meets one copy, so a
     hot series is spread over tasks, and the join's partitioning does not serve a later aggregate by
     the same keys, which leaves adaptive execution free to split what is still skewed.
     """
     if not keys:
         return attach(df, stats, keys)
-    stats = written(stats, "stats")
+    stats = stats if stored else written(stats, "stats")
     right, value_cols, condition = _renamed(stats, keys)
     if stats.count() <= BROADCAST_ROWS:
         return df.join(F.broadcast(right), condition, "left").select(*df.columns, *value_cols)

@@ -85,9 +85,13 @@ def _score_global(
     actual = valid.select(*keys, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).alias("actual"))
     parts = []
     for i, params in enumerate(candidates):
-        fitted = spec.fit(train, keys, params=params, cfg=cfg, curve=False)
-        rows = align(actual, spec.forecast(fitted, days, include_ci=False, limit=None), keys)
-        parts.append(regression_metrics(rows, keys).select(*keys, F.lit(i).alias("trial"), "mape"))
+        try:
+            fitted = spec.fit(train, keys, params=params, cfg=cfg, curve=False)
+            rows = align(actual, spec.forecast(fitted, days, include_ci=False, limit=None), keys)
+            scored = regression_metrics(rows, keys).select(*keys, "mape")
+        except Exception:  # noqa: BLE001 - a candidate that cannot be fitted ranks last
+            scored = actual.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("mape"))
+        parts.append(scored.select(*keys, F.lit(i).alias("trial"), "mape"))
     return reduce(DataFrame.unionByName, parts)
 
 

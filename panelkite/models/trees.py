@@ -47,7 +47,7 @@ FEATURES = (
 )
 # Forest sizes at which the learning curve is read.
 CURVE_SIZES = (10, 25, 50, 75, 100, 150, 200)
-MAX_NODES = 20_000_000
+MAX_NODES = 5_000_000
 HOLDOUT = 0.2
 
 

@@ -95,7 +95,8 @@ def iqr_outliers(df: DataFrame, keys: list[str], columns: list[str]) -> DataFram
     bounds = written(iqr_bounds(df, keys, columns), "bounds")
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
     long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (column, v)")
-    rows = attach_rows(long, bounds.select(*keys, "column", "lower_bound", "upper_bound"), [*keys, "column"])
+    rows = attach_rows(
+        long, bounds.select(*keys, "column", "lower_bound", "upper_bound"), [*keys, "column"], stored=True)
     outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))
     counted = rows.groupBy(*keys, "column").agg(F.count_if(outside).alias("count"), F.count("*").alias("n"))
     return attach(bounds, counted, [*keys, "column"]).select(

@@ -51,7 +51,7 @@ def exact_quantiles(
     )
     sketch = written(sketch, "sketch")
     counts = (
-        attach_rows(long, sketch.select(*ids, "e"), ids)
+        attach_rows(long, sketch.select(*ids, "e"), ids, stored=True)
         .groupBy(*ids)
         .agg(
             *[F.count_if(F.col("v") < F.col("e")[2 * i]).alias(f"b{i}") for i in range(len(probs))],

@@ -473,6 +473,15 @@ ORACLES["correlation_matrix"] = f"WITH {_FEAT} " + _cast_union([
     f"SELECT c_mktsegment, '{b}' AS column_a, '{a}' AS column_b, round(corr({a}, {b}), 7) AS correlation FROM ft GROUP BY 1"
     for i, a in enumerate(_CM) for b in _CM[i + 1:]])
 ORACLES["top_correlations"] = f"SELECT * FROM ({ORACLES['target_correlations']}) WHERE rank <= 3"
+_GLOBAL_CORR = _cast_union([
+    f"SELECT '{c}' AS feature_name, corr(daily_sales, {c}) AS r FROM ft"
+    for c in ("marketing_spend", "is_holiday", "day_of_week_num", "daily_sales_lag_1")])
+ORACLES["stored_importance"] = f"""WITH {_FEAT}, u AS ({_GLOBAL_CORR})
+SELECT 'run-2' AS run_id, 'random_forest' AS model_name, feature_name, round(r, 7) AS importance_score,
+       row_number() OVER (ORDER BY abs(r) DESC, feature_name) AS importance_rank FROM u WHERE r IS NOT NULL AND NOT isnan(r)"""
+ORACLES["parsed_text_rows"] = f"""WITH {_PANEL}
+SELECT c_mktsegment, date, CASE WHEN day(date) <> 13 THEN round(daily_sales, 4) END AS daily_sales,
+       CAST(is_holiday AS BIGINT) AS is_holiday FROM p"""
 _OUT = _PANEL + """,
 oq AS (SELECT c_mktsegment, quantile_cont(daily_sales, 0.25) AS q1, quantile_cont(daily_sales, 0.75) AS q3, avg(daily_sales) AS mu,
               stddev_pop(daily_sales) AS sd FROM p GROUP BY 1),

@@ -379,6 +379,20 @@ def remove_outliers(spark, base):
     return show(cleaning.handle_outliers(panel(spark, base).drop("product_category"), SEG, method="remove", n_std=2.0))
 
 
+@query
+def parsed_text_rows(spark, base):
+    """The panel as text under untidy headers, named, parsed and typed again; a few cells do not parse."""
+    p = panel(spark, base)
+    bad = F.dayofmonth("date") == 13
+    text = p.select(
+        F.col("c_mktsegment").alias("C MktSegment"),
+        F.when(F.month("date") % 2 == 0, F.date_format("date", "yyyy/MM/dd")).otherwise(F.date_format("date", "yyyy-MM-dd")).alias(" Date "),
+        F.when(bad, F.lit("n/a")).otherwise(F.col("daily_sales").cast("string")).alias("Daily Sales"),
+        F.col("is_holiday").cast("string").alias("Is Holiday"))
+    named = cleaning.standardize_names(text)
+    return show(cleaning.coerce_types(cleaning.parse_dates(named)))
+
+
 @query
 def cleaning_report(spark, base):
     raw = raw_sales(spark, base)
@@ -771,8 +785,7 @@ def arima_search(spark, base):
 @query
 def ranked_backtest(spark, base):
     """Closed-form models trained, tested on untouched rows, and ranked per series."""
-    p = written(sales(spark, base), "panel")
-    _, ranked, _ = training.train_all(p, SEG, [linear.NAME, decomposable.NAME, arima.NAME], train_on_full_data=False)
+    _, ranked, _ = training.train_all(sales(spark, base), SEG, [linear.NAME, decomposable.NAME, arima.NAME], train_on_full_data=False)
     return show(ranked.drop("run_id", "training_time"), 3)
 
 
@@ -839,6 +852,19 @@ def stored_forecast_comparison(spark, base):
     return show(store.forecast_comparison(["plain", "weekday"]), 2)
 
 
+@query
+def stored_importance(spark, base):
+    """Absolute correlation with the target as the score: saved for two runs, the later one is read."""
+    cols = ["marketing_spend", "is_holiday", "day_of_week_num", "daily_sales_lag_1"]
+    made = features.create_features(panel(spark, base), SEG, "minimal")
+    scores = eda.target_correlations(made, [], cols).select(
+        F.col("column").alias("feature_name"), F.col("correlation").alias("importance_score"))
+    store = ResultsStore(spark, new_path(spark, "store"))
+    store.save_importance("run-1", "random_forest", scores.select("feature_name", F.lit(0.0).alias("importance_score")))
+    store.save_importance("run-2", "random_forest", scores)
+    return show(store.latest_importance("random_forest").drop("created_at"), 7)
+
+
 @query
 def forecast_ids_newest_first(spark, base):
     e = table(spark, base, "events").select(F.col("user_id").alias("forecast_id"), F.col("ts").alias("created_at"))

@@ -59,13 +59,13 @@ def train_model(
         scores, candidates = score(train, keys, name, n_trials, cfg=cfg)
         chosen = best_overall(scores, candidates) | chosen
     extra = {"curve": curve} if spec.name in (trees.BOOSTED, trees.FOREST) else {}
-    fitted = spec.fit(train, keys, params=chosen, cfg=cfg, **extra)
+    fitted = _stored(spec.fit(train, keys, params=chosen, cfg=cfg, **extra))
     ahead = spec.forecast(fitted, horizon(train, test, keys, cfg), include_ci=False, limit=None)
     actual = test.select(*keys, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).alias("actual"))
     tested = _prefixed(trainer_metrics(align(actual, ahead, keys), keys), keys, "test")
     learned = _prefixed(_train_metrics(train, fitted, cfg), keys, "train")
     if train_on_full_data:
-        final = spec.fit(df, keys, params=chosen, cfg=cfg)
+        final = _stored(spec.fit(df, keys, params=chosen, cfg=cfg))
         final.importances = final.importances or fitted.importances
         final.curve = fitted.curve
     else:
@@ -85,6 +85,13 @@ def train_model(
     return Trained(final, run_id, runs)
 
 
+def _stored(fitted: Fitted) -> Fitted:
+    """Keep the state in the shared folder, so that scoring and forecasting do not fit again."""
+    if fitted.nodes is None:
+        fitted.series = written(fitted.series, fitted.model)
+    return fitted
+
+
 def _train_metrics(train: DataFrame, fitted: Fitted, cfg: PanelConfig) -> DataFrame:
     """In-sample error: stored with the state where the kernel computed it, else from fitted values."""
     keys = fitted.keys
@@ -113,8 +120,10 @@ def train_all(
 ) -> tuple[dict[str, Trained], DataFrame, dict[str, str]]:
     """Train the models one after another, each distributed, and rank them per series by test error.
 
-    Returns the trained models, the ranked comparison, and the message of every model that failed.
+    The panel is written once and every fit reads the copy. Returns the trained models, the ranked
+    comparison, and the message of every model that failed.
     """
+    df = written(df, "panel")
     out: dict[str, Trained] = {}
     failed: dict[str, str] = {}
     for name in models or list(MODELS):
