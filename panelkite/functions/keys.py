@@ -103,6 +103,12 @@ def first_per(df: DataFrame, by: list[str], order: list[Column], descending: boo
     return out.select(*[F.col(c) if c in by else F.col(f"__r.{c}").alias(c) for c in df.columns])
 
 
+def long_form(df: DataFrame, keys: list[str], columns: list[str], kind: str = "double") -> DataFrame:
+    """``keys, column, v``: one row per value, all cast to one type."""
+    typed = df.select(*keys, *[F.col(c).cast(kind).alias(c) for c in columns])
+    return typed.unpivot(keys, columns, "column", "v")
+
+
 def null_if_nan(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in floating columns, because Spark aggregates skip only NULL."""
     floats = {n for n, t in df.dtypes if t in ("double", "float")}

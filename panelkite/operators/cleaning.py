@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig, numeric_columns
-from panelkite.functions.keys import attach_rows, first_per, null_if_nan, series_window
+from panelkite.functions.keys import attach_rows, first_per, long_form, null_if_nan, series_window
 from panelkite.functions.windows import forward_back_fill
 from panelkite.sources.readers import coerce_types, parse_date
 
@@ -48,14 +48,11 @@ def modes(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
     Values are counted first, on the map side as well, so no task holds a group's raw rows.
     """
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS STRING)" for c in columns)
-    long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (__c, __v)")
-    counted = long.filter(F.col("__v").isNotNull()).groupBy(*keys, "__c", "__v").agg(F.count("*").alias("__n"))
-    best = counted.groupBy(*keys, "__c").agg(
-        F.min(F.struct((-F.col("__n")).alias("n"), F.col("__v").alias("v"))).alias("__m")
-    )
+    long = long_form(df, keys, columns, "string").filter(F.col("v").isNotNull())
+    counted = long.groupBy(*keys, "column", "v").agg(F.count("*").alias("__n"))
+    best = counted.groupBy(*keys, "column").agg(F.min(F.struct((-F.col("__n")).alias("n"), "v")).alias("__m"))
     return best.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("__c") == c, F.col("__m.v"))).alias(f"__mode_{c}") for c in columns]
+        *[F.max(F.when(F.col("column") == c, F.col("__m.v"))).alias(f"__mode_{c}") for c in columns]
     )
 
 

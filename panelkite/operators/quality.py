@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig, numeric_columns
-from panelkite.functions.keys import attach, attach_rows, series_window
+from panelkite.functions.keys import attach, attach_rows, long_form, series_window
 from panelkite.operators.quantiles import exact_quantiles, wide_quantiles
 from panelkite.session import written
 from panelkite.sources.readers import parse_date
@@ -42,11 +42,13 @@ def type_check(df: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
 
 
 def _metadata_rows(df: DataFrame, rows: list[tuple[str, str, str, str]]) -> DataFrame:
-    schema = "check string, severity string, column string, message string"
-    made = df.sparkSession.createDataFrame(rows, schema)
-    return made.select(
-        "check", "severity", "column", F.lit(1).cast("long").alias("count"), F.lit(None).cast("double").alias("pct"), "message"
-    )
+    made = [
+        F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(column).alias("column"),
+                 F.lit(1).cast("long").alias("count"), F.lit(None).cast("double").alias("pct"), F.lit(text).alias("message"))
+        for check, severity, column, text in rows
+    ]
+    kind = "array<struct<check:string,severity:string,column:string,count:bigint,pct:double,message:string>>"
+    return df.sparkSession.range(1).select(F.inline(F.array(*made).cast(kind)))
 
 
 def missing_values(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,8 +95,7 @@ def iqr_bounds(df: DataFrame, keys: list[str], columns: list[str], k: float = 1.
 def iqr_outliers(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """``keys, column, q1, q3, lower_bound, upper_bound, count, pct`` of values outside the bounds."""
     bounds = written(iqr_bounds(df, keys, columns), "bounds")
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (column, v)")
+    long = long_form(df, keys, columns)
     rows = attach_rows(
         long, bounds.select(*keys, "column", "lower_bound", "upper_bound"), [*keys, "column"], stored=True)
     outside = (F.col("v") < F.col("lower_bound")) | (F.col("v") > F.col("upper_bound"))

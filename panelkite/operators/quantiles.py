@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelkite.functions.keys import attach, attach_rows
+from panelkite.functions.keys import attach, attach_rows, long_form
 from panelkite.session import written
 
 
@@ -35,9 +35,7 @@ def exact_quantiles(
     A group without values gives no row. ``df`` is scanned three times, and the first two passes run
     when the function is called; what they leave, a few values per group, is kept in the shared folder.
     """
-    pairs = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in columns)
-    long = df.selectExpr(*[f"`{k}`" for k in keys], f"stack({len(columns)}, {pairs}) AS (column, v)")
-    long = long.filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    long = long_form(df, keys, columns).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     ids = [*keys, "column"]
     slack = 2.0 / accuracy
     edges: list[float] = []

@@ -424,6 +424,15 @@ _TREND = {
     "first_half_avg": _H1, "second_half_avg": _H2, "growth_rate_percent": f"({_H2} - {_H1}) / {_H1} * 100",
 }
 ORACLES["trend"] = _sql(_POS, "c_mktsegment, " + _TREND_KEEP, _TREND, "x", 4, "GROUP BY c_mktsegment")
+_TT = _POS + f""",
+tq AS (SELECT c_mktsegment, {_TREND_KEEP}, {', '.join(f'{e} AS {k}' for k, e in _TREND.items())} FROM x GROUP BY 1),
+ts AS (SELECT *, n - 2 AS nu, sqrt(r_squared * (n - 2) / (1 - r_squared)) AS t FROM tq),
+tc AS (SELECT *, exp(lgamma((nu + 1) / 2.0) - lgamma(nu / 2.0)) / sqrt(nu * pi()) AS c FROM ts),
+ti AS (SELECT c_mktsegment, 1 - 2 * sum(CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END
+              * c * pow(1 + pow(t * i / 2000, 2) / nu, -(nu + 1) / 2.0)) * any_value(t) / 6000 AS p
+       FROM tc CROSS JOIN range(2001) r(i) GROUP BY 1)"""
+ORACLES["trend_significance"] = _sql(
+    _TT, "c_mktsegment, n, trend_direction", {k: k for k in _TREND} | {"p_value": "p"}, "tq JOIN ti USING (c_mktsegment)", 6)
 _LINE = _POS + ", ln AS (SELECT c_mktsegment, regr_slope(daily_sales, pos) AS s, regr_intercept(daily_sales, pos) AS i FROM x GROUP BY 1)"
 ORACLES["trend_residuals"] = _sql(
     _LINE, "c_mktsegment, date", {"daily_sales": "daily_sales", "trend": "s * pos + i", "residual": "daily_sales - (s * pos + i)"},

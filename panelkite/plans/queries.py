@@ -273,13 +273,13 @@ def day_number_and_gap(spark, base):
 
 @query
 def validation_report(spark, base):
-    found = quality.validate(raw_sales(spark, base), SEG)
+    found = quality.validate(written(raw_sales(spark, base), "raw"), SEG)
     return show(found.filter(~F.col("check").isin("schema", "type")).select(*SEG, "check", "severity", "column", "count", "pct"))
 
 
 @query
 def validation_summary(spark, base):
-    raw = raw_sales(spark, base)
+    raw = written(raw_sales(spark, base), "raw")
     return show(quality.validation_summary(quality.validate(raw, SEG), raw, SEG))
 
 
@@ -329,7 +329,7 @@ def data_info(spark, base):
 
 @query
 def quality_report(spark, base):
-    return show(quality.quality_report(raw_sales(spark, base), SEG))
+    return show(quality.quality_report(written(raw_sales(spark, base), "raw"), SEG))
 
 
 @query
@@ -414,7 +414,7 @@ def trend(spark, base):
 
 @query
 def trend_significance(spark, base):
-    """Adds the Student-t tail; kept apart because SQL has no such function."""
+    """Adds the Student-t tail, which the SQL integrates numerically."""
     return show(eda.trend(sales(spark, base), SEG), 6)
 
 
