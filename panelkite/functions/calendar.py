@@ -18,6 +18,9 @@ def flag(condition: Column) -> Column:
     return condition.cast("int")
 
 
+# Fixed values, in the functions below: the names of the calendar features.
+
+
 def minimal_date(d: Column) -> dict[str, Column]:
     return {
         "day_of_week_num": F.weekday(d),

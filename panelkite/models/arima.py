@@ -22,6 +22,7 @@ from panelkite.models.base import Fitted, check_horizon, finish, points
 from panelkite.models.decomposable import key_fields, panel_rows
 
 NAME = "seasonal_arima"
+# Default parameters, season length and fallback order.
 DEFAULTS = {"p": 1, "d": 1, "q": 1, "P": 0, "D": 0, "Q": 0, "trend": "t"}
 SEASON = 7
 FALLBACK = {"p": 1, "d": 1, "q": 1, "P": 0, "D": 0, "Q": 0, "trend": "t"}

@@ -25,6 +25,7 @@ from panelkite.functions.scalars import z_value
 from panelkite.models.base import Fitted, check_horizon, finish, points
 
 NAME = "decomposable"
+# Default parameters.
 DEFAULTS = {"changepoint": 0.05, "seasonality": 10.0, "mode": "multiplicative", "yearly": True, "weekly": True}
 
 # The published defaults of the decomposable model.

@@ -20,6 +20,7 @@ from panelkite.functions.keys import join_series, series_window
 from panelkite.models.base import Fitted, check_horizon, finish, points, robust_sigma
 
 NAME = "linear_trend"
+# Default parameters.
 DEFAULTS = {"include_dow": True, "regularization": 0.0}
 
 

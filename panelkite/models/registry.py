@@ -26,6 +26,7 @@ class Model:
     native_ci: bool = False
 
 
+# The ranges and choices of the search spaces.
 MODELS: dict[str, Model] = {
     linear.NAME: Model(
         linear.NAME, linear.fit, linear.forecast, linear.DEFAULTS,

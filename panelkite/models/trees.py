@@ -27,6 +27,7 @@ from panelkite.models.decomposable import key_fields
 from panelkite.session import new_path
 
 BOOSTED, FOREST = "boosted_trees", "random_forest"
+# Default parameters, lags, windows and feature names.
 DEFAULTS = {
     BOOSTED: {
         "n_estimators": 100, "max_depth": 5, "learning_rate": 0.1, "min_child_weight": 1,

@@ -11,6 +11,9 @@ from panelkite.functions import windows as win
 from panelkite.functions.keys import series_window, whole_series
 
 
+# Fixed values, in all functions below: the names of the features.
+
+
 def trend_scalars(keys: list[str], cfg: PanelConfig = DEFAULT) -> dict[str, Column]:
     """Days since the first date of the series, and the same as a share of its span (0 if the span is 0)."""
     whole = whole_series(keys, cfg.date_col)

@@ -23,6 +23,7 @@ REPORT_FIELDS = ("check", "severity", "column", "count", "pct", "message")
 
 def schema_check(df: DataFrame, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """Missing columns are errors, extra ones warnings. Metadata only."""
+    # Fixed values, here and in the checks below: the wording of the findings.
     present, wanted = set(df.columns), set(cfg.expected_columns)
     rows = [("schema", "error", c, f"Missing required columns: {c}") for c in sorted(wanted - present)]
     rows += [("schema", "warning", c, f"Unexpected columns found: {c}") for c in sorted(present - wanted)]

@@ -18,6 +18,7 @@ def analysis(df: DataFrame, keys: list[str], cfg: PanelConfig = DEFAULT) -> Data
 
 def insights(profile: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, ord, insight``: the rules that fire for each series, in a fixed order."""
+    # Thresholds and wording of the insights.
     c = F.col
     top = F.try_element_at(c("correlations"), F.lit(1))
     r2 = F.format_string("%.3f", c("r_squared"))
@@ -58,6 +59,7 @@ def _dollars(c: Column | str) -> Column:
 
 def section_report(profile: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, section, ord, label, value`` in six sections."""
+    # Section titles, labels and number formats of the report.
     c = F.col
     sections: list[tuple[str, list[tuple[str, Column]]]] = [
         ("1. BASIC STATISTICS", [

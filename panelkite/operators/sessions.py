@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from panelkite.operators.reshape import first_rows
 
+# Session timeout, staleness limit and history length.
 SESSION_GAP_SECONDS = 3600
 STALE_SECONDS = 300
 HISTORY_LENGTH = 10
@@ -79,6 +80,7 @@ def liveness(
 
 def severity(line: Column) -> Column:
     """First rule that matches, case-insensitive."""
+    # The marker words and the severities.
     up = F.upper(line)
     return (
         F.when(up.contains("ERROR") | up.contains("FAIL"), "error")

@@ -235,6 +235,17 @@ def test_kernel_search(spark, name):
     assert search.best_overall(scores, candidates) in candidates
 
 
+def test_global_search_ranks_failures_last(spark, monkeypatch):
+    df, _ = trend_panel(spark, 160, noise=5.0)
+    trials = [{"n_estimators": 3, "max_depth": 3}, {"n_estimators": 3, "max_depth": 99}]
+    monkeypatch.setattr(search, "sample_params", lambda *a: trials)
+    scores, candidates = search.score(df, K, "random_forest", 2)
+    got = {(r["series_id"], r["trial"]): r["mape"] for r in scores.collect()}
+    assert len(got) == 4 and got[("a", 0)] is not None and got[("a", 1)] is None
+    assert search.best_overall(scores, candidates) == trials[0]
+    assert {r["trial"] for r in search.best_params(scores, K, candidates).collect()} == {0}
+
+
 def test_candidates_are_seeded_and_in_range():
     for m in MODELS.values():
         a, b = sample_params(m, 8), sample_params(m, 8)
