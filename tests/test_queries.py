@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import subprocess
 import sys
 
 import pytest
@@ -35,3 +36,20 @@ def test_every_oracle_has_a_query():
 def test_query_matches_sql(spark, con, name):
     ok, note = compare.compare(spark, con, BASE, name)
     assert ok, note
+
+
+@pytest.mark.skipif(not os.path.isdir(BASE), reason="driver tables absent")
+def test_kernels_run_where_the_package_is_not_installed(tmp_path):
+    """Workers started outside the repository cannot import it; the kernels must travel whole."""
+    code = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "from panelkite.session import local_session\n"
+        "spark = local_session(4, partitions=4)\n"
+        "import __spark_entry__ as c\n"
+        "for n in ('decomposable_forecast', 'seasonal_arima_forecast', 'linear_weekday_forecast', 'trend_significance',\n"
+        "          'random_forest_forecast', 'arima_search'):\n"
+        f"    assert len(c.queries()[n](spark, {BASE!r}).toPandas()) > 0, n\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
