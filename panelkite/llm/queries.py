@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.llm import chat, langid, lengths, mixing, packing, pii, quality, topk
+from panelkite.llm import chat, langid, lengths, minhash, mixing, packing, pii, quality, topk
 from panelkite.llm.tables import Scratch
 
 
@@ -62,10 +62,14 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.detect(table(spark, sf_dir, "documents")))
 
 
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_preference_pairs, op4_token_counts, op5_quality_rules, op6_top_k, op7_best_fit_packing,
-        op8_language_id, op9_pii,
+        op8_language_id, op9_pii, op10_near_duplicates,
     )
 }
