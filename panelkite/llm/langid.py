@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelkite.llm.tables import without
 from panelkite.llm.textcodes import chunks
 
 BITS = 16
@@ -60,7 +61,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
         per_lang: int = TRAIN_PER_LANG, bits: int = BITS) -> LanguageModel:
     """Fit on at most about ``per_lang`` documents of each language, picked by a hash of id and text.
 
-    Rows without text or language are no evidence. Raises when nothing is left to learn from.
+    Rows without text or language are no evidence. Nothing to learn from gives a model without languages.
     """
     rows = labelled.select(
         F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"),
@@ -68,7 +69,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
     ).filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
     counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}  # one row per language
     if not counts:
-        raise ValueError("no labelled text to learn languages from")
+        return LanguageModel((), np.zeros((1 << bits, 0)))
     # The share of hash values that leaves about per_lang documents of a language.
     keep = F.lit(False)
     for lang, n in counts.items():
@@ -103,9 +104,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             bits: int = BITS) -> DataFrame:
     """The columns ``keep`` with ``lang_pred`` and ``score``, the posterior probability of the prediction.
 
-    Null texts and texts without a letter are ``und`` with score 0. Ties go to the first language in order.
+    Null texts and texts without a letter are ``und`` with score 0, and so is every text if the model has no language. Ties go to the first language in order.
     The whole text counts, whatever its length.
     """
+    docs = without(docs, "lang_pred", "score")
+    keep = tuple(c for c in keep if c.lower() not in ("lang_pred", "score"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((model.langs, model.log_prob))
     text = "lang_text"
@@ -122,8 +125,11 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
             lettered = np.array([HAS_LETTER.search(t) is not None for t in texts])
             code, begins = features(texts, bits)
             total = sum(np.add.reduceat(table[code[:, j]], begins, axis=0) for j in range(code.shape[1]))
-            best = np.argmax(total, axis=1)
-            score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            if langs:
+                best = np.argmax(total, axis=1)
+                score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            else:
+                best, score = np.zeros(len(texts), np.int64), np.zeros(len(texts))
             best[~lettered] = len(langs)
             score[~lettered] = 0
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
@@ -148,3 +154,18 @@ def identify(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> DataFrame:
     held = docs.withColumn("held_out", fold() == 0)
     model = fit(held.filter(~F.col("held_out")), per_lang=per_lang)
     return predict(held, model, keep=("doc_id", "held_out"))
+
+
+def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` whose text has a letter and whose language is determined with at least ``least``.
+
+    Learns from the labels of ``docs`` itself; without any label every text with a letter stays. A missing ``lang``
+    is filled with the prediction.
+    """
+    model = fit(docs.filter(fold() != 0))
+    names = docs.columns
+    found = predict(docs, model, keep=tuple(names))
+    keep = F.col("lang_pred") != UNDETERMINED if model.langs else F.col("text").rlike("\\p{L}")
+    found = found.filter(keep & ((F.col("score") >= least) if model.langs else F.lit(True)))
+    filled = F.coalesce(F.col("lang"), F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred"))).alias("lang")
+    return found.select(*[filled if c == "lang" else F.col(c) for c in names])

@@ -290,12 +290,13 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     result = members.join(labels, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
     )
-    # Rows of an id with several classes agree by the links above; the smallest id of a component names it.
     result = result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
     unnamed = rows.filter(F.col("doc_id").isNull()).select(
         "doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
     )
-    return result.unionByName(unnamed)
+    result = scratch.write(result.unionByName(unnamed), "near-duplicates")
+    scratch.close(result)
+    return result
 
 
 def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

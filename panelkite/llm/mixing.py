@@ -105,6 +105,7 @@ def mix(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str
         .select("g.*", F.col("s.mix_range").alias("cut_range"), (F.col("g.mix_left") - F.col("s.range_start")).alias("cut_left"))
     )
     cuts = scratch.write(cuts.withColumnRenamed("mix_source", "cut_source"), "mix-cuts")
+    scratch.close(cuts)
     # One row per source: small beside the session's broadcast threshold, or joined by its sort otherwise.
     rows = base.withColumn("mix_range", place).join(cuts, F.col(source_col).eqNullSafe(F.col("cut_source")))
     whole = F.col("mix_epochs") * F.col("mix_size")

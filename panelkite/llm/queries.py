@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.llm import chat, langid, lengths, minhash, mixing, packing, pii, quality, topk
+from panelkite.llm import chat, langid, lengths, minhash, mixing, packing, pii, quality, substring, topk
 from panelkite.llm.tables import Scratch
 
 
@@ -32,6 +32,10 @@ def op2_preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({"chosen_mask": spans("chosen_mask"), "rejected_mask": spans("rejected_mask")})
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents")))
 
@@ -69,7 +73,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_source_mix, op2_preference_pairs, op4_token_counts, op5_quality_rules, op6_top_k, op7_best_fit_packing,
-        op8_language_id, op9_pii, op10_near_duplicates,
+        op1_source_mix, op2_preference_pairs, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_top_k,
+        op7_best_fit_packing, op8_language_id, op9_pii, op10_near_duplicates,
     )
 }

@@ -174,6 +174,7 @@ def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, id_col: str =
 
     found = visits.join(stored, "shard").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     local = scratch.write(found, "local-best", SMALL_BATCH)
+    scratch.close(local)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
