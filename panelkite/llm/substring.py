@@ -127,6 +127,9 @@ def segments(docs: DataFrame, window: int, size: int) -> DataFrame:
             last = np.append(new[1:], len(order)) - 1
             whole = words.codes.astype("<u8")
             pick = order[new]
+            # Neighbours overlap by all but a few words, so text order keeps the written table small.
+            by_place = np.argsort(pick)
+            pick, new, last = pick[by_place], new[by_place], last[by_place]
             content = [whole[s : s + k].tobytes() for s, k in zip(starts[pick].tolist(), length[pick].tolist(), strict=True)]
             k = len(pick)
             none = pa.nulls(k, pa.int64())
