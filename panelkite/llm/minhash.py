@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ BAND = 3  # registers per band: at similarity 0.75 all 32 bands miss with probab
 MANTISSA = 10
 COLLISION = 0.17 / (1 << MANTISSA)  # chance that registers of different values agree
 SLACK = 6.0  # standard deviations between the estimate and the bound that rule a pair out
-GROUP_ROWS = 2_000  # members of a band that one task compares at a time
+GROUP_ROWS = 500  # members of a band or family per chunk; a task compares two chunks
 TRIES = 64
 SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
@@ -186,35 +185,85 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
-def across(members: DataFrame, top: int | None) -> DataFrame:
-    """Plausible pairs of one band between different components: the ``top`` best per two components, or all.
+class Unions:
+    """Union-find over the components that meet in one group."""
 
-    ``members`` has band, chunk_a, chunk_b, chunk, doc, component, n_shingles, regs. Only pairs between the two
-    chunks of a group are looked at, so a band of any size is compared in groups of bounded size.
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        while (up := self.up.get(x, x)) != x:
+            x = up
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.root(a), self.root(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def in_chunks(rows: DataFrame, group: str, size: str) -> DataFrame:
+    """Rows with chunk, chunk_a and chunk_b: each two chunks of a group meet once, in a task of bounded size."""
+    pieces = F.greatest(F.lit(1), F.ceil(F.col(size) / GROUP_ROWS)).cast("int")
+    rows = rows.withColumn("pieces", pieces).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    return rows.withColumns({"chunk_a": F.least("chunk", "other"), "chunk_b": F.greatest("chunk", "other")}).drop("other", "pieces", size)
+
+
+def outsiders(component: np.ndarray, chunk: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows outside the largest component, each with the rows of other components (and of the other chunk)."""
+    kinds, sizes = np.unique(component, return_counts=True)
+    for i in np.flatnonzero(component != kinds[np.argmax(sizes)]):
+        other = component != component[i]
+        yield i, np.flatnonzero(other if same else other & (chunk != chunk[i]))
+
+
+def tied_by_estimate(members: DataFrame) -> DataFrame:
+    """(u, v): components that a plausible pair of one band ties together, as few pairs as span them.
+
+    ``members`` has band, chunk_a, chunk_b, chunk, doc, component, n_shingles, regs.
     """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc", kind="stable")
-        first, second = group["chunk_a"].iloc[0], group["chunk_b"].iloc[0]
-        doc, component, n = (group[c].to_numpy() for c in ("doc", "component", "n_shingles"))
-        regs = np.frombuffer(b"".join(group["regs"]), np.uint16).reshape(-1, BUCKETS)
-        chunk = group["chunk"].to_numpy()
-        kinds, sizes = np.unique(component, return_counts=True)
-        # Pairs inside the largest component need no look, so each pair has a member outside of it.
-        outside = np.flatnonzero(component != kinds[np.argmax(sizes)])
-        found: dict[tuple[int, int], list[tuple[float, int, int]]] = {}
-        for i in outside:
-            other = (component != component[i]) & ((chunk != chunk[i]) | (first == second))
-            at = np.flatnonzero(other)
-            guess, keep = plausible(regs[at], regs[i][None, :], n[at], n[i])
-            for g, j in zip(guess[keep], at[keep], strict=True):
-                a, b = sorted((i, j), key=lambda k: doc[k])
-                key = tuple(sorted((component[a], component[b])))
-                found.setdefault(key, []).append((-g, doc[a], doc[b]))
-        best = [p for pairs in found.values() for p in sorted(set(pairs))[:top]]
-        return pd.DataFrame({"u": [p[1] for p in best], "v": [p[2] for p in best]}, dtype="int64")
-
-    return members.groupBy("band", "chunk_a", "chunk_b").applyInPandas(run, "u bigint, v bigint").distinct()
+    def run(group: pa.Table) -> pa.Table:
+        component, n, chunk = (group.column(c).to_numpy() for c in ("component", "n_shingles", "chunk"))
+        regs = np.frombuffer(b"".join(group.column("regs").to_pylist()), np.uint16).reshape(-1, BUCKETS)
+        known, out = Unions(), []
+        for i, at in outsiders(component, chunk, group["chunk_a"][0].as_py() == group["chunk_b"][0].as_py()):
+            _, keep = plausible(regs[at], regs[i][None, :], n[at], n[i])
+            own = int(component[i])
+            out += [(own, x) for x in np.unique(component[at[keep]]).tolist() if known.join(own, x)]
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    return members.groupBy("band", "chunk_a", "chunk_b").applyInArrow(run, "u bigint, v bigint").distinct()
+
+
+def tied_exactly(members: DataFrame) -> DataFrame:
+    """(u, v): links between documents of different components of a family, as few as span them.
+
+    ``members`` has family, chunk_a, chunk_b, chunk, doc, component, text. Sets are counted against each other through
+    the lists of documents that hold a shingle, so every pair is decided on its full sets.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        doc, component, chunk = (group.column(c).to_numpy() for c in ("doc", "component", "chunk"))
+        sets = shingle_codes(Words(group.column("text"), Coder(), lower=True))
+        n = np.array([len(s) for s in sets])
+        edge = np.concatenate([[0], np.cumsum(n)])
+        inverse = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        holders = np.repeat(np.arange(len(sets)), n)[np.argsort(inverse, kind="stable")]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(inverse))])
+        known, out = Unions(), []
+        for i, at in outsiders(component, chunk, group["chunk_a"][0].as_py() == group["chunk_b"][0].as_py()):
+            own = inverse[edge[i] : edge[i + 1]]
+            size = begin[own + 1] - begin[own]
+            rows = holders[np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            shared = np.bincount(rows, minlength=len(sets))[at]
+            linked = at[(shared > 0) & (100 * shared >= PERCENT * (n[at] + n[i] - shared))]
+            out += [(int(doc[i]), int(doc[j])) for j in linked.tolist() if known.join(int(component[i]), int(component[j]))]
+        return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
+
+    return members.groupBy("family", "chunk_a", "chunk_b").applyInArrow(run, "u bigint, v bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,14 +275,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     Rows with a null id are linked with nothing, have a null component and are kept. Equal texts are represented
     by the smallest id among them. An empty table gives an empty result.
 
-    Links are found in rounds: first every member of a band against the band's smallest document, then, where a
-    band still spans several components, the best pairs between two components, in the end all of them. No pair
-    inside a component needs a check, so a group of copies costs about one check per member.
+    First every member of a band is checked against the band's smallest document. Where a band still spans several
+    components, those that the estimate leaves in reach form a family, and a family's sets are compared in full, in
+    chunks of bounded size. No pair inside a component needs a check, and a task returns only links that span.
     """
     rows = scratch.write(sketches(docs, id_col, text_col), "sketches")
     named = rows.filter(F.col("doc_id").isNotNull())
-    least = named.groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"))
-    joined = named.join(least, ["class_a", "class_b"])
+    least = named.filter("n_shingles > 0").groupBy("class_a", "class_b").agg(F.min("doc_id").alias("rep"))
+    joined = named.join(least, ["class_a", "class_b"], "left").withColumn(
+        "rep", F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("doc_id")))
     own = F.when(F.col("doc_id") == F.col("rep"), F.col("regs"))
     members = scratch.write(joined.select("doc_id", "n_shingles", "rep", own.alias("regs")), "members")
     reps = members.filter(F.col("regs").isNotNull() & (F.col("n_shingles") > 0)).select(
@@ -262,30 +312,24 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     links = scratch.write(links.unionByName(tied.distinct()), "links")
     labels = components(links, scratch)
 
-    # A band of two is settled by its one pair; so is every pair with the band's pivot.
+    # A band of two is settled by its one pair; so is every pair with the band's pivot. Components that may still be
+    # linked form families, whose sets are compared in full.
     open_ = shared.filter("band_size > 2 and doc <> pivot").select("band", "doc", "band_size")
-    open_ = scratch.write(open_.join(reps, "doc"), "open-bands")
-    for top in (4, 64, None):
-        labelled = open_.join(labels, F.col("doc") == F.col("node"), "left").withColumn(
-            "component", F.coalesce("component", "doc")).drop("node")
-        torn = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-        rest = labelled.join(torn.filter("lo < hi").select("band"), "band", "left_semi")
-        if rest.isEmpty():
-            break
-        pieces = F.ceil(F.col("band_size") / GROUP_ROWS).cast("int")
-        rest = rest.withColumn("pieces", pieces).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-        rest = rest.select(
-            "band", F.least("chunk", "other").alias("chunk_a"), F.greatest("chunk", "other").alias("chunk_b"), "chunk", "doc",
-            "component", "n_shingles", "regs",
-        )
-        pairs = scratch.write(across(rest, top).join(tried, ["u", "v"], "left_anti"), "round-pairs")
-        if pairs.isEmpty():
-            continue
-        found = scratch.write(confirmed(pairs, texts), "round-links", SMALL)
-        tried = scratch.write(tried.unionByName(pairs), "tried")
-        links = scratch.write(links.unionByName(found), "links")
-        labels = components(links, scratch)
+    open_ = open_.join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
+    open_ = scratch.write(open_.drop("node"), "open-bands")
+    torn = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    rest = open_.join(torn.select("band"), "band", "left_semi").join(reps, "doc")
+    near = scratch.write(tied_by_estimate(in_chunks(rest, "band", "band_size")), "near-components")
+    families = components(near, scratch).select(F.col("node").alias("component"), F.col("component").alias("family"))
+    alone = families.select(F.col("component").alias("doc"), "component").join(
+        labels.select(F.col("node").alias("doc")), "doc", "left_anti")
+    placed = labels.select(F.col("node").alias("doc"), "component").unionByName(alone)
+    kin = scratch.write(placed.join(families, "component"), "families")
+    sizes = kin.groupBy("family").agg(F.count("*").alias("family_size"))
+    kin = in_chunks(kin.join(sizes, "family"), "family", "family_size").join(texts.select("doc", "text"), "doc")
+    found = scratch.write(tied_exactly(kin), "family-links", SMALL)
+    links = scratch.write(links.unionByName(found), "links")
+    labels = components(links, scratch)
 
     result = members.join(labels, F.col("rep") == F.col("node"), "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
