@@ -33,15 +33,24 @@ class Fitted:
         self.series.write.mode("overwrite").parquet(f"{path}/series")
         if self.nodes is not None:
             self.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
-        meta = {"model": self.model, "keys": self.keys, "params": self.params, "nodes": self.nodes is not None}
+        extras = {name: frame for name in ("importances", "curve") if (frame := getattr(self, name)) is not None}
+        for name, frame in extras.items():
+            frame.write.mode("overwrite").parquet(f"{path}/{name}")
+        meta = {
+            "model": self.model, "keys": self.keys, "params": self.params, "nodes": self.nodes is not None,
+            "extras": list(extras), "info": self.info,
+        }
         spark = self.series.sparkSession
-        spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+        spark.createDataFrame([(json.dumps(meta, default=str),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Fitted":
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         nodes = spark.read.parquet(f"{path}/nodes") if meta["nodes"] else None
-        return Fitted(meta["model"], meta["keys"], meta["params"], spark.read.parquet(f"{path}/series"), nodes)
+        extras = {name: spark.read.parquet(f"{path}/{name}") for name in meta.get("extras", [])}
+        return Fitted(
+            meta["model"], meta["keys"], meta["params"], spark.read.parquet(f"{path}/series"), nodes, info=meta.get("info", {}), **extras
+        )
 
 
 def check_horizon(n_days: int, limit: int | None = MAX_HORIZON) -> int:

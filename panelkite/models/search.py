@@ -83,15 +83,18 @@ def _score_global(
     train, valid = _parts(df, keys, cfg)
     days = horizon(train, valid, keys, cfg)
     actual = valid.select(*keys, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).alias("actual"))
-    parts = []
+    parts, errors = [], []
     for i, params in enumerate(candidates):
         try:
             fitted = spec.fit(train, keys, params=params, cfg=cfg, curve=False)
             rows = align(actual, spec.forecast(fitted, days, include_ci=False, limit=None), keys)
             scored = regression_metrics(rows, keys).select(*keys, "mape")
-        except Exception:  # noqa: BLE001 - a candidate that cannot be fitted ranks last
+        except Exception as error:  # noqa: BLE001 - a candidate that cannot be fitted ranks last
+            errors.append(error)
             scored = actual.select(*keys).distinct().select(*keys, F.lit(None).cast("double").alias("mape"))
         parts.append(scored.select(*keys, F.lit(i).alias("trial"), "mape"))
+    if errors and len(errors) == len(candidates):
+        raise RuntimeError(f"no candidate of {name} could be fitted") from errors[-1]
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -139,7 +139,10 @@ def fit(
 
 
 def _tails(df: DataFrame, keys: list[str], cfg: PanelConfig) -> DataFrame:
-    """One row per series: length, last date and its last 28 values, oldest first."""
+    """One row per series: length, last date and its last 28 values, oldest first.
+
+    A shorter series is continued backwards with its first value, so every series gets a forecast.
+    """
     w = series_window(keys, cfg.date_col)
     rows = df.filter(F.col(cfg.target_col).isNotNull()).select(
         *keys, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).cast("double").alias("y"),
@@ -149,7 +152,7 @@ def _tails(df: DataFrame, keys: list[str], cfg: PanelConfig) -> DataFrame:
     return recent.groupBy(*keys).agg(
         F.first("n").alias("n_train"), F.max("date").alias("last_date"),
         F.transform(F.array_sort(F.collect_list(F.struct("i", "y"))), lambda r: r["y"]).alias("tail"),
-    ).filter(F.size("tail") == HISTORY)
+    ).withColumn("tail", F.concat(F.array_repeat(F.element_at("tail", 1), F.lit(HISTORY) - F.size("tail")), "tail"))
 
 
 def node_table(trained, model: str) -> DataFrame:

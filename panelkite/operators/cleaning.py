@@ -72,11 +72,12 @@ def drop_duplicates(
 ) -> DataFrame:
     """One row per (keys, date): the first under ``order``.
 
-    Exact duplicates fall out by the same rule. The default order is the whole row, which is
-    deterministic; for input order see :func:`with_file_order`.
+    Exact duplicates fall out by the same rule. The default order is the whole row, column by column
+    with NULL last, so a known value is kept before a missing one; for input order see
+    :func:`with_file_order`.
     """
     by = [*keys, cfg.date_col]
-    order = order or [F.col(c) for c in df.columns if c not in by]
+    order = order or [F.struct(F.col(c).isNull().alias("missing"), F.col(c).alias("v")) for c in df.columns if c not in by]
     return first_per(df, by, order)
 
 

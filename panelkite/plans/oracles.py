@@ -204,6 +204,13 @@ ORACLES["history_summary"] = _sql(
 ORACLES["date_range_scan"] = """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date, round(o_totalprice, 4) AS o_totalprice FROM orders
 WHERE o_orderdate BETWEEN DATE '1996-01-01' AND DATE '1996-12-31'"""
+ORACLES["timestamp_range_scan"] = """
+SELECT CAST(ts AS DATE) AS date, count(*) AS n, count(DISTINCT event_id) AS ids FROM events
+WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-06' GROUP BY 1"""
+ORACLES["csv_scan"] = """
+SELECT CAST(o_orderkey % 7 AS DOUBLE) AS marketing_spend, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS keys,
+       round(sum(o_totalprice), 2) AS sales, min(CAST(o_orderdate AS DATE)) AS first_date FROM orders GROUP BY 1"""
+ORACLES["dedup_null_rows"] = _sql(_PANEL, "c_mktsegment, date", {"daily_sales": "daily_sales"}, "p")
 ORACLES["history_export"] = _sql(
     _GAPPY, "strftime(date, '%Y-%m-%d') AS date, CAST(0 AS BIGINT) AS is_holiday",
     {"daily_sales": "coalesce(daily_sales, 0.0)", "marketing_spend": "coalesce(marketing_spend, 0.0)"}, "g")
@@ -371,16 +378,16 @@ SELECT c_mktsegment, date, o_orderkey, round(o_totalprice, 4) AS o_totalprice FR
          row_number() OVER (PARTITION BY c_mktsegment, CAST(o_orderdate AS DATE) ORDER BY o_orderkey) AS r
   FROM orders JOIN customer ON o_custkey = c_custkey) WHERE r = 1"""
 ORACLES["clean_sales"] = f"""WITH {_RAW},
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, date ORDER BY daily_sales NULLS FIRST,
-        marketing_spend NULLS FIRST, is_holiday NULLS FIRST, product_category NULLS FIRST) AS r FROM raw WHERE date IS NOT NULL) WHERE r = 1)
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, date ORDER BY daily_sales NULLS LAST,
+        marketing_spend NULLS LAST, is_holiday NULLS LAST, product_category NULLS LAST) AS r FROM raw WHERE date IS NOT NULL) WHERE r = 1)
 SELECT c_mktsegment, date, round({_fill('daily_sales')}, 4) AS daily_sales, round({_fill('marketing_spend')}, 6) AS marketing_spend,
        CAST({_fill('is_holiday')} AS BIGINT) AS is_holiday, coalesce(product_category, mode) AS product_category
 FROM k LEFT JOIN {_MODE.format(src='k')} USING (c_mktsegment)"""
 
 
 ORACLES["cleaning_report"] = f"""WITH {_RAW},
-k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, date ORDER BY daily_sales NULLS FIRST,
-        marketing_spend NULLS FIRST, is_holiday NULLS FIRST, product_category NULLS FIRST) AS r FROM raw WHERE date IS NOT NULL) WHERE r = 1),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, date ORDER BY daily_sales NULLS LAST,
+        marketing_spend NULLS LAST, is_holiday NULLS LAST, product_category NULLS LAST) AS r FROM raw WHERE date IS NOT NULL) WHERE r = 1),
 k2 AS (SELECT {_fill('daily_sales')} AS a, {_fill('marketing_spend')} AS b, {_fill('is_holiday')} AS c, coalesce(product_category, mode) AS d
        FROM k LEFT JOIN {_MODE.format(src='k')} USING (c_mktsegment)),
 n0 AS (SELECT count(*) AS kept, count(*) * 4 - count(daily_sales) - count(marketing_spend) - count(is_holiday) - count(product_category) AS b FROM k),
@@ -486,7 +493,7 @@ _GLOBAL_CORR = _cast_union([
     f"SELECT '{c}' AS feature_name, corr(daily_sales, {c}) AS r FROM ft"
     for c in ("marketing_spend", "is_holiday", "day_of_week_num", "daily_sales_lag_1")])
 ORACLES["stored_importance"] = f"""WITH {_FEAT}, u AS ({_GLOBAL_CORR})
-SELECT 'run-2' AS run_id, 'random_forest' AS model_name, feature_name, round(r, 7) AS importance_score,
+SELECT 'run-1' AS run_id, 'random_forest' AS model_name, feature_name, round(r, 7) AS importance_score,
        row_number() OVER (ORDER BY abs(r) DESC, feature_name) AS importance_rank FROM u WHERE r IS NOT NULL AND NOT isnan(r)"""
 ORACLES["parsed_text_rows"] = f"""WITH {_PANEL}
 SELECT c_mktsegment, date, CASE WHEN day(date) <> 13 THEN round(daily_sales, 4) END AS daily_sales,

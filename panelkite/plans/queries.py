@@ -24,7 +24,7 @@ from panelkite.plans import training
 from panelkite.session import new_path, written
 from panelkite.sources import sinks
 from panelkite.sources.panel import daily_panel, event_panel, table
-from panelkite.sources.readers import date_range, load_sales
+from panelkite.sources.readers import date_range, load_sales, read_csv
 from panelkite.sources.store import ResultsStore
 from panelkite.streaming import intake
 from panelkite.streaming import sessions as stream
@@ -141,6 +141,37 @@ def date_range_scan(spark, base):
     return show(kept.select("o_orderkey", F.to_date("o_orderdate").alias("date"), "o_totalprice"))
 
 
+@query
+def timestamp_range_scan(spark, base):
+    """The last day of a timestamp column is whole."""
+    kept = date_range(table(spark, base, "events"), "2024-01-02", "2024-01-05", "ts")
+    return kept.groupBy(F.to_date("ts").alias("date")).agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
+
+
+@query
+def csv_scan(spark, base):
+    """Files whose columns stand in another order, one with a column more, read by header name."""
+    path = new_path(spark, "csv")
+    rows = table(spark, base, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("daily_sales"),
+        (F.col("o_orderkey") % 7).cast("double").alias("marketing_spend"), "o_orderkey")
+    odd = F.col("o_orderkey") % 2 == 1
+    rows.filter(odd).drop("o_orderkey").coalesce(1).write.option("header", True).csv(path)
+    rows.filter(~odd).select("marketing_spend", "date", "o_orderkey", "daily_sales").coalesce(1).write.mode("append").option("header", True).csv(path)
+    got = read_csv(spark, path)
+    return show(got.groupBy("marketing_spend").agg(
+        F.count("*").alias("n"), F.count("o_orderkey").alias("keys"), F.sum("daily_sales").alias("sales"),
+        F.min("date").alias("first_date")), 2)
+
+
+@query
+def dedup_null_rows(spark, base):
+    """A known value is kept before a missing one of the same date."""
+    rows = panel(spark, base).select(*SEG, "date", "daily_sales")
+    doubled = rows.unionByName(rows.withColumn("daily_sales", F.lit(None).cast("double")))
+    return show(cleaning.drop_duplicates(doubled, SEG))
+
+
 @query
 def history_export(spark, base):
     return show(sinks.history_export(gappy(spark, base).withColumn("is_holiday", F.lit(None).cast("int"))))
@@ -854,14 +885,14 @@ def stored_forecast_comparison(spark, base):
 
 @query
 def stored_importance(spark, base):
-    """Absolute correlation with the target as the score: saved for two runs, the later one is read."""
+    """Absolute correlation with the target as the score: saved for two runs, the later one is read though its id sorts first."""
     cols = ["marketing_spend", "is_holiday", "day_of_week_num", "daily_sales_lag_1"]
     made = features.create_features(panel(spark, base), SEG, "minimal")
     scores = eda.target_correlations(made, [], cols).select(
         F.col("column").alias("feature_name"), F.col("correlation").alias("importance_score"))
     store = ResultsStore(spark, new_path(spark, "store"))
-    store.save_importance("run-1", "random_forest", scores.select("feature_name", F.lit(0.0).alias("importance_score")))
-    store.save_importance("run-2", "random_forest", scores)
+    store.save_importance("run-9", "random_forest", scores.select("feature_name", F.lit(0.0).alias("importance_score")))
+    store.save_importance("run-1", "random_forest", scores)
     return show(store.latest_importance("random_forest").drop("created_at"), 7)
 
 

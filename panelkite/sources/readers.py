@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from datetime import date
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,28 @@ def parse_date(c: Column, cfg: PanelConfig = DEFAULT) -> Column:
     return F.coalesce(*[F.try_to_date(text, f) for f in (cfg.date_format, *cfg.fallback_date_formats)])
 
 
+def _by_header(spark: SparkSession, path: str, corrupt_column: str | None) -> DataFrame:
+    """All files under ``path`` as text columns, each file by its own header."""
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE")
+    raw = reader.csv(path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    # A file's first block lies in one task, in order: the first line that is met there is the header.
+    headers = lines.filter("at = 0").groupBy("file").agg(F.first("value").alias("header")).collect()
+    groups: dict[str, list[str]] = {}
+    for row in headers:
+        groups.setdefault(row["header"], []).append(row["file"])
+    if len(groups) < 2 and not corrupt_column:
+        return raw
+    parts = []
+    for header in sorted(groups):
+        part = reader.csv(sorted(groups[header]))
+        if corrupt_column:
+            schema = part.schema.add(corrupt_column, "string")
+            part = reader.schema(schema).option("columnNameOfCorruptRecord", corrupt_column).csv(sorted(groups[header]))
+        parts.append(part)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else raw
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
@@ -27,14 +50,17 @@ def read_csv(
     parse_dates: bool = True,
     on_bad_date: str = "null",
     require_rows: bool = False,
+    corrupt_column: str | None = None,
 ) -> DataFrame:
     """Headed CSV with typed measures; unreadable numbers become NULL.
 
-    Columns are read as text by header name, so a missing or extra column is never fatal here.
+    Columns are read as text by header name: files whose headers differ in order or content are read
+    apart and joined by name, so a missing or extra column is never fatal here. ``corrupt_column`` keeps
+    the whole line of rows that do not fit their header.
     ``on_bad_date`` is ``null``, ``drop`` or ``raise`` (the job fails on the first bad date).
     """
     try:
-        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+        raw = _by_header(spark, path, corrupt_column)
     except AnalysisException as error:
         raise FileNotFoundError(f"cannot read CSV {path}: {error.getCondition()}") from error
     typed = coerce_types(raw, cfg)
@@ -94,11 +120,11 @@ def read_raw(spark: SparkSession, filename: str, cfg: PanelConfig = DEFAULT) ->
 def date_range(
     df: DataFrame, start: str | date | None = None, end: str | date | None = None, date_col: str = "date"
 ) -> DataFrame:
-    """Inclusive bounds, each optional."""
+    """Inclusive bounds, each optional. The last day is whole, also for a column of timestamps."""
     if start is not None:
         df = df.filter(F.col(date_col) >= F.lit(str(start)).cast("date"))
     if end is not None:
-        df = df.filter(F.col(date_col) <= F.lit(str(end)).cast("date"))
+        df = df.filter(F.col(date_col) < F.date_add(F.lit(str(end)).cast("date"), 1))
     return df
 
 

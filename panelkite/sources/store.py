@@ -75,7 +75,9 @@ class ResultsStore:
         empty = self.spark.createDataFrame([], self.schema(name))
         try:
             df = self.spark.read.schema(empty.schema).parquet(f"{self.root}/{name}").select(*empty.columns)
-        except AnalysisException:
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
             df = empty
         for column, value in equals.items():
             if value is not None:
@@ -124,7 +126,7 @@ class ResultsStore:
         self.append("model_comparisons", ranked)
 
     def comparisons(self, comparison_id: str | None = None) -> DataFrame:
-        return self.read("model_comparisons", comparison_id=comparison_id).orderBy(F.desc("comparison_id"), "rank")
+        return self.read("model_comparisons", comparison_id=comparison_id).orderBy(F.desc("created_at"), F.desc("comparison_id"), "rank")
 
     def save_importance(self, run_id: str, model_name: str, scores: DataFrame) -> None:
         """``feature_name, importance_score``; ranks by absolute score are added."""
@@ -134,11 +136,12 @@ class ResultsStore:
         self.append("feature_importance", ranked)
 
     def importance(self, model_name: str | None = None) -> DataFrame:
-        return self.read("feature_importance", model_name=model_name).orderBy(F.desc("run_id"), "importance_rank")
+        return self.read("feature_importance", model_name=model_name).orderBy(F.desc("created_at"), F.desc("run_id"), "importance_rank")
 
     def latest_importance(self, model_name: str) -> DataFrame:
         rows = self.read("feature_importance", model_name=model_name)
-        newest = rows.agg(F.max("run_id").alias("r")).scalar()
+        # Run ids carry no time: the newest is the one saved last.
+        newest = rows.agg(F.max_by("run_id", F.struct("created_at", "run_id")).alias("r")).scalar()
         return rows.filter(F.col("run_id") == newest).orderBy("importance_rank")
 
     def save_learning_curve(self, run_id: str, model_name: str, curve: DataFrame, metric_type: str = "rmse") -> None:
@@ -150,7 +153,7 @@ class ResultsStore:
 
     def learning_curve(self, run_id: str | None = None, model_name: str | None = None) -> DataFrame:
         rows = self.read("learning_curves", run_id=run_id, model_name=model_name)
-        return rows.orderBy(F.desc("run_id"), "iteration")
+        return rows.orderBy(F.desc("created_at"), F.desc("run_id"), "iteration")
 
     # --- forecasts ---------------------------------------------------------------------------
 
@@ -167,7 +170,7 @@ class ResultsStore:
 
     def forecasts(self, model_name: str | None = None, forecast_id: str | None = None) -> DataFrame:
         rows = self.read("forecasts", model_name=model_name, forecast_id=forecast_id)
-        return rows.orderBy(F.desc("forecast_id"), "day_number")
+        return rows.orderBy(F.desc("created_at"), F.desc("forecast_id"), "day_number")
 
     def forecast_ids(self) -> DataFrame:
         """Distinct ids, newest first."""
