@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from panelkite.config import DEFAULT, PanelConfig
 
@@ -124,7 +125,9 @@ def date_range(
     if start is not None:
         df = df.filter(F.col(date_col) >= F.lit(str(start)).cast("date"))
     if end is not None:
-        df = df.filter(F.col(date_col) < F.date_add(F.lit(str(end)).cast("date"), 1))
+        last = F.lit(str(end)).cast("date")
+        by_day = isinstance(df.schema[date_col].dataType, DateType)
+        df = df.filter(F.col(date_col) <= last if by_day else F.col(date_col) < F.date_add(last, 1))
     return df
 
 
