@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from panelkite.llm.tables import Scratch
 from panelkite.llm.textcodes import chunks
-from panelkite.llm.tokens import Encoder, default_path
+from panelkite.llm.tokens import SMALL, TEXT_BYTES, Encoder, default_path
 
 CAPACITY = 2048
 END_ID = 0
@@ -46,7 +46,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
         end = np.array([end_id], np.uint32)
-        for batch in chunks(batches, "text", 4_000_000):
+        for batch in chunks(batches, "text", TEXT_BYTES):
             flat, offsets = encoder.encode(batch.column("text").to_pylist())
             rows: list[tuple] = []
             for k, doc in enumerate(batch.column("doc_id").to_pylist()):
@@ -152,5 +152,5 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                    capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """Tokenize documents, cut those longer than ``capacity`` and pack the pieces by best fit."""
     scratch = Scratch(docs.sparkSession)
-    pieces = scratch.write(token_pieces(docs, id_col, text_col, path, capacity, end_id), "pieces")
+    pieces = scratch.write(token_pieces(docs, id_col, text_col, path, capacity, end_id), "pieces", SMALL)
     return pack(pieces, scratch, capacity)

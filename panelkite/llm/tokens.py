@@ -20,7 +20,10 @@ from panelkite.llm.textcodes import Coder, mix
 TABLED = 0x530  # Latin, Greek and Cyrillic scripts
 SPACE, LETTER, DIGIT, OTHER = 0, 1, 2, 3
 LONGEST = 48  # longer pieces are looked up by their text, not by a code
-MOST_PIECES = 1_500_000  # bounds a task's memory: the piece table is emptied beyond it
+MOST_PIECES = 500_000  # bounds a task's memory: the piece table is emptied beyond it
+TEXT_BYTES = 1_000_000  # text encoded at a time; the arrays of a batch take some 60 times as much
+# A batch travels in small parts, so that neither side holds many long texts at once.
+SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
 def _classes() -> np.ndarray:
