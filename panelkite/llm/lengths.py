@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkite.llm.textcodes import chunks
-from panelkite.llm.tokens import Encoder, default_path
+from panelkite.llm.tokens import TEXT_BYTES, Encoder, default_path
 
 BLOCK = 1024  # lengths per block of the two-level sums
 
@@ -21,7 +21,7 @@ def token_lengths(docs: DataFrame, text_col: str = "text", path: str | None = No
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
-        for batch in chunks(batches, "text", 4_000_000):
+        for batch in chunks(batches, "text", TEXT_BYTES):
             _, offsets = encoder.encode(batch.column("text").to_pylist())
             length, n = np.unique(np.diff(offsets), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(length, pa.int64()), pa.array(n, pa.int64())], names=["length", "n_docs"])
