@@ -3,7 +3,8 @@
 Re-aimed: a long autoregression estimates the shocks, then one regression on lagged values and lagged
 shocks gives the coefficients; seasonal terms enter at multiples of seven. Intervals come from the
 psi-weights. Not equal to a maximum-likelihood fit. A series that is too short, or whose fit fails,
-falls back to order (1,1,1) without a season, as the simplest usable model.
+falls back to order (1,1,1) without a season. Where that fails too the series has no state, or with
+``keep_short`` the state of a random walk from its last value.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from panelkite.config import DEFAULT, PanelConfig
 from panelkite.functions.scalars import z_value
 from panelkite.models.base import Fitted, check_horizon, finish, points
-from panelkite.models.decomposable import key_fields, panel_rows
+from panelkite.models.decomposable import key_fields, own_params, panel_rows, with_params
 
 NAME = "seasonal_arima"
 # Default parameters, season length and fallback order.
@@ -81,6 +82,21 @@ def fit_arrays(y: np.ndarray, p: dict[str, Any]) -> dict[str, Any]:
         return _fit(y, FALLBACK)
 
 
+def _last_value(y: np.ndarray) -> dict[str, Any]:
+    """A random walk from the last value; a single value has no error and no spread."""
+    steps = np.diff(y)
+    err = np.abs(steps)
+    seen = len(steps) > 0
+    return {
+        "order": "last value", "ar": np.ones(1), "ma": np.zeros(0), "const": 0.0, "slope": 0.0, "t_last": float(len(y)),
+        "y_tail": y[-1:].astype(float), "e_tail": np.zeros(0),
+        "sigma": float(np.sqrt((steps ** 2).mean())) if seen else 0.0, "aic": None,
+        "train_mape": float((err / np.maximum(np.abs(y[1:]), np.finfo(float).eps)).mean() * 100) if seen else None,
+        "train_mae": float(err.mean()) if seen else None,
+        "train_rmse": float(np.sqrt((steps ** 2).mean())) if seen else None,
+    }
+
+
 def _fit(y: np.ndarray, p: dict[str, Any]) -> dict[str, Any]:
     w = y.astype(float)
     full = np.array([1.0])
@@ -114,15 +130,14 @@ def _fit(y: np.ndarray, p: dict[str, Any]) -> dict[str, Any]:
     const = float(tb[0]) if p["trend"] in ("c", "ct") else 0.0
     slope = float(tb[-1]) if p["trend"] in ("t", "ct") else 0.0
     ar_max, ma_max = max([0, *ar_lags]), max([0, *ma_lags])
+    # Without shocks all residuals are known at once; only moving-average terms need the recursion.
     e = np.zeros(n)
-    for i in range(ar_max, n):
-        mean = const + slope * (i + 1)
-        for lag, c in zip(ar_lags, phi):
-            mean += c * w[i - lag]
-        for lag, c in zip(ma_lags, theta):
-            if i >= lag:
-                mean += c * e[i - lag]
-        e[i] = w[i] - mean
+    e[ar_max:] = w[ar_max:] - const - slope * np.arange(ar_max + 1, n + 1) - _stack(w, ar_lags, ar_max) @ phi
+    if ma_lags:
+        run, terms = e.tolist(), list(zip(ma_lags, theta.tolist()))
+        for i in range(ar_max, n):
+            run[i] -= sum(c * run[i - lag] for lag, c in terms if i >= lag)
+        e = np.array(run)
     used = e[start:]
     sse = float(used @ used)
     sigma = float(np.sqrt(sse / max(len(used) - k, 1)))
@@ -168,9 +183,14 @@ def predict_arrays(s: dict[str, Any], n_days: int) -> tuple[np.ndarray, np.ndarr
 
 
 def fit(
-    df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT
+    df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT,
+    per_series: DataFrame | None = None, keep_short: bool = False,
 ) -> Fitted:
-    """One state row per series; the series, bounded by the calendar, is one Arrow group."""
+    """One state row per series; the series, bounded by the calendar, is one Arrow group.
+
+    ``per_series`` (``keys, params`` as JSON) overrides ``params`` for the series it names. A series too short for
+    any order is left out, or with ``keep_short`` continued from its last value.
+    """
     p = DEFAULTS | (params or {})
     schema = T.StructType(key_fields(df, keys) + list(STATE))
     names = schema.names
@@ -179,15 +199,18 @@ def fit(
         pdf = pdf.sort_values("day")
         y = pdf["y"].to_numpy(float)
         try:
-            s = fit_arrays(y, p)
+            s = fit_arrays(y, own_params(p, pdf["params"].iloc[0]))
         except (np.linalg.LinAlgError, ValueError):
-            return pd.DataFrame(columns=names)
+            if not keep_short:
+                return pd.DataFrame(columns=names)
+            s = _last_value(y)
         last = int(pdf["day"].iloc[-1])
         s |= {k: pdf[k].iloc[0] for k in keys}
         s |= {"n_train": len(y), "last_date": (pd.Timestamp(0) + pd.Timedelta(days=last)).date()}
         return pd.DataFrame([s])[names]
 
-    return Fitted(NAME, keys, p, panel_rows(df, keys, cfg).groupBy(*keys).applyInPandas(kernel, schema))
+    rows = with_params(panel_rows(df, keys, cfg), keys, per_series)
+    return Fitted(NAME, keys, p, rows.groupBy(*keys).applyInPandas(kernel, schema))
 
 
 def forecast(

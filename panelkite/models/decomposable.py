@@ -11,6 +11,7 @@ forecast runs on one state row per series.
 
 from __future__ import annotations
 
+import json
 from typing import Any
 
 import numpy as np
@@ -81,6 +82,10 @@ def fit_arrays(day: np.ndarray, y: np.ndarray, holiday: np.ndarray, p: dict[str,
         beta = np.linalg.solve(gram + np.diag(noise * prior + 1e-10), rhs)
         resid = target - x @ beta
         noise = float(max(resid.var(), 1e-12))
+    if n < 2:  # one value says nothing about trend or season: it is the level
+        beta = np.zeros(x.shape[1])
+        beta[0] = target[0]
+        resid = target - x @ beta
     fitted = x @ beta
     natural = np.maximum(np.exp(fitted) if is_log else fitted * scale, 0.0)
     err = np.abs(y - natural)
@@ -116,9 +121,25 @@ def key_fields(df: DataFrame, keys: list[str]) -> list[T.StructField]:
     return [T.StructField(k, df.schema[k].dataType) for k in keys]
 
 
+def with_params(rows: DataFrame, keys: list[str], per_series: DataFrame | None) -> DataFrame:
+    """Rows with the JSON text ``params`` of their series, NULL where none is given."""
+    if per_series is None:
+        return rows.withColumn("params", F.lit(None).cast("string"))
+    return join_series(rows, per_series.select(*keys, "params"), keys)
+
+
+def own_params(shared: dict[str, Any], text: Any) -> dict[str, Any]:
+    return shared | (json.loads(text) if isinstance(text, str) else {})
+
+
 def fit(
-    df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT
+    df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT,
+    per_series: DataFrame | None = None,
 ) -> Fitted:
+    """One state row per series; a series of one value is its level.
+
+    ``per_series`` (``keys, params`` as JSON) overrides ``params`` for the series it names.
+    """
     p = DEFAULTS | (params or {})
     schema = T.StructType(key_fields(df, keys) + list(STATE))
     names = schema.names
@@ -126,14 +147,13 @@ def fit(
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("day")
         day = pdf["day"].to_numpy(float)
-        if len(day) < 2:
-            return pd.DataFrame(columns=names)
-        s = fit_arrays(day, pdf["y"].to_numpy(float), pdf["holiday"].to_numpy(float), p)
+        own = own_params(p, pdf["params"].iloc[0])
+        s = fit_arrays(day, pdf["y"].to_numpy(float), pdf["holiday"].to_numpy(float), own)
         s |= {k: pdf[k].iloc[0] for k in keys}
         s |= {"n_train": len(day), "last_date": (pd.Timestamp(0) + pd.Timedelta(days=int(day[-1]))).date()}
         return pd.DataFrame([s])[names]
 
-    rows = panel_rows(df, keys, cfg)
+    rows = with_params(panel_rows(df, keys, cfg), keys, per_series)
     return Fitted(NAME, keys, p, rows.groupBy(*keys).applyInPandas(kernel, schema))
 
 

@@ -96,15 +96,22 @@ def line(coef: Column, t: Column, dow: Column) -> Column:
 
 
 def fit(
-    df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT
+    df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT,
+    per_series: DataFrame | None = None,
 ) -> Fitted:
-    """Coefficients per series, the robust residual deviation and the in-sample error."""
+    """Coefficients per series, the robust residual deviation and the in-sample error.
+
+    ``per_series`` (``keys, params`` as JSON) overrides ``params`` for the series it names.
+    """
     p = DEFAULTS | (params or {})
     rows = _rows(df, keys, cfg)
-    solved = moments(rows, keys).select(
-        *keys, "n_train", "last_date",
-        _solve("__m", F.lit(bool(p["include_dow"])), F.lit(float(p["regularization"]))).alias("coef"),
-    )
+    dow, alpha = F.lit(bool(p["include_dow"])), F.lit(float(p["regularization"]))
+    summed = moments(rows, keys)
+    if per_series is not None:
+        summed = join_series(summed, per_series.select(*keys, "params"), keys)
+        own = F.from_json("params", "include_dow boolean, regularization double")
+        dow, alpha = F.coalesce(own["include_dow"], dow), F.coalesce(own["regularization"], alpha)
+    solved = summed.select(*keys, "n_train", "last_date", _solve("__m", dow, alpha).alias("coef"))
     residual = F.col("y") - line(F.col("coef"), F.col("t"), F.col("dow"))
     fitted = join_series(rows, solved, keys).select(*keys, "n_train", "last_date", "coef", residual.alias("residual"))
     return Fitted(NAME, keys, p, robust_sigma(fitted, keys, carry=("n_train", "last_date", "coef")))

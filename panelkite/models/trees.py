@@ -48,7 +48,6 @@ FEATURES = (
 )
 # Forest sizes at which the learning curve is read.
 CURVE_SIZES = (10, 25, 50, 75, 100, 150, 200)
-MAX_NODES = 5_000_000
 HOLDOUT = 0.2
 
 
@@ -177,24 +176,27 @@ def node_table(trained, model: str) -> DataFrame:
 
 
 def pack_nodes(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Node arrays with absolute child positions. Their size depends on the model, not the data, and is checked."""
-    total = nodes.count()
-    if total > MAX_NODES:
-        raise ValueError(f"the model has {total} nodes; at most {MAX_NODES} are shipped to tasks")
-    pdf = nodes.toPandas().sort_values(["tree", "node"], kind="stable").reset_index(drop=True)
-    start = pdf.groupby("tree").head(1).index.to_numpy()
-    base = np.repeat(start, np.diff(np.append(start, len(pdf))))
-    leaf = pdf["feature"].to_numpy() < 0
-    here = np.arange(len(pdf))
+    """Node arrays with absolute child positions, some 30 bytes a node.
+
+    Their size follows the number and depth of the trees, which are parameters of the model.
+    """
+    table = nodes.toArrow()
+    raw = {name: table.column(name).to_numpy() for name in table.column_names}
+    order = np.lexsort((raw["node"], raw["tree"]))
+    node = {name: values[order] for name, values in raw.items()}
+    here = np.arange(len(order))
+    start = np.flatnonzero(np.diff(node["tree"], prepend=-1))
+    base = np.repeat(start, np.diff(np.append(start, len(order))))
+    leaf = node["feature"] < 0
     # Leaves point at themselves, so a walk may go on past the end of a short branch.
     return {
         "root": start.astype(np.int32),
-        "weight": pdf["weight"].to_numpy(float)[start],
-        "feature": np.where(leaf, 0, pdf["feature"].to_numpy()).astype(np.int32),
-        "threshold": np.where(leaf, np.inf, pdf["threshold"].to_numpy(float)),
-        "left": np.where(leaf, here, base + pdf["left"].to_numpy()).astype(np.int32),
-        "right": np.where(leaf, here, base + pdf["right"].to_numpy()).astype(np.int32),
-        "value": pdf["value"].to_numpy(float),
+        "weight": node["weight"].astype(float)[start],
+        "feature": np.where(leaf, 0, node["feature"]).astype(np.int32),
+        "threshold": np.where(leaf, np.inf, node["threshold"]),
+        "left": np.where(leaf, here, base + node["left"]).astype(np.int32),
+        "right": np.where(leaf, here, base + node["right"]).astype(np.int32),
+        "value": node["value"].astype(float),
         "leaf": leaf,
     }
 

@@ -657,7 +657,7 @@ nf AS (SELECT * FROM (SELECT nx.*, f, cnt // 2 + f * ((cnt - cnt // 2) // 5) AS
 nm AS (SELECT c_mktsegment, model_name, f, {', '.join(f'{e} AS {k}' for k, e in _METRICS.items())} FROM nf GROUP BY 1, 2, 3)"""
 ORACLES["fold_metrics"] = f"WITH {_NFOLD} " + _cast_union([
     f"""SELECT c_mktsegment, model_name, '{m}' AS metric, round(avg({m}), 2) AS mean, round(stddev_pop({m}), 2) AS std,
-        round(min({m}), 2) AS min, round(max({m}), 2) AS max FROM nm GROUP BY 1, 2""" for m in _METRICS if m != "mse"])
+        round(min({m}), 2) AS min, round(max({m}), 2) AS max FROM nm GROUP BY 1, 2""" for m in _METRICS])
 _TMC = _NAIVE + ", tm AS (SELECT c_mktsegment, model_name, " + ", ".join(
     f"{e} AS {'test_mape' if k == 'mape' else k}" for k, e in _TM.items()) + """ FROM n GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY test_mape, model_name) AS rank FROM tm)"""

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from panelkite.config import DEFAULT, PanelConfig
 from panelkite.functions.keys import join_series
-from panelkite.models import linear, trees
+from panelkite.models import arima, linear, trees
 from panelkite.models.base import Fitted
 from panelkite.models.registry import MODELS, resolve
-from panelkite.models.search import best_overall, horizon, score
+from panelkite.models.search import best_overall, best_params, horizon, score
 from panelkite.operators.metrics import align, rank_models, trainer_metrics
 from panelkite.operators.splits import simple_split, split_info
 from panelkite.session import written
@@ -46,6 +46,9 @@ def train_model(
 ) -> Trained:
     """Tune inside the training rows, score on untouched test rows, then refit on everything.
 
+    Models fitted per series take the best candidate of each series; the tree models, which share one fit over
+    the panel, take the best one over all series.
+
     Predictions meet actuals on (keys, date), so gaps in the calendar do not shift them.
     """
     if not 0.1 <= test_size <= 0.4:
@@ -55,17 +58,25 @@ def train_model(
     split = simple_split(df, keys, test_size=test_size, cfg=cfg)
     train, test = (split.filter(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
     chosen = dict(params or {})
+    is_global = spec.name in (trees.BOOSTED, trees.FOREST)
+    tuned: dict[str, Any] = {}
     if n_trials:
         scores, candidates = score(train, keys, name, n_trials, cfg=cfg)
-        chosen = best_overall(scores, candidates) | chosen
-    extra = {"curve": curve} if spec.name in (trees.BOOSTED, trees.FOREST) else {}
-    fitted = _stored(spec.fit(train, keys, params=chosen, cfg=cfg, **extra))
+        if is_global or not keys:
+            chosen = best_overall(scores, candidates) | chosen
+        else:
+            full = [spec.defaults | c | chosen for c in candidates]
+            tuned = {"per_series": written(best_params(scores, keys, full).select(*keys, "params"), "tuned")}
+    if spec.name == arima.NAME:
+        tuned["keep_short"] = True  # no series may vanish from metrics and ranking
+    extra = {"curve": curve} if is_global else {}
+    fitted = _stored(spec.fit(train, keys, params=chosen, cfg=cfg, **extra, **tuned))
     ahead = spec.forecast(fitted, horizon(train, test, keys, cfg), include_ci=False, limit=None)
     actual = test.select(*keys, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).alias("actual"))
     tested = _prefixed(trainer_metrics(align(actual, ahead, keys), keys), keys, "test")
     learned = _prefixed(_train_metrics(train, fitted, cfg), keys, "train")
     if train_on_full_data:
-        final = _stored(spec.fit(df, keys, params=chosen, cfg=cfg))
+        final = _stored(spec.fit(df, keys, params=chosen, cfg=cfg, **tuned))
         final.importances = final.importances or fitted.importances
         final.curve = fitted.curve
     else:
@@ -75,13 +86,18 @@ def train_model(
         path = f"{model_dir}/{spec.name}"
         final.save(path)
     info = split_info(split, keys, cfg).drop("fold")
-    runs = join_series(join_series(info, tested, keys), learned, keys).withColumns({
+    runs = join_series(join_series(info, tested, keys), learned, keys)
+    used = F.lit(json.dumps(spec.defaults | chosen))
+    if "per_series" in tuned:
+        runs = join_series(runs, tuned["per_series"], keys)
+        used = F.coalesce("params", used)
+    runs = runs.withColumns({
         "run_id": F.lit(run_id),
         "model_name": F.lit(spec.name),
-        "best_params": F.lit(json.dumps(spec.defaults | chosen)),
+        "best_params": used,
         "model_path": F.lit(path).cast("string"),
     })
-    runs = written(runs, "runs").withColumn("training_time", F.lit(time.time() - started))
+    runs = written(runs.drop("params"), "runs").withColumn("training_time", F.lit(time.time() - started))
     return Trained(final, run_id, runs)
 
 
