@@ -8,7 +8,8 @@ from exact counts:
 1. ``percentile_approx`` gives a narrow value bracket around each wanted rank;
 2. one pass counts the rows below and inside each bracket, and a bracket that misses its rank is
    widened to the whole range, so that a poor sketch costs time and not correctness;
-3. the rows inside are combined to (value, count) on the map side and ranked.
+3. the rows inside are combined to (value, count) on the map side, cut into ranges of values and ranked
+   range by range, so that no task gets a whole group even where a bracket was widened.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ def exact_quantiles(
 ) -> DataFrame:
     """Tidy rows ``keys, column, prob, value``; NULL and NaN values are ignored.
 
-    A group without values gives no row. ``df`` is scanned three times, and the first two passes run
-    when the function is called; what they leave, a few values per group, is kept in the shared folder.
+    A group without values gives no row. ``df`` is scanned three times, and the passes run when the
+    function is called; what they leave, a few values per group and the counted values inside the brackets, is kept
+    in the shared folder.
     """
     long = long_form(df, keys, columns).filter(F.col("v").isNotNull() & ~F.isnan("v"))
     ids = [*keys, "column"]
@@ -67,10 +69,7 @@ def exact_quantiles(
         .groupBy(*ids, F.col("b.prob").alias("prob"), F.col("b.rank").alias("rank"), F.col("b.below").alias("below"), "v")
         .agg(F.count("*").alias("c"))
     )
-    upto = F.sum("c").over(
-        W.partitionBy(*ids, "prob").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    )
-    ranked = inside.select(*ids, "prob", "v", "rank", (F.col("below") + upto).alias("upto"))
+    ranked = _running(inside, [*ids, "prob"])
     rank = F.col("rank")
     picked = ranked.groupBy(*ids, "prob").agg(
         F.min(F.when(F.col("upto") > F.floor(rank), F.col("v"))).alias("x0"),
@@ -80,6 +79,24 @@ def exact_quantiles(
     return picked.select(*ids, "prob", (F.col("x0") + F.col("w") * (F.col("x1") - F.col("x0"))).alias("value"))
 
 
+def _running(inside: DataFrame, by: list[str]) -> DataFrame:
+    """``inside`` with ``upto``: the rows of its group up to each value, those below the bracket included.
+
+    Groups and values are cut into ranges of equal size, written so that a range stays what it is. Sums of the ranges
+    give what lies before each, and rows are only put in order within a range, however many a group has.
+    """
+    spark = inside.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = inside.repartitionByRange(parts, *by, "v").withColumn("__part", F.spark_partition_id())
+    dealt = written(dealt, "ranges")
+    sums = dealt.groupBy(*by, "__part").agg(F.sum("c").alias("__own"))
+    earlier = W.partitionBy(*by).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sums.select(*by, "__part", F.coalesce(F.sum("__own").over(earlier), F.lit(0)).alias("__before"))
+    own = W.partitionBy(*by, "__part").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    summed = dealt.withColumn("__upto", F.sum("c").over(own))
+    return attach(summed, starts, [*by, "__part"]).withColumn("upto", F.col("below") + F.col("__before") + F.col("__upto"))
+
+
 def _rank(p: float) -> Column:
     return (F.col("n") - 1) * F.lit(p)
 

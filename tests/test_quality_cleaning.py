@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkite.config import PanelConfig, resolve_target
-from panelkite.operators import cleaning, quality
+from panelkite.operators import cleaning, quality, quantiles
 from panelkite.operators.quantiles import exact_quantiles
 
 from conftest import rows_of, sales_frame, to_spark
@@ -85,6 +85,26 @@ def test_exact_quantiles_match_pandas(spark, probs):
                     assert got[(k, c, p)] == pytest.approx(part[c].quantile(p), rel=1e-12)
 
 
+def test_quantile_ranking_is_cut_into_ranges(spark):
+    """One group with nearly all rows on one value, one without ties: no range holds a whole group."""
+    n = 20_000
+    rows = spark.range(n).select(
+        F.explode(F.array(
+            F.struct(F.lit("ties").alias("k"), F.when(F.col("id") % 20 == 0, F.col("id")).otherwise(7).cast("double").alias("v")),
+            F.struct(F.lit("none").alias("k"), ((F.col("id") * 7919) % n).cast("double").alias("v")),
+        )).alias("r")).select("r.*")
+    counted = rows.groupBy("k", "v").agg(F.count("*").alias("c")).withColumn("below", F.lit(5))
+    got = quantiles._running(counted, ["k"]).toPandas()
+    for k, part in got.groupby("k"):
+        part = part.sort_values("v")
+        assert (part["upto"].to_numpy() == 5 + part["c"].cumsum().to_numpy()).all()
+    assert got[got["k"] == "none"].groupby("__part").size().max() < n / 2
+    found = {(r["k"], r["prob"]): r["value"] for r in exact_quantiles(rows.withColumnRenamed("v", "x"), ["k"], ["x"], (0.5, 0.99)).collect()}
+    want = rows.toPandas()
+    for (k, p), value in found.items():
+        assert value == pytest.approx(want.loc[want["k"] == k, "v"].quantile(p))
+
+
 def test_quantiles_of_empty_and_null_groups(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0)], "k string, x double")
     assert [tuple(r) for r in exact_quantiles(df, ["k"], ["x"], (0.5,)).collect()] == [("b", "x", 0.5, 1.0)]
