@@ -713,6 +713,19 @@ _FUTURE = "(SELECT c_mktsegment, max(date) AS last_date FROM p GROUP BY 1) CROSS
 ORACLES["future_calendar"] = f"""WITH {_PANEL}
 SELECT c_mktsegment, last_date, CAST(last_date + CAST(i AS INT) AS DATE) AS date, i AS day_number FROM {_FUTURE.format(366)}"""
 
+_DAYS = f"{_PANEL}, e AS (SELECT c_mktsegment, max(date) AS last FROM p GROUP BY 1)"
+ORACLES["forecast_contract"] = f"""WITH {_DAYS}
+SELECT c_mktsegment, model, CAST(30 AS BIGINT) AS n_days, CAST(last + 1 AS DATE) AS first_date, CAST(last + 30 AS DATE) AS last_date,
+       CAST(30 AS BIGINT) AS day_numbers, CAST(30 AS BIGINT) AS n_bounded, CAST(30 AS BIGINT) AS n_non_negative
+FROM e CROSS JOIN (VALUES ('linear_trend'), ('boosted_trees'), ('random_forest'), ('decomposable'), ('seasonal_arima')) AS m(model)"""
+ORACLES["forecast_after_newer_data"] = f"""WITH {_DAYS},
+x AS (SELECT c_mktsegment, date, daily_sales, row_number() OVER {_W} - 1 AS pos, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM p),
+f AS (SELECT c_mktsegment, regr_slope(daily_sales, pos) AS slope, regr_intercept(daily_sales, pos) AS start, max(pos) AS pos, max(date) AS last_fit
+      FROM x WHERE pos < floor(n * CAST(0.8 AS DOUBLE)) GROUP BY 1)
+SELECT c_mktsegment, 'linear_trend' AS model, CAST(last + CAST(i AS INT) AS DATE) AS date, i AS day_number,
+       round(greatest(0, start + slope * (pos + datediff('day', last_fit, last) + i)), 2) AS predicted
+FROM e JOIN f USING (c_mktsegment) CROSS JOIN range(1, 31) AS r(i)"""
+
 _Z = "1.959963984540054"
 
 

@@ -16,11 +16,11 @@ from panelkite.functions import calendar as cal
 from panelkite.functions import windows as win
 from panelkite.functions.keys import attach, series_window
 from panelkite.functions.scalars import contains_text, strip_param_prefix
-from panelkite.models import arima, decomposable, ensemble, linear, search, trees
+from panelkite.models import arima, decomposable, ensemble, linear, registry, search, trees
 from panelkite.models import base as base_model
 from panelkite.operators import cleaning, eda, features, metrics, quality, report, reshape, sessions, splits
 from panelkite.operators.quantiles import exact_quantiles
-from panelkite.plans import training
+from panelkite.plans import forecasting, training
 from panelkite.session import new_path, written
 from panelkite.sources import sinks
 from panelkite.sources.panel import daily_panel, event_panel, table
@@ -789,6 +789,29 @@ def random_forest_forecast(spark, base):
     return show(trees.forecast(fitted, 30), 2)
 
 
+@query
+def forecast_contract(spark, base):
+    """All five models at default size: what must hold for the forecasts of every series, whatever the fit."""
+    fitted = registry.fit_models(sales(spark, base), SEG)
+    ahead = forecasting.request_forecast(fitted, "all", 30)
+    return show(ahead.groupBy(*SEG, "model").agg(
+        F.count("*").alias("n_days"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.count_distinct("day_number").alias("day_numbers"),
+        F.count_if((F.col("lower_bound") <= F.col("predicted")) & (F.col("predicted") <= F.col("upper_bound"))).alias("n_bounded"),
+        F.count_if((F.col("predicted") >= 0) & (F.col("lower_bound") >= 0)).alias("n_non_negative"),
+    ))
+
+
+@query
+def forecast_after_newer_data(spark, base):
+    """A model fitted without the last fifth of each series forecasts the days after the data, the gap counted."""
+    p = sales(spark, base)
+    train = splits.simple_split(p, SEG, 0.8).filter(F.col("role") == "train").drop("fold", "role")
+    fitted = {linear.NAME: linear.fit(train, SEG, {"include_dow": False})}
+    newest = p.groupBy(*SEG).agg(F.max("date").alias("last_date"))
+    return show(forecasting.request_forecast(fitted, linear.NAME, 30, newest=newest).select(*SEG, "model", "date", "day_number", "predicted"), 2)
+
+
 @query
 def forest_learning_curve(spark, base):
     fitted = trees.fit(sales(spark, base), SEG, trees.FOREST, curve=True)

@@ -74,6 +74,23 @@ def test_forecast_dates_follow_the_history(spark):
     assert plain["lower_bound"] is None
 
 
+@pytest.mark.parametrize("keys", [K, []])
+def test_forecasts_from_newer_data_count_the_gap(spark, keys):
+    df, pdf = trend_panel(spark, 60, keys=("a", "b") if keys else ("a",))
+    df = df if keys else df.drop("series_id")
+    fitted = fit_models(df, keys, [linear.NAME])
+    last = pdf["date"].max()
+    newest = df.groupBy(*keys).agg(F.date_add(F.max("date"), 9).alias("last_date"))
+    far = rows_of(request_forecast(fitted, linear.NAME, 14), *keys, "date")
+    for model in (linear.NAME, "all"):
+        got = rows_of(request_forecast(fitted, model, 5, newest=newest), *keys, "date")
+        assert list(got["day_number"]) == [1, 2, 3, 4, 5] * (len(got) // 5)
+        assert pd.to_datetime(got["date"]).min() == pd.Timestamp(last) + pd.Timedelta(days=10)
+        assert list(got["predicted"]) == pytest.approx(list(far.loc[far["day_number"] > 9, "predicted"]))
+    older = newest.withColumn("last_date", F.date_sub("last_date", 30))
+    assert rows_of(request_forecast(fitted, linear.NAME, 14, newest=older), *keys, "date").equals(far)
+
+
 def test_predictions_never_negative(spark):
     df, _ = trend_panel(spark, 100)
     down = df.withColumn("daily_sales", F.lit(1000.0) - 10 * F.datediff("date", F.lit("2023-01-01").cast("date")))
