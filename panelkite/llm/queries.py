@@ -37,7 +37,9 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lengths.suffix_sums(lengths.length_histogram(table(spark, sf_dir, "documents")))
+    # Written once, as the sums read the histogram twice: the texts are encoded in one pass.
+    histogram = Scratch(spark).write(lengths.length_histogram(table(spark, sf_dir, "documents")), "lengths")
+    return lengths.suffix_sums(histogram)
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
