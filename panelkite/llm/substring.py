@@ -6,6 +6,9 @@ anchor sees every one of them. Anchors that one document alone holds are set asi
 compressed FM-index of its different segments and streams them through it; matches of a whole window tell the
 smallest document in which the window starts. The cost grows in proportion to the text, as no document meets
 shards that it shares no anchor with.
+
+A common phrase can be the anchor of more segments than a shard holds. Segments of such an anchor are cut into their
+windows, and the smallest document of each window comes from an aggregation by two codes of the whole window.
 """
 
 from __future__ import annotations
@@ -23,12 +26,13 @@ from pyspark.sql import functions as F
 
 from panelkite.llm.fmindex import FMIndex
 from panelkite.llm.tables import Scratch, row_key
-from panelkite.llm.textcodes import Coder, Words, chunks, mix
+from panelkite.llm.textcodes import Coder, Words, chunks, gram_codes, mix
 
 WINDOW = 13
 ANCHOR = 5
 SHARD_SYMBOLS = 250_000
 NEVER = np.iinfo(np.int64).max
+SALTS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 SMALL = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 
 
@@ -118,7 +122,7 @@ def segments(docs: DataFrame, window: int, size: int) -> DataFrame:
             # Two codes of a segment's words: running sums of coded words, taken back to a common place.
             length = n + window - 1
             keys = []
-            for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            for salt in SALTS:
                 keys.append(coder.runs(mix(words.codes ^ np.uint64(salt)), starts, starts + length).astype(np.int64))
             doc, row = batch.column("doc").to_numpy()[text], batch.column("row").to_numpy()[text]
             order = np.lexsort((doc, keys[1], keys[0]))
@@ -192,6 +196,55 @@ def judged(side: DataFrame, shards: int, window: int) -> DataFrame:
         run, "seg_a bigint, seg_b bigint, firsts binary")
 
 
+def windows_of(side: DataFrame, window: int) -> DataFrame:
+    """(seg_a, seg_b, lo, hi, place, win_a, win_b): each window of each segment, with two codes of its words."""
+    names = ["seg_a", "seg_b", "lo", "hi"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blobs = batch.column("codes").to_pylist()
+            lengths = np.array([len(b) // 8 for b in blobs])
+            codes = np.frombuffer(b"".join(blobs), "<u8")
+            count = lengths - window + 1
+            owner = np.repeat(np.arange(len(blobs)), count)
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            at = np.repeat(np.cumsum(lengths) - lengths, count) + place
+            keys = [gram_codes(mix(codes ^ np.uint64(salt)), window)[at].astype(np.int64) for salt in SALTS]
+            own = [batch.column(c).take(pa.array(owner)) for c in names]
+            yield pa.RecordBatch.from_arrays(
+                [*own, pa.array(place.astype(np.int32)), pa.array(keys[0]), pa.array(keys[1])],
+                names=[*names, "place", "win_a", "win_b"],
+            )
+
+    return side.select(*names, "codes").mapInArrow(
+        run, "seg_a bigint, seg_b bigint, lo bigint, hi bigint, place int, win_a bigint, win_b bigint")
+
+
+def judged_by_window(side: DataFrame, scratch: Scratch, window: int) -> DataFrame:
+    """As ``judged``, for whole anchors of any size: nothing is gathered by anchor or by window."""
+    cut = windows_of(side, window)
+    shared = cut.groupBy("win_a", "win_b").agg(F.min("lo").alias("first"), F.max("hi").alias("last")).filter("first < last")
+    shared = scratch.write(shared.drop("last"), "shared-windows")
+    early = cut.join(shared, ["win_a", "win_b"]).filter("first < hi")
+    # A segment has few windows, and each of them one first document.
+    found = early.groupBy("seg_a", "seg_b").agg(F.collect_set(F.struct("place", "first")).alias("found"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = []
+            for pairs in batch.column("found").to_pylist():
+                firsts = np.full(max(x["place"] for x in pairs) + 1, NEVER, "<i8")
+                for x in pairs:
+                    firsts[x["place"]] = x["first"]
+                blobs.append(firsts.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("seg_a"), batch.column("seg_b"), pa.array(blobs, pa.binary())], names=["seg_a", "seg_b", "firsts"])
+
+    return found.mapInArrow(run, "seg_a bigint, seg_b bigint, firsts binary")
+
+
 def removals(hits: DataFrame) -> DataFrame:
     """(row, doc, starts): window starts that an earlier document has, for each occurrence with any."""
 
@@ -268,8 +321,16 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", te
     cut = scratch.write(segments(listed, window, anchor), "segments", SMALL)
     scratch.drop(shared, lists)
     side = cut.filter("side = 0")
-    total = side.agg(F.sum(F.length("codes"))).first()[0] or 0
-    found = scratch.write(judged(side, max(1, -(-total // (8 * SHARD_SYMBOLS))), window), "first-documents")
+    symbols = F.sum(F.length("codes")) / 8
+    heavy = side.groupBy("anchor").agg(symbols.alias("n")).filter(F.col("n") > SHARD_SYMBOLS).select("anchor")
+    heavy = scratch.write(heavy, "heavy-anchors")
+    split = not heavy.isEmpty()
+    light = side.join(heavy, "anchor", "left_anti") if split else side
+    total = int(light.agg(symbols).first()[0] or 0)
+    found = judged(light, max(1, -(-total // SHARD_SYMBOLS)), window)
+    if split:
+        found = found.unionByName(judged_by_window(side.join(heavy, "anchor", "left_semi"), scratch, window))
+    found = scratch.write(found, "first-documents")
     hits = cut.filter("side = 1").select("seg_a", "seg_b", "row", "lo", "start").join(found, ["seg_a", "seg_b"])
     marks = scratch.write(removals(hits), "removals")
     scratch.close(marks)

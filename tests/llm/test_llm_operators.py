@@ -130,6 +130,32 @@ def test_substring_dedup(spark, docs, empty, window):  # noqa: F811
     assert substring.remove_repeats(empty, Scratch(spark)).count() == 0
 
 
+def test_substring_dedup_splits_a_common_anchor(spark, monkeypatch):  # noqa: F811
+    """A phrase in a third of the documents, between other words, anchors more segments than a shard holds."""
+    rng = random.Random(9)
+    prose = lambda n: " ".join("w%d" % rng.randrange(10**6) for _ in range(n))
+    phrase, passage = prose(8), prose(9)
+    rows = [(i, prose(20) + (f" {phrase} " if i % 3 == 0 else " ") + prose(20)) for i in range(600)]
+    rows += [(i, f"{prose(5)} {rows[i - 600][1]} {prose(5)}") for i in range(600, 640)]
+    rows += [(i, f"{prose(12)} {passage} {phrase} {prose(12)}") for i in range(640, 660)]
+    rows += [rows[3], rows[645], (None, rows[0][1]), (5, rows[9][1])]
+    largest = []
+    judged = substring.judged
+
+    def watched(side, shards, window):
+        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards))
+        sizes = side.groupBy(shard.alias("shard")).agg((F.sum(F.length("codes")) / 8).alias("n"))
+        largest.append(sizes.agg(F.max("n")).first()[0])
+        return judged(side, shards, window)
+
+    monkeypatch.setattr(substring, "judged", watched)
+    monkeypatch.setattr(substring, "SHARD_SYMBOLS", 1000)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    out = substring.remove_repeats(table, Scratch(spark)).collect()
+    assert sorted(map(key, map(tuple, out))) == sorted(map(key, brute.repeats_removed(rows)))
+    assert largest[0] <= 2000, largest
+
+
 def test_token_counts(spark, docs, empty):  # noqa: F811
     encoder = Encoder(default_path())
     sizes = [len(encoder.whole.encode(r[1] or "", add_special_tokens=False).ids) for r in ROWS]
