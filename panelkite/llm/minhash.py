@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkite.llm.graph import components
@@ -202,12 +202,38 @@ class Unions:
         return a != b
 
 
-def in_chunks(rows: DataFrame, group: str, size: str) -> DataFrame:
-    """Rows with chunk, chunk_a and chunk_b: each two chunks of a group meet once, in a task of bounded size."""
-    pieces = F.greatest(F.lit(1), F.ceil(F.col(size) / GROUP_ROWS)).cast("int")
-    rows = rows.withColumn("pieces", pieces).withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    return rows.withColumns({"chunk_a": F.least("chunk", "other"), "chunk_b": F.greatest("chunk", "other")}).drop("other", "pieces", size)
+def in_chunks(rows: DataFrame, group: str, size: str, scratch: Scratch) -> DataFrame:
+    """Rows with their chunk: ``pieces`` chunks in the group, ``own`` of them from ``begin`` on for the row's component.
+
+    A component with more than a chunk of a group has chunks of its own (else ``own`` is 0); the others share chunks.
+    """
+    n = F.col("n")
+    parts = rows.filter(F.col(size) > GROUP_ROWS).groupBy(group, "component").agg(F.count("*").alias("n"))
+    parts = scratch.write(parts.withColumn("own", F.when(n > GROUP_ROWS, F.ceil(n / GROUP_ROWS)).otherwise(0)), "parts")
+    if parts.isEmpty():
+        return rows.withColumns({c: F.lit(x) for c, x in (("pieces", 1), ("own", 0), ("begin", 0), ("chunk", 0))}).drop(size)
+    shared = F.ceil(F.sum(F.when(F.col("own") == 0, n).otherwise(0)) / GROUP_ROWS)
+    groups = parts.groupBy(group).agg(shared.alias("shared"), (shared + F.sum("own")).alias("pieces"))
+    before = Window.partitionBy(group).orderBy("component").rowsBetween(Window.unboundedPreceding, -1)
+    large = parts.filter("own > 0").select(group, "component", "own", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("first"))
+    groups, large = scratch.write(groups, "chunk-groups"), scratch.write(large, "chunk-components")
+    rows = rows.join(groups, group, "left").join(large, [group, "component"], "left").na.fill(0, ["shared", "own", "first"])
+    rows = rows.withColumns({"pieces": F.coalesce("pieces", F.lit(1)), "begin": F.when(F.col("own") > 0, F.col("shared") + F.col("first")).otherwise(0)})
+    among = F.when(F.col("own") > 0, F.col("own")).otherwise(F.greatest(F.lit(1), "shared"))
+    chunk = F.col("begin") + F.pmod(F.xxhash64("doc"), among)
+    return rows.withColumns({c: x.cast("int") for c, x in (
+        ("chunk", chunk), ("pieces", F.col("pieces")), ("own", F.col("own")), ("begin", F.col("begin")))}).drop(size, "shared", "first")
+
+
+def paired(rows: DataFrame) -> DataFrame:
+    """Rows of ``in_chunks`` with chunk_a and chunk_b: two chunks of a group meet once, in a task of bounded size.
+
+    Chunks of one component do not meet, as a pair inside a component needs no check.
+    """
+    every = F.sequence(F.lit(0), F.col("pieces") - 1)
+    rows = rows.withColumn("other", F.explode(F.filter(every, lambda o: (o < F.col("begin")) | (o >= F.col("begin") + F.col("own")))))
+    return rows.withColumns({"chunk_a": F.least("chunk", "other"), "chunk_b": F.greatest("chunk", "other")}).drop(
+        "other", "pieces", "own", "begin")
 
 
 def outsiders(component: np.ndarray, chunk: np.ndarray, same: bool) -> Iterator[tuple[int, np.ndarray]]:
@@ -318,15 +344,15 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     open_ = open_.join(labels, F.col("doc") == F.col("node"), "left").withColumn("component", F.coalesce("component", "doc"))
     open_ = scratch.write(open_.drop("node"), "open-bands")
     torn = open_.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    rest = open_.join(torn.select("band"), "band", "left_semi").join(reps, "doc")
-    near = scratch.write(tied_by_estimate(in_chunks(rest, "band", "band_size")), "near-components")
+    rest = in_chunks(open_.join(torn.select("band"), "band", "left_semi"), "band", "band_size", scratch)
+    near = scratch.write(tied_by_estimate(paired(rest.join(reps, "doc"))), "near-components")
     families = components(near, scratch).select(F.col("node").alias("component"), F.col("component").alias("family"))
     alone = families.select(F.col("component").alias("doc"), "component").join(
         labels.select(F.col("node").alias("doc")), "doc", "left_anti")
     placed = labels.select(F.col("node").alias("doc"), "component").unionByName(alone)
     kin = scratch.write(placed.join(families, "component"), "families")
     sizes = kin.groupBy("family").agg(F.count("*").alias("family_size"))
-    kin = in_chunks(kin.join(sizes, "family"), "family", "family_size").join(texts.select("doc", "text"), "doc")
+    kin = paired(in_chunks(kin.join(sizes, "family"), "family", "family_size", scratch)).join(texts.select("doc", "text"), "doc")
     found = scratch.write(tied_exactly(kin), "family-links", SMALL)
     links = scratch.write(links.unionByName(found), "links")
     labels = components(links, scratch)

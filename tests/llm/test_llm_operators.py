@@ -342,6 +342,30 @@ def test_near_copies_of_all_degrees(spark):  # noqa: F811
     assert {r.doc_id: r.component_id for r in out} == brute.near_components(rows)
 
 
+def test_near_copies_of_one_component_do_not_meet(spark, monkeypatch):  # noqa: F811
+    """Near copies already linked are not paired chunk by chunk because a few documents are almost near."""
+    rng = random.Random(4)
+    base = ["w%d" % rng.randrange(10**6) for _ in range(100)]
+    rows = []
+    for i in range(123):
+        w = list(base)
+        for at in [rng.randrange(100)] if i < 120 else range(10, 100, 20):
+            w[at] = "e%d" % rng.randrange(10**6)
+        rows.append((i, " ".join(w)))
+    met = {}
+    for name in ("tied_by_estimate", "tied_exactly"):
+        def watched(members, name=name, tied=getattr(minhash, name)):
+            met[name] = members.groupBy("doc").count().agg(F.max("count"), F.sum("count")).first()
+            return tied(members)
+
+        monkeypatch.setattr(minhash, name, watched)
+    monkeypatch.setattr(minhash, "GROUP_ROWS", 16)
+    out = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), Scratch(spark)).collect()
+    assert {r.doc_id: r.component_id for r in out} == brute.near_components(rows)
+    assert {r.component_id for r in out} == {0, 120, 121, 122}
+    assert 120 < met["tied_exactly"][1] <= 2 * len(rows), met
+
+
 def test_jaccard_estimates():
     rng = np.random.default_rng(0)
     errors = []
