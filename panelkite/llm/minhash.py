@@ -378,4 +378,7 @@ def keep_one(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col
     counted = scratch.write(found.groupBy("doc_id").agg(F.count("*").alias("n")), "kept-ids")
     one = docs.join(counted.filter("n = 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
     several = docs.join(counted.filter("n > 1").select(F.col("doc_id").alias(id_col)), id_col, "left_semi")
-    return one.unionByName(several.dropDuplicates([id_col])).unionByName(docs.filter(F.col(id_col).isNull()))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(F.col(text_col).cast("string"), F.xxhash64(F.to_json(row, {"ignoreNullFields": "false"})))
+    first = several.groupBy(id_col).agg(F.min_by(row, order).alias("first")).select("first.*")
+    return one.unionByName(first).unionByName(docs.filter(F.col(id_col).isNull()))

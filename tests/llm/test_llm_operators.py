@@ -366,6 +366,14 @@ def test_near_copies_of_one_component_do_not_meet(spark, monkeypatch):  # noqa:
     assert 120 < met["tied_exactly"][1] <= 2 * len(rows), met
 
 
+def test_keep_one_picks_by_text(spark):  # noqa: F811
+    """Of rows that share an id, the first by text stays, in whatever order they come."""
+    for texts in (["b c d", "a x y"], ["a x y", "b c d"]):
+        rows = [(1, t) for t in texts]
+        table = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+        assert [tuple(r) for r in minhash.keep_one(table, Scratch(spark)).collect()] == [(1, "a x y")]
+
+
 def test_jaccard_estimates():
     rng = np.random.default_rng(0)
     errors = []
