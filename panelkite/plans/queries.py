@@ -156,8 +156,8 @@ def csv_scan(spark, base):
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").alias("daily_sales"),
         (F.col("o_orderkey") % 7).cast("double").alias("marketing_spend"), "o_orderkey")
     odd = F.col("o_orderkey") % 2 == 1
-    rows.filter(odd).drop("o_orderkey").coalesce(1).write.option("header", True).csv(path)
-    rows.filter(~odd).select("marketing_spend", "date", "o_orderkey", "daily_sales").coalesce(1).write.mode("append").option("header", True).csv(path)
+    rows.filter(odd).drop("o_orderkey").write.option("header", True).csv(path)
+    rows.filter(~odd).select("marketing_spend", "date", "o_orderkey", "daily_sales").write.mode("append").option("header", True).csv(path)
     got = read_csv(spark, path)
     return show(got.groupBy("marketing_spend").agg(
         F.count("*").alias("n"), F.count("o_orderkey").alias("keys"), F.sum("daily_sales").alias("sales"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import glob
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -189,3 +190,15 @@ def test_data_info(spark, one):
     info = {r["column"]: r for r in quality.data_info(one).collect()}
     assert info["daily_sales"]["dtype"] == "double" and info["date"]["rows"] == 100
     assert str(info["date"]["date_end"]) == "2023-04-10" and len(info) == len(sales_frame().columns)
+
+
+def test_csv_scan_writes_in_parallel(spark, folder, monkeypatch):
+    """The table does not pass through one task: each partition writes its own file."""
+    from panelkite.plans import queries
+
+    orders = spark.range(80).selectExpr("id AS o_orderkey", "DATE'2023-01-01' AS o_orderdate", "CAST(id AS DOUBLE) AS o_totalprice")
+    orders.repartition(8).write.parquet(f"{folder}/orders.parquet")
+    monkeypatch.setattr(queries, "new_path", lambda *_: f"{folder}/csv")
+    got = queries.csv_scan(spark, folder).collect()
+    assert sum(r.n for r in got) == 80 and sum(r["keys"] for r in got) == 40
+    assert len([f for f in os.listdir(f"{folder}/csv") if f.endswith(".csv")]) > 2
