@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.llm import chat, langid, lengths, minhash, mixing, packing, pii, quality, substring, topk
+from panelkite.llm import chat, langid, lengths, linededup, minhash, mixing, packing, pii, quality, substring, topk
 from panelkite.llm.tables import Scratch
 
 
@@ -72,10 +72,18 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
+    # Written, as a broadcast of the bitmaps is decided by their size.
+    bitmaps = scratch.write(linededup.keep_bitmaps(docs, scratch, min_docs=10), "line-bitmaps")
+    kept = linededup.apply_keep(docs, bitmaps)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_preference_pairs, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_top_k,
-        op7_best_fit_packing, op8_language_id, op9_pii, op10_near_duplicates,
+        op7_best_fit_packing, op8_language_id, op9_pii, op10_near_duplicates, op11_line_dedup,
     )
 }
