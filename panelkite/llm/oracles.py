@@ -165,7 +165,55 @@ SELECT k.doc_id, count(*)::BIGINT AS n_lines, count(c.key)::BIGINT AS n_dropped,
 FROM k LEFT JOIN c USING (key) GROUP BY k.r, k.doc_id
 """
 
+# The checksum byte by byte, over a table of 256 entries made by its rule.
+CRC = """
+WITH RECURSIVE step(b, c, k) AS (
+  SELECT b::BIGINT, b::BIGINT, 0 FROM range(256) r(b)
+  UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM step WHERE k < 8
+), crc_table AS (
+  SELECT list(c ORDER BY b) AS t FROM step WHERE k = 8
+)"""
+
+
+def crc32(text: str) -> str:
+    """The unsigned checksum of the UTF-8 bytes of a SQL text; needs ``crc_table`` as table ``z``."""
+    data = f"hex(encode({text}))"
+    return (f"xor(list_reduce(list_transform(range(0, (len({data}) // 2)::BIGINT), lambda i: ('0x' || {data}[2 * i + 1:2 * i + 2])::BIGINT), "
+            "lambda a, b: xor(a // 256, z.t[xor(a % 256, b) + 1]), 4294967295), 4294967295)")
+
+
+OP12 = f"""{CRC}, r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents
+), g AS (
+  SELECT doc, run, count(*) AS n FROM r WHERE length(run) >= 5 GROUP BY 1, 2
+), h AS (
+  SELECT run, n, {crc32("doc || ':' || run")} AS h FROM g, crc_table z
+), w AS (
+  SELECT CASE WHEN h % 97 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1
+), v AS (
+  SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3
+), x AS (
+  SELECT word, length(word) AS l, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v)
+), p AS (
+  SELECT DISTINCT a.word AS a, b.word AS b FROM x a JOIN x b ON a.rest = b.rest AND a.i = b.i AND a.l = b.l AND a.word <> b.word
+  UNION SELECT x.word, v.word FROM x JOIN v ON x.rest = v.word
+  UNION SELECT v.word, x.word FROM x JOIN v ON x.rest = v.word
+), f AS (
+  SELECT a AS word, count(*) AS n_near, min({{'minus': -n, 'b': b}}) AS best FROM p JOIN v ON v.word = p.b GROUP BY a
+), m AS (
+  SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near,
+    CASE WHEN -best.minus >= 2 * v.n THEN best.b END AS form, CASE WHEN -best.minus >= 2 * v.n THEN -best.minus END AS form_n
+  FROM v LEFT JOIN f USING (word)
+), c(word, root) AS (
+  SELECT word, coalesce(form, word) FROM m UNION SELECT c.word, m.form FROM c JOIN m ON m.word = c.root AND m.form IS NOT NULL
+)
+SELECT m.word, m.form, m.n, m.n_near, m.form_n, e.root
+FROM m JOIN (SELECT c.word, c.root FROM c JOIN m ON m.word = c.root AND m.form IS NULL) e USING (word)
+"""
+
 LLM_ORACLES = {
     "op1_source_mix": OP1, "op2_preference_pairs": OP2, "op3_substring_dedup": OP3, "op5_quality_rules": OP5,
     "op6_top_k": OP6, "op10_near_duplicates": OP10, "op11_line_dedup": OP11,
+    "op12_spelling_variants": OP12,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.llm import chat, langid, lengths, linededup, minhash, mixing, packing, pii, quality, substring, topk
+from panelkite.llm import chat, langid, lengths, linededup, minhash, mixing, packing, pii, quality, spelling, substring, topk
 from panelkite.llm.tables import Scratch
 
 
@@ -80,10 +80,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.vocabulary(table(spark, sf_dir, "documents"))
+    return spelling.variants(words, Scratch(spark)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_preference_pairs, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_top_k,
         op7_best_fit_packing, op8_language_id, op9_pii, op10_near_duplicates, op11_line_dedup,
+        op12_spelling_variants,
     )
 }
