@@ -212,8 +212,74 @@ SELECT m.word, m.form, m.n, m.n_near, m.form_n, e.root
 FROM m JOIN (SELECT c.word, c.root FROM c JOIN m ON m.word = c.root AND m.form IS NULL) e USING (word)
 """
 
+def _least(*ways: str) -> str:
+    return f"list_sort(list_filter([{', '.join(ways)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _row_ways(state: str, onward: str, letter: str, kept: str) -> str:
+    """Cheapest way from a state over one row, before insertions; ``kept`` gives the state after the row is kept, or NULL."""
+    role = {"u": "user", "a": "assistant"}[letter]
+    fault = "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    way = lambda cost, edit, then, line: (
+        f"{{'c': ({cost} + {then}.c)::BIGINT, 'e': '{edit}' || {then}.e, 't': list_concat({line}, {then}.t)}}")
+    return _least(
+        way("2", "D", state, "[]::VARCHAR[]"),
+        f"CASE WHEN NOT gone AND {kept} THEN {way(fault, 'K', onward, '[line]')} END",
+        f"CASE WHEN NOT gone THEN {way('1 + ' + fault, 'R', onward, chr(91) + repr(role + ':') + ' || text]')} END",
+        *([f"CASE WHEN NOT gone AND initial = 's' THEN {way(fault, 'K', 's', '[line]')} END"] if state == "n" else []))
+
+
+def _insert(then: str, role: str) -> str:
+    return f"{{'c': {then}.c + 5, 'e': 'I' || {then}.e, 't': list_concat(['{role}:'], {then}.t)}}"
+
+
+OP13 = f"""{CRC}, c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k
+  FROM conversations, crc_table z
+), d AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM c, range(2) r(copy) WHERE k <> 0 AND (copy = 0 OR k = 3)
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS i FROM d
+), f AS (
+  SELECT *, role[1:1] AS initial, role || ':' || text AS line,
+    lag(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) || role[1:1] AS met,
+    CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+  FROM o
+), rows_ AS (
+  SELECT *, fault IN ('blank', 'duplicate') AS gone FROM f
+), sums AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+    count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate,
+    count(*) FILTER (WHERE fault = 'truncated') AS truncated, count(*) FILTER (WHERE met NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n
+  FROM rows_ GROUP BY conv_id
+), walk AS (
+  SELECT conv_id, n + 1 AS i, {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}} AS n,
+    {{'c': 10::BIGINT, 'e': 'II', 't': ['user:', 'assistant:']::VARCHAR[]}} AS s, {{'c': 5::BIGINT, 'e': 'I', 't': ['assistant:']::VARCHAR[]}} AS u,
+    {{'c': 0::BIGINT, 'e': '', 't': []::VARCHAR[]}} AS a
+  FROM sums
+  UNION ALL
+  SELECT conv_id, i, {_least("n", _insert("u", "user"))}, {_least("s", _insert("u", "user"))}, u, {_least("a", _insert("u", "user"))}
+  FROM (
+    SELECT conv_id, i, n, s, {_least("u", _insert("a", "assistant"))} AS u, a FROM (
+      SELECT w.conv_id, r.i, {_row_ways("n", "u", "u", "initial = 'u'")} AS n, {_row_ways("s", "u", "u", "initial = 'u'")} AS s,
+        {_row_ways("u", "a", "a", "initial = 'a'")} AS u, {_row_ways("a", "u", "u", "initial = 'u'")} AS a
+      FROM walk w JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i - 1))
+)
+SELECT x.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.n.c, 0)::BIGINT AS cost,
+  coalesce(w.n.e, '') AS audit, sha256(coalesce(array_to_string(w.n.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) x
+LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM x.conv_id
+LEFT JOIN walk w ON w.conv_id IS NOT DISTINCT FROM x.conv_id AND w.i = 1
+"""
+
 LLM_ORACLES = {
     "op1_source_mix": OP1, "op2_preference_pairs": OP2, "op3_substring_dedup": OP3, "op5_quality_rules": OP5,
     "op6_top_k": OP6, "op10_near_duplicates": OP10, "op11_line_dedup": OP11,
-    "op12_spelling_variants": OP12,
+    "op12_spelling_variants": OP12, "op13_conversation_repair": OP13,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkite.llm import chat, langid, lengths, linededup, minhash, mixing, packing, pii, quality, spelling, substring, topk
+from panelkite.llm import chat, langid, lengths, linededup, minhash, mixing, packing, pii, quality, repair, spelling, substring, topk
 from panelkite.llm.tables import Scratch
 
 
@@ -85,11 +85,25 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(words, Scratch(spark)).select("word", "form", "root", "n", "n_near", "form_n")
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    scratch = Scratch(spark)
+    mended = repair.repair(repair.damage(conversations), scratch)
+    report = scratch.write(mended.report, "report")
+    hashes = repair.hashed(mended.turns).withColumnRenamed("conv_id", "h")
+    ids = conversations.select(F.col("conv_id").alias("c")).distinct()
+    out = ids.join(report, F.col("c").eqNullSafe(F.col("conv_id")), "left").join(hashes, F.col("c").eqNullSafe(F.col("h")), "left")
+    counts = [F.coalesce(n, F.lit(0)).cast("long").alias(n) for n in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return out.select(
+        F.col("c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_source_mix, op2_preference_pairs, op3_substring_dedup, op4_token_counts, op5_quality_rules, op6_top_k,
         op7_best_fit_packing, op8_language_id, op9_pii, op10_near_duplicates, op11_line_dedup,
-        op12_spelling_variants,
+        op12_spelling_variants, op13_conversation_repair,
     )
 }
