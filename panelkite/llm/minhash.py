@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from panelkite.llm.graph import components
 from panelkite.llm.tables import Scratch
-from panelkite.llm.textcodes import Coder, Words, chunks, gram_codes, mix
+from panelkite.llm.textcodes import SEEDS, Words, chunks, gram_codes, mix
 
 SHINGLE = 5
 PERCENT = 75
@@ -109,15 +109,14 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, n_shingles, the class of equal word sequences (two codes) and the registers of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
         for batch in chunks(batches, "text"):
-            words = Words(batch.column("text"), coder, lower=True)
+            words = Words(batch.column("text"), lower=True)
             sets = shingle_codes(words)
             regs = registers(sets)
             whole = np.zeros((2, len(sets) + 1), np.uint64)
             place = (np.arange(len(words.codes)) - np.repeat(words.bounds[:-1], words.counts)).astype(np.uint64)
-            for side, salt in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-                terms = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.codes + mix(place * np.uint64(salt) + np.uint64(side + 1))))])
+            for side, (codes, salt) in enumerate(zip((words.codes, words.other_codes()), SEEDS)):
+                terms = np.concatenate([[np.uint64(0)], np.cumsum(mix(codes + mix(place * np.uint64(salt) + np.uint64(side + 1))))])
                 whole[side, :-1] = mix(terms[words.bounds[1:]] - terms[words.bounds[:-1]] + words.counts.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -165,18 +164,18 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (u, v) that are similar by their full shingle sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
         for batch in chunks(batches, "tv"):
             u = batch.column("u").to_numpy()
             # A hub's text comes many times in a row: its set is made once.
             turns = np.concatenate([[True], u[1:] != u[:-1]])
-            own = shingle_codes(Words(batch.column("tu").filter(pa.array(turns)), coder, lower=True))
+            own = shingle_codes(Words(batch.column("tu").filter(pa.array(turns)), lower=True))
             left = [own[i] for i in np.cumsum(turns) - 1]
-            right = shingle_codes(Words(batch.column("tv"), coder, lower=True))
+            right = shingle_codes(Words(batch.column("tv"), lower=True))
             keep = []
-            for a, b in zip(left, right, strict=True):
+            for i, (a, b) in enumerate(zip(left, right, strict=True)):
                 shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared > 0 and 100 * shared >= PERCENT * (len(a) + len(b) - shared))
+                keep.append(similar(shared, len(a), len(b)) and (
+                    min(len(a), len(b)) >= SURE or same_words(batch.column("tu")[i].as_py(), batch.column("tv")[i].as_py())))
             yield batch.select(["u", "v"]).filter(pa.array(keep))
 
     left = texts.select(F.col("doc").alias("u"), F.col("text").alias("tu"), F.col("code").alias("cu"))
@@ -185,6 +184,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "tu", "tv").mapInArrow(run, "u bigint, v bigint").distinct()
 
 
+SURE = 8
+
+
+def similar(shared: int, a: int, b: int) -> bool:
+    return shared > 0 and 100 * shared >= PERCENT * (a + b - shared)
+
+
+def same_words(a: str, b: str) -> bool:
+    """Similarity by the words themselves. Few codes could agree by chance; from ``SURE`` shingles on, six would have to."""
+    sets = []
+    for text in (a, b):
+        words = (text or "").encode().lower().split()
+        sets.append({tuple(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE + 1, min(len(words), 1)))})
+    return similar(len(sets[0] & sets[1]), len(sets[0]), len(sets[1]))
+
+
 class Unions:
     """Union-find over the components that meet in one group."""
 
@@ -273,7 +288,8 @@ def tied_exactly(members: DataFrame) -> DataFrame:
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         doc, component, chunk = (group.column(c).to_numpy() for c in ("doc", "component", "chunk"))
-        sets = shingle_codes(Words(group.column("text"), Coder(), lower=True))
+        texts = group.column("text")
+        sets = shingle_codes(Words(texts, lower=True))
         n = np.array([len(s) for s in sets])
         edge = np.concatenate([[0], np.cumsum(n)])
         inverse = np.unique(np.concatenate(sets), return_inverse=True)[1]
@@ -286,6 +302,8 @@ def tied_exactly(members: DataFrame) -> DataFrame:
             rows = holders[np.repeat(begin[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
             shared = np.bincount(rows, minlength=len(sets))[at]
             linked = at[(shared > 0) & (100 * shared >= PERCENT * (n[at] + n[i] - shared))]
+            if n[i] < 2 * SURE:  # only then can the smaller set of a link be short
+                linked = np.array([j for j in linked.tolist() if min(n[i], n[j]) >= SURE or same_words(texts[i].as_py(), texts[j].as_py())], int)
             out += [(int(doc[i]), int(doc[j])) for j in linked.tolist() if known.join(int(component[i]), int(component[j]))]
         return pa.table({"u": pa.array([x[0] for x in out], pa.int64()), "v": pa.array([x[1] for x in out], pa.int64())})
 

@@ -73,9 +73,8 @@ def anchors_of(docs: DataFrame, window: int, size: int, spread: bool) -> DataFra
     """(anchor, lo, hi): the smallest and largest id per anchor and batch; or (anchor, row) for each row's anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder()
         for batch in chunks(batches, "text"):
-            words = Words(batch.column("text"), coder)
+            words = Words(batch.column("text"))
             starts, _, code = anchored(words, window, size)
             text = np.searchsorted(words.bounds, starts, "right") - 1
             # Order by anchor, within it by text, each pair once.
@@ -107,7 +106,7 @@ def segments(docs: DataFrame, window: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder()
         for batch in chunks(batches, "text"):
-            words = Words(batch.column("text"), coder)
+            words = Words(batch.column("text"))
             starts, n, code = anchored(words, window, size)
             text = np.searchsorted(words.bounds, starts, "right") - 1
             lists = batch.column("anchors")

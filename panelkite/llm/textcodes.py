@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,7 +48,10 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Codes of byte or code-point runs: a polynomial over mixed symbols, made in each task."""
+    """Codes of short runs of mixed word codes: a polynomial modulo 2**64, made in each task.
+
+    Such sums cancel for long patterned runs, so they name segments of some twenty words, never words or texts.
+    """
 
     STEP = np.uint64(0xA0761D6478BD642F)
 
@@ -74,13 +78,40 @@ class Coder:
         return mix(code + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-BYTES = mix(np.arange(1, 257, dtype=np.uint64))
+SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+LONG_WORD = 1024
+
+
+def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = SEEDS[0]) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: every eight bytes are mixed into it in turn, so no pattern of bytes cancels.
+
+    Longer runs than ``LONG_WORD`` bytes are hashed one by one. Codes of two seeds are independent.
+    """
+    lengths = ends - starts
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    lanes = np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+    salt = np.uint64(seed)
+    code = mix(lengths.astype(np.uint64) ^ salt)
+    is_long = lengths > LONG_WORD
+    at = np.flatnonzero(~is_long)
+    done = 0
+    while len(at):
+        left = (8 - np.minimum(lengths[at] - done, 8)).astype(np.uint64)
+        lane = lanes[starts[at] + done] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (left * np.uint64(8)))
+        code[at] = mix((code[at] ^ mix(lane + salt)) * np.uint64(0xA0761D6478BD642F) + np.uint64(done + 1))
+        done += 8
+        at = at[lengths[at] > done]
+    key = seed.to_bytes(8, "little")
+    for i in np.flatnonzero(is_long).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=key).digest()
+        code[i] = np.uint64(int.from_bytes(digest, "little"))
+    return code
 
 
 class Words:
     """The words of a batch: where they start and end in the bytes, their codes, and each text's share of them."""
 
-    def __init__(self, column: pa.Array, coder: Coder | None = None, lower: bool = False):
+    def __init__(self, column: pa.Array, coded: bool = True, lower: bool = False):
         data, offsets = utf8(column)
         if lower:
             data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
@@ -98,8 +129,12 @@ class Words:
         self.ends = np.flatnonzero(stops) + 1
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
-        if coder is not None:
-            self.codes = coder.runs(BYTES[data], self.starts, self.ends)
+        if coded:
+            self.codes = word_codes(data, self.starts, self.ends)
+
+    def other_codes(self) -> np.ndarray:
+        """Codes that are independent of the first ones; the two together identify a word by 128 bits."""
+        return word_codes(self.data, self.starts, self.ends, SEEDS[1])
 
     def texts(self) -> np.ndarray:
         """The row of each word."""
