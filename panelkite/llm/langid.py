@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkite.llm.tables import without
+from panelkite.llm.tables import REST, pack, unpack, without
 from panelkite.llm.textcodes import chunks
 
 BITS = 16
@@ -20,7 +19,6 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 TRAIN_PER_LANG = 5_000  # documents per language that a model is fitted on, at most
 UNDETERMINED = "und"
-HAS_LETTER = re.compile(r"[^\W\d_]")
 CHUNK = 1_000_000
 
 
@@ -122,7 +120,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep:
         names = np.array([*langs, UNDETERMINED], object)
         for batch in chunks(batches, text, CHUNK):
             texts = [t or "" for t in batch.column(text).to_pylist()]
-            lettered = np.array([HAS_LETTER.search(t) is not None for t in texts])
+            lettered = np.array([any(map(str.isalpha, t)) for t in texts])
             code, begins = features(texts, bits)
             total = sum(np.add.reduceat(table[code[:, j]], begins, axis=0) for j in range(code.shape[1]))
             if langs:
@@ -162,10 +160,11 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     Learns from the labels of ``docs`` itself; without any label every text with a letter stays. A missing ``lang``
     is filled with the prediction.
     """
-    model = fit(docs.filter(fold() != 0))
-    names = docs.columns
-    found = predict(docs, model, keep=tuple(names))
+    needed = ("doc_id", "text", "lang")
+    packed = pack(docs, *needed)
+    model = fit(packed.filter(fold() != 0))
+    found = predict(packed, model, keep=(*needed, REST))
     keep = F.col("lang_pred") != UNDETERMINED if model.langs else F.col("text").rlike("\\p{L}")
     found = found.filter(keep & ((F.col("score") >= least) if model.langs else F.lit(True)))
-    filled = F.coalesce(F.col("lang"), F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred"))).alias("lang")
-    return found.select(*[filled if c == "lang" else F.col(c) for c in names])
+    filled = F.coalesce(F.col("lang"), F.when(F.col("lang_pred") != UNDETERMINED, F.col("lang_pred")))
+    return unpack(found, docs.columns, needed, {"lang": filled})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkite.session import new_path
@@ -64,5 +64,21 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in clashing])
 
 
+REST = "packed_rest"
+
+
+def pack(docs: DataFrame, *needed: str) -> DataFrame:
+    """The columns an operator works on, and all others in one struct, so that no name of theirs can clash with its own."""
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*[F.col(f"`{c}`") for c in needed], F.struct(F.lit(None).cast("int").alias("_"), *rest).alias(REST))
+
+
+def unpack(df: DataFrame, columns: list[str], needed: tuple[str, ...], made: dict[str, Column] | None = None) -> DataFrame:
+    """``columns`` again, in order; ``made`` gives new values for some of them."""
+    made = made or {}
+    own = lambda c: F.col(c) if c in needed else F.col(REST).getField(c)
+    return df.select(*[(made[c] if c in made else own(c)).alias(c) for c in columns])
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
