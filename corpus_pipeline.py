@@ -1,7 +1,10 @@
 """A training corpus from documents: language, near-duplicates, personal data, mixture, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. All but the last return the
-columns of ``docs``.
+columns of ``docs``: columns other than doc_id, text, lang, source and n_chars pass through unchanged, whatever their names.
+Null and empty texts are rejected by the first stage; null ids are documents of their own; repeated rows and rows of one id
+are one document to near_duplicates, which keeps the first by text and hash of the row; very long texts are read whole; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -10,13 +13,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkite.llm import langid, minhash, mixing, packing, pii
-from panelkite.llm.tables import Scratch
+from panelkite.llm.tables import REST, Scratch, pack, unpack
 
 
-def _recounted(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with another text, and n_chars to match."""
-    out = docs.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+def _with_text(df: DataFrame, docs: DataFrame, needed: tuple[str, ...], text: Column) -> DataFrame:
+    """The columns of ``docs`` with another text, and n_chars to match."""
+    made = {"text": text}
+    if "n_chars" in docs.columns:
+        made["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unpack(df, docs.columns, needed, made)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +36,16 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind; no document goes."""
-    names = docs.columns
-    found = pii.detect(docs, keep=tuple(names), with_redacted=True)
-    return _recounted(found, F.col("redacted")).select(*names)
+    found = pii.detect(pack(docs, "text"), keep=(REST,), with_redacted=True)
+    return _with_text(found, docs, (), F.col("redacted"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources meet their targets: documents repeat, are cut or left out as the mixture takes them."""
-    mixed = mixing.apply_mix(mixing.mix(docs, Scratch(spark)), docs.columns)
-    return _recounted(mixed, F.col("text")).select(*docs.columns)
+    needed = ("doc_id", "text", "source")
+    packed = pack(docs, *needed)
+    mixed = mixing.apply_mix(mixing.mix(packed, Scratch(spark)), packed.columns)
+    return _with_text(mixed, docs, needed, F.col("text"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
