@@ -3,8 +3,8 @@
 Re-aimed: a long autoregression estimates the shocks, then one regression on lagged values and lagged
 shocks gives the coefficients; seasonal terms enter at multiples of seven. Intervals come from the
 psi-weights. Not equal to a maximum-likelihood fit. A series that is too short, or whose fit fails,
-falls back to order (1,1,1) without a season. Where that fails too the series has no state, or with
-``keep_short`` the state of a random walk from its last value.
+falls back to order (1,1,1) without a season. Where that fails too the series has the state of a random walk
+from its last value, so no series is lost.
 """
 
 from __future__ import annotations
@@ -184,12 +184,12 @@ def predict_arrays(s: dict[str, Any], n_days: int) -> tuple[np.ndarray, np.ndarr
 
 def fit(
     df: DataFrame, keys: list[str], params: dict[str, Any] | None = None, cfg: PanelConfig = DEFAULT,
-    per_series: DataFrame | None = None, keep_short: bool = False,
+    per_series: DataFrame | None = None, keep_short: bool = True,
 ) -> Fitted:
     """One state row per series; the series, bounded by the calendar, is one Arrow group.
 
     ``per_series`` (``keys, params`` as JSON) overrides ``params`` for the series it names. A series too short for
-    any order is left out, or with ``keep_short`` continued from its last value.
+    any order is continued from its last value, or left out without ``keep_short``.
     """
     p = DEFAULTS | (params or {})
     schema = T.StructType(key_fields(df, keys) + list(STATE))

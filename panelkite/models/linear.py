@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from panelkite.config import DEFAULT, PanelConfig
-from panelkite.functions.keys import join_series, series_window
+from panelkite.functions.keys import join_series, series_window, whole_series
 from panelkite.models.base import Fitted, check_horizon, finish, points, robust_sigma
 
 NAME = "linear_trend"
@@ -137,12 +137,23 @@ def forecast(
 
 
 def score_candidates(
-    train: DataFrame, valid: DataFrame, keys: list[str], candidates: list[dict[str, Any]], cfg: PanelConfig = DEFAULT
+    df: DataFrame, keys: list[str], candidates: list[dict[str, Any]], n_folds: int, cfg: PanelConfig = DEFAULT
 ) -> DataFrame:
-    """``keys, trial, mape`` of every candidate on the validation rows.
+    """``keys, fold, trial, mape`` of every candidate on the test block of every walk-forward fold.
 
-    The sums are computed once; candidates only multiply the solver's rows and the validation rows.
+    The sums are taken once per block of rows; an expanding training window is the sum of its blocks, so neither folds nor
+    candidates read the rows again.
     """
+    d = cfg.date_col
+    rows = _rows(df, keys, cfg).withColumn("n", F.count(F.lit(1)).over(whole_series(keys, "date")))
+    least = F.floor(F.col("n") / 2)
+    size = F.floor((F.col("n") - least) / n_folds)
+    block = F.when(F.col("t") < least, F.lit(0)).otherwise(F.floor(F.try_divide(F.col("t") - least, size)) + 1).cast("int")
+    rows = rows.withColumn("block", block).filter((size > 0) & (F.col("block") <= n_folds))
+    by_block = moments(rows, [*keys, "block"]).filter(F.col("block") < n_folds)
+    sums = by_block.select("*", F.explode(F.sequence("block", F.lit(n_folds - 1))).alias("fold")).groupBy(*keys, "fold").agg(
+        F.sum("n_train").alias("n_train"), F.max("last_date").alias("last_date"),
+        F.array(*[F.sum(F.col("__m")[i]) for i in range(35)]).alias("__m"))
     trials = F.array(*[
         F.struct(
             F.lit(i).alias("trial"), F.lit(bool(c["include_dow"])).alias("include_dow"),
@@ -150,17 +161,15 @@ def score_candidates(
         )
         for i, c in enumerate(DEFAULTS | c for c in candidates)
     ])
-    summed = moments(_rows(train, keys, cfg), keys).select("*", F.explode(trials).alias("c"))
-    solved = summed.select(
-        *keys, "n_train", "last_date", "c.trial", _solve("__m", F.col("c.include_dow"), F.col("c.alpha")).alias("coef")
-    )
-    packed = solved.groupBy(*keys).agg(
+    solved = sums.select("*", F.explode(trials).alias("c")).select(
+        *keys, "fold", "n_train", "last_date", "c.trial", _solve("__m", F.col("c.include_dow"), F.col("c.alpha")).alias("coef"))
+    packed = solved.groupBy(*keys, "fold").agg(
         F.first("n_train").alias("n_train"), F.first("last_date").alias("last_date"),
-        F.collect_list(F.struct("trial", "coef")).alias("models"),
-    )
-    rows = join_series(valid.select(*keys, cfg.date_col, F.col(cfg.target_col).alias("y")), packed, keys)
-    t = (F.col("n_train") + F.datediff(cfg.date_col, "last_date") - 1).cast("double")
-    scored = rows.select(*keys, "y", t.alias("t"), F.weekday(cfg.date_col).alias("dow"), F.inline("models"))
+        F.collect_list(F.struct("trial", "coef")).alias("models"))
+    tested = rows.filter("block > 0").select(*keys, (F.col("block") - 1).alias("fold"), F.col("date").alias(d), "y")
+    tested = join_series(tested, packed, [*keys, "fold"])
+    t = (F.col("n_train") + F.datediff(d, "last_date") - 1).cast("double")
+    scored = tested.select(*keys, "fold", "y", t.alias("t"), F.weekday(d).alias("dow"), F.inline("models"))
     predicted = F.greatest(line(F.col("coef"), F.col("t"), F.col("dow")), F.lit(0.0))
     error = F.abs(F.try_divide(F.col("y") - predicted, F.col("y")))
-    return scored.groupBy(*keys, "trial").agg((F.avg(error) * 100).alias("mape"))
+    return scored.groupBy(*keys, "fold", "trial").agg((F.avg(error) * 100).alias("mape"))

@@ -42,8 +42,8 @@ MODELS: dict[str, Model] = {
     trees.FOREST: Model(
         trees.FOREST, partial(trees.fit, model=trees.FOREST), trees.forecast, trees.DEFAULTS[trees.FOREST],
         {
-            "n_estimators": ("int", 50, 300), "max_depth": ("int", 5, 20), "min_samples_leaf": ("int", 1, 5),
-            "max_features": ["sqrt", "log2"],
+            "n_estimators": ("int", 50, 300), "max_depth": ("int", 5, 20), "min_samples_split": ("int", 2, 20),
+            "min_samples_leaf": ("int", 1, 5), "max_features": ["sqrt", "log2", "all"],
         },
     ),
     decomposable.NAME: Model(

@@ -31,10 +31,10 @@ BOOSTED, FOREST = "boosted_trees", "random_forest"
 DEFAULTS = {
     BOOSTED: {
         "n_estimators": 100, "max_depth": 5, "learning_rate": 0.1, "min_child_weight": 1,
-        "subsample": 0.8, "colsample_bytree": 0.8, "early_stopping": True, "seed": 42,
+        "subsample": 0.8, "colsample_bytree": 0.8, "early_stopping": True, "patience": 20, "seed": 42,
     },
     FOREST: {
-        "n_estimators": 100, "max_depth": 10, "min_samples_leaf": 2, "max_features": "sqrt",
+        "n_estimators": 100, "max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2, "max_features": "sqrt",
         "subsample": 1.0, "seed": 42,
     },
 }
@@ -95,6 +95,33 @@ def _estimator(model: str, p: dict[str, Any], target: str):
     )
 
 
+def best_round(losses: list[float], patience: int) -> int:
+    """The round of the least loss, counted from 1, when boosting stops ``patience`` rounds without a lesser one."""
+    best, at = float("inf"), 0
+    for i, loss in enumerate(losses, 1):
+        if loss < best:
+            best, at = loss, i
+        elif i - at >= patience:
+            break
+    return at or len(losses)
+
+
+def fit_rows(rows: DataFrame, model: str, p: dict[str, Any], target: str, curve: bool = False):
+    """The model of all assembled rows, the model that never saw the hold-out (None if not needed), and the rounds.
+
+    With early stopping the rounds are those of the least hold-out loss, found with the given patience from the loss of every
+    round; without a hold-out row all rounds are fitted.
+    """
+    stops = model == BOOSTED and p["early_stopping"]
+    honest, rounds = None, int(p["n_estimators"])
+    if curve or stops:
+        honest = _estimator(model, p, target).fit(rows.filter(~F.col("is_holdout")))
+    if stops:
+        losses = [r["sse"] / r["n"] for r in round_losses(honest, rows.filter("is_holdout"), model, target, p).orderBy("iteration").collect()]
+        rounds = best_round(losses, int(p["patience"])) if losses else rounds
+    return _estimator(model, p | {"n_estimators": rounds}, target).fit(rows), honest, rounds
+
+
 def fit(
     df: DataFrame,
     keys: list[str],
@@ -111,20 +138,17 @@ def fit(
     p = DEFAULTS[model] | (params or {})
     target, spark = cfg.target_col, df.sparkSession
     rows = assemble(lag_matrix(df, keys, cfg), target).persist(StorageLevel.MEMORY_AND_DISK)
-    learning, rounds = None, int(p["n_estimators"])
+    learning = None
     try:
-        if curve or (model == BOOSTED and p["early_stopping"]):
-            estimator = _estimator(model, p, target)
-            if model == BOOSTED and p["early_stopping"]:
-                honest = estimator.setValidationIndicatorCol("is_holdout").fit(rows)
-                rounds = honest.getNumTrees
-            else:
-                honest = estimator.fit(rows.filter(~F.col("is_holdout")))
-            if curve:
-                learning = _curve(honest, rows, model, target)
-        trained = _estimator(model, p | {"n_estimators": rounds}, target).fit(rows)
-        residuals = trained.transform(rows).select(*keys, (F.col(target) - F.col("prediction")).alias("residual"))
-        state = join_series(_tails(df, keys, cfg), robust_sigma(residuals, keys), keys)
+        trained, honest, rounds = fit_rows(rows, model, p, target, curve)
+        if curve:
+            learning = _curve(honest, rows, model, target, p)
+        nodes = node_table(trained, model, p)
+        if model == FOREST:  # its nodes may be cut back, so the fitted values come from the node table
+            residuals = _fitted_values(rows, nodes, keys, target).withColumn("residual", F.col("actual") - F.col("predicted"))
+        else:
+            residuals = trained.transform(rows).select(*keys, (F.col(target) - F.col("prediction")).alias("residual"))
+        state = join_series(tails(df, keys, cfg), robust_sigma(residuals, keys), keys)
         path = new_path(spark, f"{model}-state")
         state.write.parquet(path)
     finally:
@@ -134,10 +158,10 @@ def fit(
         [(f, s, i) for i, (f, s) in enumerate(sorted(scores, key=lambda v: (-abs(v[1]), v[0])), 1)],
         "feature_name string, importance_score double, importance_rank int",
     )
-    return Fitted(model, keys, p, spark.read.parquet(path), node_table(trained, model), importances, learning)
+    return Fitted(model, keys, p, spark.read.parquet(path), nodes, importances, learning, {"rounds": rounds})
 
 
-def _tails(df: DataFrame, keys: list[str], cfg: PanelConfig) -> DataFrame:
+def tails(df: DataFrame, keys: list[str], cfg: PanelConfig) -> DataFrame:
     """One row per series: length, last date and its last 28 values, oldest first.
 
     A shorter series is continued backwards with its first value, so every series gets a forecast.
@@ -154,24 +178,29 @@ def _tails(df: DataFrame, keys: list[str], cfg: PanelConfig) -> DataFrame:
     ).withColumn("tail", F.concat(F.array_repeat(F.element_at("tail", 1), F.lit(HISTORY) - F.size("tail")), "tail"))
 
 
-def node_table(trained, model: str) -> DataFrame:
-    """``tree, node, feature, threshold, left, right, value, weight`` from the node rows of the saved model."""
+def node_table(trained, model: str, p: dict[str, Any] | None = None) -> DataFrame:
+    """``tree, node, feature, threshold, left, right, value, weight, n_rows`` from the node rows of the saved model.
+
+    A node of fewer than ``min_samples_split`` training rows is a leaf with its own mean. Counts only fall on the way down,
+    so all below it goes, and what is above it stays.
+    """
     spark = SparkSession.active()
     path = new_path(spark, "trees")
     trained.write().save(path)
     n = F.col("nodeData")
     scale = 1.0 / trained.getNumTrees if model == FOREST else 1.0
     weights = F.array(*[F.lit(float(w) * scale) for w in trained.treeWeights])
-    leaf = n["leftChild"] < 0
+    leaf = (n["leftChild"] < 0) | (n["rawCount"] < int((p or {}).get("min_samples_split", 2)))
     return spark.read.parquet(f"{path}/data").select(
         F.col("treeID").alias("tree"),
         n["id"].alias("node"),
         F.when(leaf, F.lit(-1)).otherwise(n["split"]["featureIndex"]).alias("feature"),
         F.when(leaf, F.lit(0.0)).otherwise(F.get(n["split"]["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
-        n["leftChild"].alias("left"),
-        n["rightChild"].alias("right"),
+        F.when(leaf, F.lit(-1)).otherwise(n["leftChild"]).alias("left"),
+        F.when(leaf, F.lit(-1)).otherwise(n["rightChild"]).alias("right"),
         n["prediction"].alias("value"),
         F.get(weights, F.col("treeID")).alias("weight"),
+        n["rawCount"].cast("long").alias("n_rows"),
     )
 
 
@@ -180,7 +209,7 @@ def pack_nodes(nodes: DataFrame) -> dict[str, np.ndarray]:
 
     Their size follows the number and depth of the trees, which are parameters of the model.
     """
-    table = nodes.toArrow()
+    table = nodes.drop("n_rows").toArrow()
     raw = {name: table.column(name).to_numpy() for name in table.column_names}
     order = np.lexsort((raw["node"], raw["tree"]))
     node = {name: values[order] for name, values in raw.items()}
@@ -234,7 +263,8 @@ def forecast(
 ) -> DataFrame:
     check_horizon(n_days, limit)
     keys = fitted.keys
-    forest = pack_nodes(fitted.nodes)
+    # One copy an executor, whatever the number of tasks.
+    shared = fitted.series.sparkSession.sparkContext.broadcast(pack_nodes(fitted.nodes))
     extra = [T.StructField("last_date", T.DateType()), T.StructField("residual_std", T.DoubleType()),
              T.StructField("v", T.ArrayType(T.DoubleType()))]
     schema = T.StructType(key_fields(fitted.series, keys) + extra)
@@ -244,7 +274,7 @@ def forecast(
             if not len(pdf):
                 continue
             last = pd.to_datetime(pdf["last_date"]).to_numpy().astype("datetime64[D]").astype("int64")
-            out = roll_forward(forest, np.stack(pdf["tail"].to_list()), pdf["n_train"].to_numpy(float), last, n_days)
+            out = roll_forward(shared.value, np.stack(pdf["tail"].to_list()), pdf["n_train"].to_numpy(float), last, n_days)
             yield pdf[[*keys, "last_date", "residual_std"]].assign(v=list(out))
 
     path = points(n_days, lambda i, _: {"predicted": F.element_at("v", i)})
@@ -253,41 +283,45 @@ def forecast(
 
 def in_sample(df: DataFrame, fitted: Fitted, cfg: PanelConfig = DEFAULT) -> DataFrame:
     """``keys, date, actual, predicted``: one-step predictions on rows with complete features."""
-    forest, keys, target = pack_nodes(fitted.nodes), fitted.keys, cfg.target_col
-    rows = lag_matrix(df, keys, cfg).dropna(subset=[*FEATURES, target])
+    rows = lag_matrix(df, fitted.keys, cfg).dropna(subset=[*FEATURES, cfg.target_col])
+    return _fitted_values(rows, fitted.nodes, fitted.keys, cfg.target_col)
+
+
+def _fitted_values(rows: DataFrame, nodes: DataFrame, keys: list[str], target: str) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(pack_nodes(nodes))
     schema = T.StructType(
-        key_fields(df, keys) + [T.StructField("date", T.DateType()), T.StructField("actual", T.DoubleType()),
-                                T.StructField("predicted", T.DoubleType())])
+        key_fields(rows, keys) + [T.StructField("date", T.DateType()), T.StructField("actual", T.DoubleType()),
+                                  T.StructField("predicted", T.DoubleType())])
 
     def kernel(batches):
+        forest = shared.value
         for pdf in batches:
             p = tree_values(forest, pdf[FEATURES].to_numpy(float)) @ forest["weight"]
             yield pdf[[*keys, "date"]].assign(actual=pdf[target], predicted=p)
 
-    return rows.mapInPandas(kernel, schema)
+    return rows.select(*keys, "date", target, *FEATURES).mapInPandas(kernel, schema)
 
 
-def _curve(trained, rows: DataFrame, model: str, target: str) -> DataFrame:
-    """``iteration, train_loss, val_loss`` as RMSE: per boosting round, or per forest size from one fit."""
-    spark = rows.sparkSession
-    schema = "iteration int, train_loss double, val_loss double"
-    if model == BOOSTED:
-        losses = [
-            trained.evaluateEachIteration(rows.filter(c), "squared")
-            for c in (~F.col("is_holdout"), F.col("is_holdout"))
-        ]
-        made = [(i, float(a) ** 0.5, float(b) ** 0.5) for i, (a, b) in enumerate(zip(*losses), 1)]
-        return spark.createDataFrame(made, schema)
-    forest = pack_nodes(node_table(trained, model))
+def round_losses(trained, rows: DataFrame, model: str, target: str, p: dict[str, Any]) -> DataFrame:
+    """``iteration, held, sse, n``: squared errors after each boosting round, or at each forest size, in one pass.
+
+    At most one row per round and side; a side without rows has none.
+    """
+    nodes = node_table(trained, model, p)
+    forest = pack_nodes(nodes)
     total = len(forest["root"])
-    sizes = sorted({s for s in CURVE_SIZES if s <= total} | {total})
-    picks = np.array(sizes) - 1
+    sizes = list(range(1, total + 1)) if model == BOOSTED else sorted({s for s in CURVE_SIZES if s <= total} | {total})
+    shared = rows.sparkSession.sparkContext.broadcast(forest)
 
     def kernel(batches):
+        trees, at = shared.value, np.array(sizes)
         for pdf in batches:
+            if not len(pdf):
+                continue
             x, y = np.stack(pdf["x"].to_list()), pdf["y"].to_numpy(float)
-            means = np.cumsum(tree_values(forest, x), axis=1)[:, picks] / np.array(sizes)
-            sq = (means - y[:, None]) ** 2
+            weights = trees["weight"] if model == BOOSTED else np.ones(total)
+            sums = np.cumsum(tree_values(trees, x) * weights, axis=1)[:, at - 1]
+            sq = ((sums if model == BOOSTED else sums / at) - y[:, None]) ** 2
             for held in (False, True):
                 mask = pdf["held"].to_numpy(bool) == held
                 if mask.any():
@@ -295,10 +329,15 @@ def _curve(trained, rows: DataFrame, model: str, target: str) -> DataFrame:
 
     flat = rows.select(vector_to_array("features").alias("x"), F.col(target).alias("y"), F.col("is_holdout").alias("held"))
     sums = flat.mapInPandas(kernel, "iteration int, held boolean, sse double, n long")
+    return sums.groupBy("iteration", "held").agg(F.sum("sse").alias("sse"), F.sum("n").alias("n"))
+
+
+def _curve(trained, rows: DataFrame, model: str, target: str, p: dict[str, Any]) -> DataFrame:
+    """``iteration, train_loss, val_loss`` as RMSE: per boosting round, or per forest size from one fit."""
     held = F.col("held")
     rmse = lambda c: F.sqrt(F.try_divide(F.sum(F.when(c, F.col("sse"))), F.sum(F.when(c, F.col("n")))))
-    out = sums.groupBy("iteration").agg(rmse(~held).alias("train_loss"), rmse(held).alias("val_loss"))
-    return spark.createDataFrame(out.orderBy("iteration").collect(), schema)
+    out = round_losses(trained, rows, model, target, p).groupBy("iteration").agg(rmse(~held).alias("train_loss"), rmse(held).alias("val_loss"))
+    return rows.sparkSession.createDataFrame(out.orderBy("iteration").collect(), "iteration int, train_loss double, val_loss double")
 
 
 def curve_verdict(curve: DataFrame, by: list[str] | None = None) -> DataFrame:

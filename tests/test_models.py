@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from panelkite.models import arima, decomposable, linear, search, trees
 from panelkite.models.base import Fitted, robust_sigma
 from panelkite.models.ensemble import ensemble
+from panelkite.operators.splits import walk_forward_split
 from panelkite.models.registry import MODELS, fit_models, forecast_all, resolve, sample_params
 from panelkite.plans.forecasting import request_forecast, response
 from panelkite.plans.training import train_all
@@ -95,7 +96,8 @@ def test_predictions_never_negative(spark):
     df, _ = trend_panel(spark, 100)
     down = df.withColumn("daily_sales", F.lit(1000.0) - 10 * F.datediff("date", F.lit("2023-01-01").cast("date")))
     got = rows_of(linear.forecast(linear.fit(down, K), 10))
-    assert (got["predicted"] == 0).all() and (got["lower_bound"] == 0).all()
+    # The first day's line is 0 itself, so its clamped value may be a rounding error above 0.
+    assert (got["predicted"] >= 0).all() and (got["predicted"] < 1e-9).all() and (got["lower_bound"] == 0).all()
 
 
 def test_robust_sigma(spark):
@@ -154,7 +156,9 @@ def test_arima_panel_and_short_series(spark):
     df, _ = trend_panel(spark, 200, noise=2.0)
     short = df.filter("series_id = 'a' OR date <= '2023-01-02'")
     got = rows_of(arima.forecast(arima.fit(short, K), 7), "series_id", "date")
-    assert set(got["series_id"]) == {"a"} and got["upper_bound"].gt(got["lower_bound"]).all()
+    assert set(got["series_id"]) == {"a", "b"} and got["upper_bound"].gt(got["lower_bound"]).all()
+    left = rows_of(arima.forecast(arima.fit(short, K, keep_short=False), 7), "series_id", "date")
+    assert set(left["series_id"]) == {"a"}
 
 
 @pytest.fixture(scope="module")
@@ -228,20 +232,82 @@ def test_ensemble_lies_between_members(spark):
         ensemble(every, K, {"linear_trend": 0.0})
 
 
+def fold_rows(spark, df, n_folds):
+    """The folds of the split operator: per series and fold the training and test rows in order of date."""
+    out = {}
+    pdf = walk_forward_split(df, K, n_folds).toPandas().sort_values("date")
+    for (k, f), g in pdf.groupby(["series_id", "fold"]):
+        out[k, f] = (g[g["role"] == "train"], g[g["role"] == "test"])
+    return out
+
+
+def mape(y, p):
+    return np.abs((y - p) / y).mean() * 100
+
+
 def test_linear_search_equals_fitting_each_candidate(spark):
-    df, pdf = trend_panel(spark, 150, noise=30.0)
+    df, _ = trend_panel(spark, 151, noise=30.0)
     scores, candidates = search.score(df, K, "linear_trend", 6)
     got = {(r["series_id"], r["trial"]): r["mape"] for r in scores.collect()}
-    for k, g in pdf.groupby("series_id"):
-        cut = int(len(g) * 0.8)
+    folds = fold_rows(spark, df, search.N_FOLDS)
+    for k in "ab":
         for i, c in enumerate(candidates):
-            p = design_forecast(g.iloc[:cut], c["include_dow"], c["regularization"], len(g) - cut)
-            y = g["daily_sales"].to_numpy()[cut:]
-            assert got[(k, i)] == pytest.approx(np.abs((y - p) / y).mean() * 100, rel=1e-6)
+            errors = []
+            for f in range(search.N_FOLDS):
+                train, test = folds[k, f]
+                p = design_forecast(train, c["include_dow"], c["regularization"], len(test))
+                errors.append(mape(test["daily_sales"].to_numpy(), np.maximum(p, 0)))
+            assert got[(k, i)] == pytest.approx(np.mean(errors), rel=1e-6)
     best = {r["series_id"]: r["mape"] for r in search.best_params(scores, K, candidates).collect()}
     assert best == {k: min(v for (s, _), v in got.items() if s == k) for k in "ab"}
 
 
+@pytest.mark.parametrize("name", ["decomposable", "seasonal_arima"])
+def test_kernel_search_equals_a_loop_over_the_folds(spark, name):
+    df, _ = trend_panel(spark, 163, noise=30.0)
+    scores, candidates = search.score(df, K, name, 4)
+    got = {(r["series_id"], r["trial"]): r["mape"] for r in scores.collect()}
+    model = resolve(name)
+    folds = fold_rows(spark, df, search.N_FOLDS)
+    for i, c in enumerate(candidates):
+        errors = {k: [] for k in "ab"}
+        for f in range(search.N_FOLDS):
+            train = pd.concat([folds[k, f][0] for k in "ab"])
+            fitted = model.fit(spark.createDataFrame(train.drop(columns=["fold", "role"])), K, params=c)
+            known = {"holidays": df.filter("is_holiday = 1").select("series_id", "date")} if name == "decomposable" else {}
+            ahead = model.forecast(fitted, 60, include_ci=False, **known).toPandas()
+            for k in "ab":
+                test = folds[k, f][1]
+                p = ahead[(ahead["series_id"] == k) & ahead["date"].isin(test["date"])].sort_values("date")["predicted"].to_numpy()
+                errors[k].append(mape(test["daily_sales"].to_numpy(), p))
+        for k in "ab":
+            assert got[(k, i)] == pytest.approx(np.mean(errors[k]), rel=1e-6)
+
+
+@pytest.mark.parametrize("name", ["linear_trend", "decomposable", "seasonal_arima", "boosted_trees"])
+def test_search_does_not_look_ahead(spark, name, monkeypatch):
+    """Rows after the last fold's test block, and the size of the series beyond it, change nothing: nor do other series."""
+    monkeypatch.setattr(search, "sample_params", lambda spec, n, seed: [spec.defaults | {"n_estimators": 3, "max_depth": 3}][:n])
+    df, _ = trend_panel(spark, 160, noise=30.0)
+    assert search.folds_of(160, 3) == [(80, 106), (106, 132), (132, 158)]
+    plain = {r["series_id"]: r["mape"] for r in search.score(df, K, name, 1)[0].collect()}
+    last = df.agg(F.max("date")).first()[0]
+    odd = df.withColumn("daily_sales", F.when(F.datediff(F.lit(last), "date") < 2, 1e9).otherwise(F.col("daily_sales")))
+    assert {r["series_id"]: r["mape"] for r in search.score(odd, K, name, 1)[0].collect()} == pytest.approx(plain)
+
+
+def test_a_search_of_one_series_is_spread(spark):
+    df, _ = trend_panel(spark, 90, keys=("a",))
+    one = df.drop("series_id")
+    for name in ("decomposable", "seasonal_arima", "linear_trend"):
+        scores, _ = search.score(one, [], name, 10)
+        assert scores.count() == 10 and scores.filter("mape IS NOT NULL").count() == 10
+        if name != "linear_trend":
+            assert scores.rdd.getNumPartitions() >= 8
+    short, _ = search.score(one.limit(1), [], "decomposable", 3)
+    assert [r["mape"] for r in short.collect()] == [None] * 3
+
+
 @pytest.mark.parametrize("name", ["decomposable", "seasonal_arima"])
 def test_kernel_search(spark, name):
     df, _ = trend_panel(spark, 200, noise=5.0)
@@ -263,6 +329,116 @@ def test_global_search_ranks_failures_last(spark, monkeypatch):
     assert {r["trial"] for r in search.best_params(scores, K, candidates).collect()} == {0}
 
 
+def test_best_round_waits_for_patience():
+    losses = [9, 5, 4, 4.5, 4.2, 4.1, 3.9, 4, 4, 4]
+    assert [trees.best_round(losses, n) for n in (1, 3, 4, 20)] == [3, 3, 7, 7]
+    assert trees.best_round([5.0, 4.0, 3.0], 20) == 3 and trees.best_round([float("nan")] * 4, 2) == 4
+
+
+def test_boosting_rounds_follow_the_hold_out_loss(spark):
+    df, _ = trend_panel(spark, 200, noise=80.0)
+    params = {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.5, "patience": 4}
+    fitted = trees.fit(df, K, trees.BOOSTED, params, curve=True)
+    losses = [r["val_loss"] ** 2 for r in fitted.curve.orderBy("iteration").collect()]
+    rows = trees.assemble(trees.lag_matrix(df, K), "daily_sales")
+    _, honest, _ = trees.fit_rows(rows, trees.BOOSTED, trees.DEFAULTS[trees.BOOSTED] | params, "daily_sales")
+    held = rows.filter("is_holdout")
+    own = trees.round_losses(honest, held, trees.BOOSTED, "daily_sales", {}).orderBy("iteration").collect()
+    assert np.allclose([r["sse"] / r["n"] for r in own], honest.evaluateEachIteration(held, "squared"), rtol=1e-9)
+    assert len(losses) == 30 and fitted.info["rounds"] == trees.best_round(losses, 4) < 30
+    assert fitted.nodes.select("tree").distinct().count() == fitted.info["rounds"]
+
+
+def test_small_nodes_are_not_split(spark):
+    df, _ = trend_panel(spark, 200, noise=80.0)
+    params = {"n_estimators": 6, "max_depth": 8, "min_samples_leaf": 1}
+    loose, strict = (trees.fit(df, K, trees.FOREST, params | {"min_samples_split": n}) for n in (2, 40))
+    inner = strict.nodes.filter("feature >= 0")
+    assert inner.count() > 6 and inner.agg(F.min("n_rows")).first()[0] >= 40 > loose.nodes.filter("feature >= 0").agg(F.min("n_rows")).first()[0]
+    # The nodes of the first forest, walked with the rule applied on the way, give the second one's predictions.
+    nodes = {(r["tree"], r["node"]): r for r in loose.nodes.collect()}
+    x = rows_of(trees.lag_matrix(df, K).dropna(), "series_id", "date")
+    want = []
+    for row in x[list(trees.FEATURES)].to_numpy():
+        total = 0.0
+        for tree in range(6):
+            at = nodes[tree, 0]
+            while at["feature"] >= 0 and at["n_rows"] >= 40:
+                at = nodes[tree, at["left"] if row[at["feature"]] <= at["threshold"] else at["right"]]
+            total += at["value"] * at["weight"]
+        want.append(total)
+    got = rows_of(trees.in_sample(df, strict), "series_id", "date")["predicted"]
+    assert np.allclose(got, want)
+
+
+def test_sparse_changepoints_meet_the_optimality_conditions():
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        x = rng.normal(size=(60, 12)).cumsum(axis=0)
+        y = x @ np.where(rng.random(12) < 0.3, rng.normal(size=12), 0) + rng.normal(size=60)
+        gram, rhs, ridge, weight = x.T @ x, x.T @ y, np.full(12, 0.5), float(rng.choice([0.1, 10.0, 500.0]))
+        beta = decomposable.penalised(gram, rhs, ridge, slice(2, 9), weight)
+        slope = rhs - gram @ beta
+        smooth = [0, 1, 9, 10, 11]
+        assert np.allclose(slope[smooth], (ridge * beta)[smooth], atol=1e-5 * np.abs(rhs).max())
+        for k in range(2, 9):
+            if beta[k]:
+                assert slope[k] == pytest.approx(weight * np.sign(beta[k]), rel=1e-4, abs=1e-4)
+            else:
+                assert abs(slope[k]) <= weight * (1 + 1e-5)
+
+
+def test_unused_changepoints_are_exactly_zero(spark):
+    days = np.arange(19_000.0, 19_400.0)
+    bend = 100 + 0.5 * (days - days[0]) + 3.0 * np.maximum(days - 19_200, 0)
+    p = decomposable.DEFAULTS | {"mode": "additive", "yearly": False}
+    s = decomposable.fit_arrays(days, bend + np.random.default_rng(1).normal(0, 2, 400), np.zeros(400), p)
+    steps = s["coef"][2:27]
+    assert 0 < np.count_nonzero(steps) < 15
+    near = np.abs(np.asarray(s["changepoints"]) - 200 / 399) < 0.1
+    assert np.abs(steps[near]).sum() > 0.7 * np.abs(steps).sum()
+    flat = decomposable.fit_arrays(days, 10 + np.random.default_rng(2).normal(0, 1, 400), np.zeros(400), p)
+    assert np.count_nonzero(flat["coef"][2:27]) <= 3
+
+
+def test_intervals_widen_and_cover(spark):
+    """Random-walk slopes: the interval must grow with the horizon and hold about its share of the later values."""
+    hits, widths = [], []
+    for k in range(40):
+        rng = np.random.default_rng(k)
+        turns = np.where(rng.random(460) < 0.06, rng.laplace(0, 0.3, 460), 0)
+        turns[320:400] = 0  # the model looks for changes in the first 80 % of the history
+        y = 1000 + np.cumsum(np.cumsum(turns) + 1.0) + rng.normal(0, 3, 460)
+        days = np.arange(19_000.0, 19_460.0)
+        s = decomposable.fit_arrays(days[:400], y[:400], np.zeros(400), decomposable.DEFAULTS | {"mode": "additive", "yearly": False, "changepoint": 0.5})
+        base = decomposable.predict_arrays(s, days[400:])
+        low, high = decomposable.simulated_bounds(s, base, 0.9, [1, k], 400)
+        hits.append((decomposable.to_natural(s, low) <= y[400:]) & (y[400:] <= decomposable.to_natural(s, high)))
+        widths.append(high - low)
+    assert 0.75 <= np.mean(hits) <= 0.97
+    assert np.mean([w[-1] for w in widths]) > 1.5 * np.mean([w[0] for w in widths])
+
+
+def test_intervals_do_not_depend_on_partitions(spark):
+    df, _ = trend_panel(spark, 150, noise=20.0)
+    fitted = decomposable.fit(df, K)
+    one = rows_of(decomposable.forecast(fitted, 20), "series_id", "date")
+    fitted.series = fitted.series.repartition(7)
+    pd.testing.assert_frame_equal(one, rows_of(decomposable.forecast(fitted, 20), "series_id", "date"))
+    mixed = df.withColumn("daily_sales", F.when((F.col("series_id") == "a") & (F.dayofmonth("date") == 3), 0.0).otherwise(F.col("daily_sales")))
+    modes = {r["series_id"]: r["mode"] for r in decomposable.fit(mixed, K).series.collect()}
+    assert modes == {"a": "additive, as a value is not positive", "b": "multiplicative"}
+
+
+def test_no_model_loses_a_series(spark):
+    rows = [(k, d, 100.0 + (i % 7)) for k, n in (("one", 1), ("five", 5), ("twenty", 20), ("long", 400))
+            for i, d in enumerate(pd.date_range("2022-01-01", periods=n).date)]
+    df = spark.createDataFrame(rows, "series_id string, date date, daily_sales double")
+    small = {"boosted_trees": {"n_estimators": 3, "max_depth": 2}, "random_forest": {"n_estimators": 3, "max_depth": 3}}
+    ahead = forecast_all(fit_models(df, K, params=small), 6).groupBy("series_id", "model").count().collect()
+    assert len(ahead) == 20 and {r["count"] for r in ahead} == {6}
+
+
 def test_candidates_are_seeded_and_in_range():
     for m in MODELS.values():
         a, b = sample_params(m, 8), sample_params(m, 8)
