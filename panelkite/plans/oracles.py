@@ -836,4 +836,10 @@ WHERE d + INTERVAL 1 DAY <= date_trunc('millisecond', (SELECT max(ts) FROM event
 ORACLES["streamed_last_events"] = """
 SELECT event_id, ts, user_id FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10"""
+ORACLES["streamed_silences"] = """
+WITH g AS (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS following FROM events)
+SELECT user_id, status, ts AS last_seen, ts + span AS at
+FROM g CROSS JOIN (VALUES ('stale', INTERVAL 5 MINUTE), ('expired', INTERVAL 1 HOUR)) s(status, span)
+WHERE (following IS NULL OR following > ts + span)
+  AND ts + span <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 DAY"""
 ORACLES["csv_intake"] = ORACLES["daily_panel_by_segment"]

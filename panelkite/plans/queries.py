@@ -26,7 +26,7 @@ from panelkite.sources import sinks
 from panelkite.sources.panel import daily_panel, event_panel, table
 from panelkite.sources.readers import date_range, load_sales, read_csv
 from panelkite.sources.store import ResultsStore
-from panelkite.streaming import intake
+from panelkite.streaming import intake, state
 from panelkite.streaming import sessions as stream
 
 SEG = ["c_mktsegment"]
@@ -986,7 +986,15 @@ def streamed_severity(spark, base):
 def streamed_last_events(spark, base):
     out, mark = new_path(spark, "last"), new_path(spark, "mark")
     stream.keep_last_items(_event_stream(spark, base).select("event_id", "ts", "user_id"), ["user_id"], out, mark)
-    return show(stream.read_last_items(spark, out))
+    return show(stream.read_last_items(spark, out, ["user_id"]))
+
+
+@query
+def streamed_silences(spark, base):
+    """Users that fall silent for five minutes, and for an hour, each silence once, as the watermark passes."""
+    out, mark = new_path(spark, "silent"), new_path(spark, "mark")
+    stream.run_available(state.silent_entities(_event_stream(spark, base), ["user_id"]), out, mark)
+    return show(spark.read.parquet(out))
 
 
 @query

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from panelkite.operators.sessions import HISTORY_LENGTH, SESSION_GAP_SECONDS, last_items, severity
+from panelkite.functions.keys import join_series
+from panelkite.operators.sessions import HISTORY_LENGTH, SESSION_GAP_SECONDS, severity
+from panelkite.streaming.state import newest_items
 
 LATE = "1 day"
 
@@ -53,31 +55,33 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
 
 
 def keep_last_items(
-    stream: DataFrame, by: list[str], out: str, checkpoint: str, n: int = HISTORY_LENGTH, ts: str = "ts", tie: str = "event_id"
-) -> None:
-    """Maintain the newest ``n`` rows per entity; read them with :func:`read_last_items`.
+    stream: DataFrame, by: list[str], out: str, checkpoint: str, n: int = HISTORY_LENGTH, ts: str = "ts", tie: str = "event_id",
+    ttl_ms: int | None = None,
+) -> StreamingQuery:
+    """Maintain the newest ``n`` rows per entity in keyed state; read them with :func:`read_last_items`.
 
-    Each micro-batch merges with the version before it and writes its own, in turn into one of two
-    slots: a repeated batch overwrites only itself, readers always find the version before it, and
-    old versions do not pile up. The limit is applied before the shuffle, so no entity is collected whole.
+    A batch touches the state of its own entities only, and writes those whose rows changed into a folder of its number, so a
+    repeated batch overwrites itself. :func:`compact_last_items` folds old folders together.
     """
-    spark, schema = stream.sparkSession, stream.schema
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            batch = batch.unionByName(spark.read.schema(schema).parquet(f"{out}/slot={(batch_id - 1) % 2}"))
-        kept = last_items(batch, by, n, ts, tie).withColumn("version", F.lit(batch_id).cast("long"))
-        kept.write.mode("overwrite").parquet(f"{out}/slot={batch_id % 2}")
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
-        stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        newest_items(stream, by, n, ts, tie, ttl_ms).writeStream.outputMode("update").foreachBatch(write)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
 
 
-def read_last_items(spark: SparkSession, out: str) -> DataFrame:
-    """The newest complete version."""
+def read_last_items(spark: SparkSession, out: str, by: list[str]) -> DataFrame:
+    """The rows of the newest batch that changed each entity."""
     rows = spark.read.parquet(out)
-    newest = rows.agg(F.max("version").alias("v")).scalar()
-    return rows.filter(F.col("version") == newest).drop("version", "slot")
+    newest = rows.groupBy(*by).agg(F.max("batch").alias("__newest"))
+    return join_series(rows, newest, by).filter(F.col("batch") == F.col("__newest")).drop("batch", "__newest")
+
+
+def compact_last_items(spark: SparkSession, out: str, into: str, by: list[str]) -> None:
+    """Write the current rows as the first batch of a new folder, to go on from there with the same checkpoint."""
+    read_last_items(spark, out, by).write.mode("overwrite").parquet(f"{into}/batch=-1")

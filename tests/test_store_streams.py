@@ -15,7 +15,7 @@ from panelkite.operators import quality, reshape
 from panelkite.plans.pipeline import run_from_source, run_pipeline
 from panelkite.sources import readers, sinks
 from panelkite.sources.store import ResultsStore
-from panelkite.streaming import intake
+from panelkite.streaming import intake, state
 from panelkite.streaming import sessions as stream
 
 from conftest import rows_of, sales_frame
@@ -162,12 +162,64 @@ def test_last_items_across_batches(spark, folder):
     batches = [[(i, i, i % 2, 0.0) for i in range(20)], [(100 + i, 1000 + i, 0, 0.0) for i in range(3)]]
     raw = event_files(spark, folder, batches)
     stream.keep_last_items(raw, ["user_id"], f"{folder}/out", f"{folder}/mark", n=4)
-    got = stream.read_last_items(spark, f"{folder}/out")
+    got = stream.read_last_items(spark, f"{folder}/out", ["user_id"])
     assert got.filter("user_id = 1").count() == 4
     ids = {r["event_id"] for r in got.filter("user_id = 0").collect()}
     assert ids == {100, 101, 102, 18}
 
 
+def test_a_batch_touches_only_its_own_entities(spark, folder):
+    batches = [[(i, i, i % 50, 0.0) for i in range(500)], [(1000 + i, 1000 + i, 7, 0.0) for i in range(3)], [(2000, 1, 9, 0.0)]]
+    raw = event_files(spark, folder, batches)
+    query = stream.keep_last_items(raw, ["user_id"], f"{folder}/out", f"{folder}/mark", n=4)
+    reached = [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+    wrote = [spark.read.parquet(f"{folder}/out/batch={i}").select("user_id").distinct().count() for i in range(3)]
+    assert reached == [500, 3, 1] and wrote == [50, 1, 0]  # the last row is older than the four kept
+    updated = [p["stateOperators"][0]["customMetrics"].get("rocksdbPutCount", 0) for p in query.recentProgress if p["numInputRows"]]
+    assert updated[0] > 10 * max(updated[1:])
+    stream.compact_last_items(spark, f"{folder}/out", f"{folder}/small", ["user_id"])
+    assert sorted(map(tuple, stream.read_last_items(spark, f"{folder}/small", ["user_id"]).collect())) == sorted(
+        map(tuple, stream.read_last_items(spark, f"{folder}/out", ["user_id"]).collect()))
+
+
+def silences(rows, watermark, stale, expired):
+    """``user, status, last, at`` in seconds, by plain Python."""
+    out = set()
+    for user in {r[2] for r in rows}:
+        times = sorted({r[1] for r in rows if r[2] == user})
+        for t, following in zip(times, [*times[1:], float("inf")]):
+            for status, limit in (("stale", stale), ("expired", expired)):
+                if following > t + limit and t + limit <= watermark:
+                    out.add((user, status, t, t + limit))
+    return out
+
+
+def test_silences_are_emitted_once_and_survive_a_restart(spark, folder):
+    import random
+    rng = random.Random(3)
+    day = 86_400
+    first = [(i, rng.randrange(2 * day), rng.randrange(6), 0.0) for i in range(600)]
+    # The second file fills gaps within the lateness, and one row comes too late.
+    second = [(1000 + i, rng.randrange(day + 1, 4 * day), rng.randrange(6), 0.0) for i in range(200)] + [(2000, 4 * day, 5, 0.0)]
+    late = max(r[1] for r in first) - day
+    second = [r for r in second if r[1] > late]
+    dropped = (3000, 10, 0, 0.0)
+    out, mark = f"{folder}/out", f"{folder}/mark"
+    seconds = lambda t: int(t.timestamp())
+    for n, files in ((1, [first]), (2, None)):
+        if n == 1:
+            raw = event_files(spark, folder, files)
+        else:
+            rows = spark.createDataFrame([*second, dropped], "event_id long, t long, user_id long, value double")
+            rows.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "value").coalesce(1).write.parquet(f"{folder}/in/b1")
+            raw = spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+        stream.run_available(state.silent_entities(raw, ["user_id"], stale_seconds=600, timeout_seconds=3600), out, mark)
+        known = first if n == 1 else first + second
+        want = silences(known, max(r[1] for r in known) - day, 600, 3600)
+        got = [(r["user_id"], r["status"], seconds(r["last_seen"]), seconds(r["at"])) for r in spark.read.parquet(out).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
 def test_csv_intake_rejects_and_resumes(spark, folder):
     import os
     os.makedirs(f"{folder}/in")
