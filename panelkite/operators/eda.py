@@ -18,8 +18,10 @@ from panelkite.functions import calendar as cal
 from panelkite.functions import windows as win
 from panelkite.functions.keys import series_window, whole_series
 from panelkite.functions.scalars import inverse_normal, t_two_sided_p
+from panelkite.operators.gram import wide_correlations
 
 AUTOCORR_LAGS = (1, 7, 14, 30)
+WIDE_COLUMNS = 20
 
 
 def bias_corrected_skew(g1: Column, n: Column) -> Column:
@@ -267,8 +269,13 @@ def target_correlations(
 def correlation_matrix(
     df: DataFrame, keys: list[str], columns: list[str] | None = None, cfg: PanelConfig = DEFAULT
 ) -> DataFrame:
-    """``keys, column_a, column_b, correlation`` for the lower triangle, pairwise complete, one pass."""
+    """``keys, column_a, column_b, correlation`` for the lower triangle, pairwise complete, one pass.
+
+    One aggregate per pair for a few columns; from ``WIDE_COLUMNS`` on blocked products, whose plan does not grow with the pairs.
+    """
     columns = columns or numeric_columns(df, exclude=keys)
+    if len(columns) >= WIDE_COLUMNS:
+        return wide_correlations(df, keys, columns)
     pairs = list(combinations(columns, 2))
     cells = [
         F.struct(F.lit(b).alias("column_a"), F.lit(a).alias("column_b"), _corr(F.col(a), F.col(b)).alias("correlation"))

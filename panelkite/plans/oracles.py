@@ -488,6 +488,10 @@ _CM = ("daily_sales", "marketing_spend", "daily_sales_lag_1", "day_of_week_num")
 ORACLES["correlation_matrix"] = f"WITH {_FEAT} " + _cast_union([
     f"SELECT c_mktsegment, '{b}' AS column_a, '{a}' AS column_b, round(corr({a}, {b}), 7) AS correlation FROM ft GROUP BY 1"
     for i, a in enumerate(_CM) for b in _CM[i + 1:]])
+_LAGS = ", ".join(f"lag(daily_sales, {k}) OVER {_W} AS lag_{k}" for k in range(30))
+ORACLES["wide_correlation_matrix"] = f"WITH {_PANEL}, x AS MATERIALIZED (SELECT c_mktsegment, {_LAGS} FROM p) " + _cast_union([
+    f"SELECT c_mktsegment, 'lag_{b}' AS column_a, 'lag_{a}' AS column_b, round(corr(lag_{a}, lag_{b}), 7) AS correlation FROM x GROUP BY 1"
+    for a in range(30) for b in range(a + 1, 30)])
 ORACLES["top_correlations"] = f"SELECT * FROM ({ORACLES['target_correlations']}) WHERE rank <= 3"
 _GLOBAL_CORR = _cast_union([
     f"SELECT '{c}' AS feature_name, corr(daily_sales, {c}) AS r FROM ft"

@@ -503,6 +503,14 @@ def correlation_matrix(spark, base):
     return show(eda.correlation_matrix(made, SEG, ["daily_sales", "marketing_spend", "daily_sales_lag_1", "day_of_week_num"]), 7)
 
 
+@query
+def wide_correlation_matrix(spark, base):
+    """Thirty lags of each series, unknown at its start: 435 pairs, each over the days on which both are known."""
+    p, w = sales(spark, base), series_window(SEG)
+    lagged = p.select(*SEG, *[F.lag("daily_sales", k).over(w).alias(f"lag_{k}") for k in range(30)])
+    return show(eda.correlation_matrix(lagged, SEG, [f"lag_{k}" for k in range(30)]), 7)
+
+
 @query
 def outlier_counts(spark, base):
     return show(eda.outliers(sales(spark, base), SEG), 6)

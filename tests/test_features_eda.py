@@ -202,3 +202,34 @@ def test_insights_and_report(spark):
     lines = {(r["section"], r["label"]): r["value"] for r in report.section_report(profile, []).collect()}
     assert lines[("5. DATA QUALITY", "Date Gaps")] == "1"
     assert lines[("4. TOP CORRELATIONS", "marketing_spend")] == "1.0000"
+
+
+def test_wide_correlations_equal_pairwise_ones(spark):
+    """300 columns with gaps, constants, NaN and large offsets; the plan does not know the pairs."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(240, 12))
+    x = base @ rng.normal(size=(12, 300)) + rng.normal(size=(240, 300)) + rng.choice([0, 1e6], 300)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[:, 7], x[:, 8], x[1:, 9] = 5.1, np.nan, np.nan
+    names = [f"v.{i}" if i == 3 else f"v{i}" for i in range(300)]
+    frame = pd.DataFrame(x, columns=names).assign(k=[["a", "b", None][i % 3] for i in range(240)])
+    df = spark.createDataFrame(frame.astype(object).where(frame.notna(), None), "`" + "` double, `".join(names) + "` double, k string")
+    df = df.withColumnRenamed("v.3", "v3").repartition(5)
+    names[3] = "v3"
+    frame.columns = [*names, "k"]
+    for keys in ([], ["k"]):
+        made = eda.correlation_matrix(df, keys, names)
+        assert len(made._jdf.queryExecution().toString()) < 2_000_000
+        got = made.toPandas()
+        assert len(got) == (300 * 299 // 2) * (3 if keys else 1)
+        for key, part in got.groupby(keys, dropna=False) if keys else [(None, got)]:
+            rows = frame if not keys else frame[frame["k"].isna()] if key[0] is None or key[0] != key[0] else frame[frame["k"] == key[0]]
+            want = rows[names].corr(min_periods=2).to_numpy()
+            at = {c: i for i, c in enumerate(names)}
+            w = want[[at[c] for c in part["column_a"]], [at[c] for c in part["column_b"]]]
+            g = part["correlation"].to_numpy(float)
+            known = ~np.isnan(w)
+            constant = part["column_a"].isin(["v7", "v8", "v9"]) | part["column_b"].isin(["v7", "v8", "v9"])
+            assert np.isnan(g[constant]).all()
+            assert np.allclose(g[known & ~constant], w[known & ~constant], atol=1e-6)
+    assert eda.correlation_matrix(df.limit(0), ["k"], names).count() == 0
