@@ -488,6 +488,15 @@ _CM = ("daily_sales", "marketing_spend", "daily_sales_lag_1", "day_of_week_num")
 ORACLES["correlation_matrix"] = f"WITH {_FEAT} " + _cast_union([
     f"SELECT c_mktsegment, '{b}' AS column_a, '{a}' AS column_b, round(corr({a}, {b}), 7) AS correlation FROM ft GROUP BY 1"
     for i, a in enumerate(_CM) for b in _CM[i + 1:]])
+_EV = lambda n, end=1: f"(ORDER BY ts, event_id ROWS BETWEEN {n} PRECEDING AND {'1 PRECEDING' if end else 'CURRENT ROW'})"
+ORACLES["long_series_windows"] = f"""
+SELECT event_id, round(value, 5) AS value, row_number() OVER w - 1 AS pos, round(lag(value, 1) OVER w, 5) AS lag_1,
+  round(lag(value, 28) OVER w, 5) AS lag_28, round(value - lag(value, 7) OVER w, 5) AS diff_7,
+  round(value / nullif(lag(value, 1) OVER w, 0) - 1, 5) AS pct_1, round(avg(value) OVER {_EV(7)}, 5) AS mean_7,
+  round(CASE WHEN count(value) OVER {_EV(28)} = 28 THEN stddev_samp(value) OVER {_EV(28)} END, 5) AS std_28,
+  round(max(value) OVER {_EV(14)}, 5) AS max_14,
+  round(CASE WHEN count(value) OVER {_EV(6, 0)} = 7 THEN avg(value) OVER {_EV(6, 0)} END, 5) AS ma_7
+FROM events WINDOW w AS (ORDER BY ts, event_id)"""
 _LAGS = ", ".join(f"lag(daily_sales, {k}) OVER {_W} AS lag_{k}" for k in range(30))
 ORACLES["wide_correlation_matrix"] = f"WITH {_PANEL}, x AS MATERIALIZED (SELECT c_mktsegment, {_LAGS} FROM p) " + _cast_union([
     f"SELECT c_mktsegment, 'lag_{b}' AS column_a, 'lag_{a}' AS column_b, round(corr(lag_{a}, lag_{b}), 7) AS correlation FROM x GROUP BY 1"

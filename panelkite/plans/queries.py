@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from panelkite.functions import calendar as cal
 from panelkite.functions import windows as win
+from panelkite.functions import longseries, windows
 from panelkite.functions.keys import attach, series_window
 from panelkite.functions.scalars import contains_text, strip_param_prefix
 from panelkite.models import arima, decomposable, ensemble, linear, registry, search, trees
@@ -503,6 +504,23 @@ def correlation_matrix(spark, base):
     return show(eda.correlation_matrix(made, SEG, ["daily_sales", "marketing_spend", "daily_sales_lag_1", "day_of_week_num"]), 7)
 
 
+@query
+def long_series_windows(spark, base):
+    """All events as one series of any length: lags, ratios and rolling statistics without a window over the whole table."""
+    value = F.col("value")
+
+    def columns(w, pos):
+        return {
+            "pos": pos, "lag_1": windows.lag(value, 1, w), "lag_28": windows.lag(value, 28, w), "diff_7": windows.diff(value, 7, w),
+            "pct_1": windows.pct_change(value, 1, w), "mean_7": windows.rolling(value, "mean", 7, w),
+            "std_28": windows.strict_rolling(value, "std", 28, w), "max_14": windows.rolling(value, "max", 14, w),
+            "ma_7": windows.moving_average(value, 7, w),
+        }
+
+    events = table(spark, base, "events").select("event_id", "ts", "value")
+    return show(longseries.long_windows(events, [], ["ts", "event_id"], columns, reach=28, bucket_rows=5_000).drop("ts"), 5)
+
+
 @query
 def wide_correlation_matrix(spark, base):
     """Thirty lags of each series, unknown at its start: 435 pairs, each over the days on which both are known."""

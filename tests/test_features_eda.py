@@ -8,10 +8,12 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import Observation
+from pyspark.sql import Observation, Window
 from pyspark.sql import functions as F
 
 from panelkite.config import PanelConfig
+from panelkite.functions import longseries
+from panelkite.functions import windows as win
 from panelkite.functions.scalars import incomplete_beta
 from panelkite.functions.windows import with_ewm
 from panelkite.operators import eda, features, report
@@ -233,3 +235,29 @@ def test_wide_correlations_equal_pairwise_ones(spark):
             assert np.isnan(g[constant]).all()
             assert np.allclose(g[known & ~constant], w[known & ~constant], atol=1e-6)
     assert eda.correlation_matrix(df.limit(0), ["k"], names).count() == 0
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+@pytest.mark.parametrize("bucket", [1, 40, 100_000])
+def test_long_windows_equal_plain_ones(spark, keys, bucket):
+    rng = np.random.default_rng(1)
+    rows = [(i, "hot" if rng.random() < 0.8 else f"k{i % 5}", int(t), float(v)) for i, (t, v) in enumerate(zip(rng.integers(0, 900, 3000), rng.normal(size=3000)))]
+    df = spark.createDataFrame(rows, "id long, k string, t long, v double").repartition(6)
+    v = F.col("v")
+
+    def columns(w, pos):
+        return {"pos": pos, "lag": win.lag(v, 28, w), "ratio": win.ratio(v, 3, w), "mean": win.rolling(v, "mean", 7, w),
+                "std": win.strict_rolling(v, "std", 28, w), "ma": win.moving_average(v, 5, w)}
+
+    w = Window.partitionBy(*keys).orderBy("t", "id")
+    want = df.select("*", *[c.alias(n) for n, c in columns(w, (F.row_number().over(w) - 1).cast("long")).items()])
+    got = longseries.long_windows(df, keys, ["t", "id"], columns, reach=28, bucket_rows=bucket)
+    pd.testing.assert_frame_equal(rows_of(got, "id"), rows_of(want, "id"), rtol=1e-9)
+    assert longseries.long_windows(df.limit(0), keys, ["t", "id"], columns, 28).count() == 0
+
+
+def test_long_windows_keep_tasks_small(spark):
+    df = spark.range(20_000).selectExpr("id", "CAST(id AS DOUBLE) AS v")
+    sizes = longseries.long_windows(df, [], ["id"], lambda w, pos: {"n": F.count("*").over(w.rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing))}, reach=28, bucket_rows=1000)
+    assert sizes.agg(F.max("n")).first()[0] <= 1028
