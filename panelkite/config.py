@@ -30,6 +30,7 @@ class PanelConfig:
     holiday_col: str = "is_holiday"
     expected_columns: tuple[str, ...] = EXPECTED_COLUMNS
     categorical_columns: tuple[str, ...] = CATEGORICAL_COLUMNS
+    # Default lags, windows, spans and accepted ranges.
     lag_days: tuple[int, ...] = (1, 7, 14, 28)
     rolling_windows: tuple[int, ...] = (7, 14, 28)
     ewm_spans: tuple[int, ...] = (7, 14, 28)

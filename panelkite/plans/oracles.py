@@ -832,6 +832,54 @@ ORACLES["zipped_learning_curve"] = _sql(
 ORACLES["stripped_parameter_names"] = "SELECT p_partkey, lower(p_brand) AS param FROM part"
 ORACLES["import_and_reload"] = ORACLES["daily_panel_by_segment"]
 
+ORACLES["actual_and_predicted"] = f"""WITH {_POS},
+f AS (SELECT c_mktsegment, regr_slope(daily_sales, pos) AS slope, regr_intercept(daily_sales, pos) AS start, max(pos) AS last_pos, max(date) AS last_fit
+      FROM x WHERE pos < floor(n * CAST(0.8 AS DOUBLE)) GROUP BY 1)
+SELECT c_mktsegment, date, round(daily_sales, 2) AS actual,
+       round(greatest(0, start + slope * (last_pos + datediff('day', last_fit, date))), 2) AS predicted
+FROM x JOIN f USING (c_mktsegment) WHERE pos >= floor(n * CAST(0.8 AS DOUBLE))"""
+ORACLES["refitted_model_forecast"] = ORACLES["reloaded_model_forecast"] = ORACLES["forecast_file"] = ORACLES["linear_weekday_forecast"]
+ORACLES["ensemble_request"] = _sql(_WEEKDAY, "c_mktsegment, date, day_number, 'ensemble' AS model", _FC, "f1", 2)
+ORACLES["best_model_forecast"] = f"""WITH {_WEEKDAY}
+SELECT c_mktsegment, CASE WHEN length(c_mktsegment) % 2 = 0 THEN 'linear_trend' ELSE 'seasonal_arima' END AS model, date, day_number,
+       CASE WHEN length(c_mktsegment) % 2 = 0 THEN round(predicted, 2) END AS predicted FROM f1"""
+ORACLES["upload_findings"] = """
+WITH d AS (SELECT CAST(o_orderdate AS DATE) AS date, count(*) AS c FROM orders GROUP BY 1),
+g AS (SELECT c, date - lag(date) OVER (ORDER BY date) AS gap FROM d),
+n AS (SELECT count(*) FILTER (gap > 1) AS gaps, CAST(sum(c - 1) AS BIGINT) AS dups FROM g),
+r AS (SELECT CAST(sum(c - 1) AS BIGINT) AS dups FROM (SELECT count(*) AS c FROM orders GROUP BY CAST(o_orderdate AS DATE), o_totalprice, o_orderstatus, o_orderpriority)),
+f AS (
+  SELECT 'schema' AS "check", 'error' AS severity, c AS "column", 1::BIGINT AS count, 'Missing required columns: ' || c AS message
+  FROM (VALUES ('marketing_spend'), ('day_of_week'), ('is_holiday')) m(c)
+  UNION ALL SELECT 'schema', 'warning', 'priority', 1, 'Unexpected columns found: priority'
+  UNION ALL SELECT 'type', 'warning', 'date', 1, 'Column ''date'' is not datetime type'
+  UNION ALL SELECT 'type', 'error', 'daily_sales', 1, 'Column ''daily_sales'' should be numeric but is string'
+  UNION ALL SELECT 'date_gaps', 'warning', 'date', gaps, 'Found ' || gaps || ' date gaps in the data' FROM n WHERE gaps > 0
+  UNION ALL SELECT 'duplicate_dates', 'error', 'date', dups, 'Found ' || dups || ' duplicate dates' FROM n WHERE dups > 0
+  UNION ALL SELECT 'duplicate_rows', 'warning', NULL, dups, 'Found ' || dups || ' duplicate rows' FROM r WHERE dups > 0)
+SELECT *, CAST(NULL AS DOUBLE) AS pct FROM f"""
+ORACLES["dispatched_sources"] = f"""WITH {_PANEL}
+SELECT source, count(*) AS n, min(date) AS start, max(date) AS end, round(sum(daily_sales), 2) AS total
+FROM p CROSS JOIN (VALUES ('parquet'), ('orc'), ('json'), ('csv'), ('raw')) s(source)
+WHERE source = 'raw' OR date BETWEEN DATE '1996-01-01' AND DATE '1997-12-31' GROUP BY 1"""
+_NULLS = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in _RAW_COLS)
+ORACLES["report_and_run_files"] = f"""WITH {_RAW}, {_TMC.lstrip()},
+k AS (SELECT * FROM raw WHERE date IS NOT NULL),
+t AS (SELECT (SELECT count(*) FROM raw) AS a, (SELECT count(*) FROM k) AS b, (SELECT {_NULLS} FROM raw) AS v, (SELECT {_NULLS} FROM k) AS w)
+SELECT fact, round(CAST(value AS DOUBLE), 3) AS value FROM (
+  SELECT 'initial_rows' AS fact, a::DOUBLE AS value FROM t UNION ALL SELECT 'final_rows', b FROM t UNION ALL SELECT 'rows_removed', a - b FROM t
+  UNION ALL SELECT 'validation', v FROM t UNION ALL SELECT 'features', w FROM t UNION ALL SELECT 'test_mape', sum(test_mape) FROM tm)"""
+_MINIMAL = sorted((
+    "daily_sales_diff_1", "daily_sales_lag_1", "daily_sales_lag_7", "daily_sales_rolling_mean_7", "daily_sales_rolling_std_7", "day_of_week_cos",
+    "day_of_week_num", "day_of_week_sin", "day_of_year", "days_since_start", "is_holiday", "is_weekend", "marketing_spend",
+    "marketing_spend_rolling_mean_7", "month", "quarter", "time_normalized"))
+ORACLES["features_and_target"] = _sql(
+    _PANEL, f"'{','.join(_MINIMAL)}' AS names, count(*) AS n", {"spend": "sum(marketing_spend)", "target": "sum(daily_sales)"}, "p", 2, "")
+ORACLES["stored_insights"] = ORACLES["flattened_insights"]
+ORACLES["stored_learning_curve"] = _sql(
+    _PANEL, "'r1' AS run_id, 'boosted_trees' AS model_name, month(date) AS iteration, 'rmse' AS metric_type",
+    {"train_loss": "avg(daily_sales)", "val_loss": "stddev_samp(daily_sales)"}, "p", 4, "GROUP BY month(date)")
+
 # --- streams ---------------------------------------------------------------------------------
 
 ORACLES["streamed_sessions"] = """

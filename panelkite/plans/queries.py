@@ -14,18 +14,19 @@ from pyspark.sql import functions as F
 
 from panelkite.functions import calendar as cal
 from panelkite.functions import windows as win
-from panelkite.functions import longseries, windows
+from panelkite.functions import longseries
 from panelkite.functions.keys import attach, series_window
 from panelkite.functions.scalars import contains_text, strip_param_prefix
 from panelkite.models import arima, decomposable, ensemble, linear, registry, search, trees
 from panelkite.models import base as base_model
 from panelkite.operators import cleaning, eda, features, metrics, quality, report, reshape, sessions, splits
 from panelkite.operators.quantiles import exact_quantiles
+from panelkite.config import DEFAULT, resolve_target
 from panelkite.plans import forecasting, training
 from panelkite.session import new_path, written
 from panelkite.sources import sinks
 from panelkite.sources.panel import daily_panel, event_panel, table
-from panelkite.sources.readers import date_range, load_sales, read_csv
+from panelkite.sources.readers import date_range, load_sales, read_csv, read_raw, read_sales
 from panelkite.sources.store import ResultsStore
 from panelkite.streaming import intake, state
 from panelkite.streaming import sessions as stream
@@ -511,10 +512,10 @@ def long_series_windows(spark, base):
 
     def columns(w, pos):
         return {
-            "pos": pos, "lag_1": windows.lag(value, 1, w), "lag_28": windows.lag(value, 28, w), "diff_7": windows.diff(value, 7, w),
-            "pct_1": windows.pct_change(value, 1, w), "mean_7": windows.rolling(value, "mean", 7, w),
-            "std_28": windows.strict_rolling(value, "std", 28, w), "max_14": windows.rolling(value, "max", 14, w),
-            "ma_7": windows.moving_average(value, 7, w),
+            "pos": pos, "lag_1": win.lag(value, 1, w), "lag_28": win.lag(value, 28, w), "diff_7": win.diff(value, 7, w),
+            "pct_1": win.pct_change(value, 1, w), "mean_7": win.rolling(value, "mean", 7, w),
+            "std_28": win.strict_rolling(value, "std", 28, w), "max_14": win.rolling(value, "max", 14, w),
+            "ma_7": win.moving_average(value, 7, w),
         }
 
     events = table(spark, base, "events").select("event_id", "ts", "value")
@@ -869,6 +870,128 @@ def ranked_backtest(spark, base):
     return show(ranked.drop("run_id", "training_time"), 3)
 
 
+@query
+def actual_and_predicted(spark, base):
+    """The last fifth of each series beside the forecast of a line through the rest, met by date."""
+    split = splits.simple_split(sales(spark, base), SEG, 0.8)
+    train, test = (split.filter(F.col("role") == r).drop("fold", "role") for r in ("train", "test"))
+    ahead = linear.forecast(linear.fit(train, SEG, {"include_dow": False}), search.horizon(train, test, SEG), include_ci=False, limit=None)
+    actual = test.select(*SEG, "date", F.col("daily_sales").alias("actual"))
+    return show(metrics.align(actual, ahead, SEG).select(*SEG, "date", "actual", "predicted"), 2)
+
+
+@query
+def refitted_model_forecast(spark, base):
+    """Training with the full refit: the model that is kept forecasts from all rows."""
+    trained = training.train_model(sales(spark, base), SEG, linear.NAME, params={"include_dow": True, "regularization": 0.0})
+    return show(linear.forecast(trained.fitted, 30), 2)
+
+
+@query
+def reloaded_model_forecast(spark, base):
+    """A saved model, loaded again, forecasts as before."""
+    path = new_path(spark, "model")
+    linear.fit(sales(spark, base), SEG, {"include_dow": True}).save(path)
+    return show(linear.forecast(base_model.Fitted.load(spark, path), 30), 2)
+
+
+@query
+def best_model_forecast(spark, base):
+    """The best model of each series answers for it: here the line where the name has an even length, else ARIMA."""
+    p = sales(spark, base)
+    fitted = {linear.NAME: linear.fit(p, SEG, {"include_dow": True}), arima.NAME: arima.fit(p, SEG)}
+    even = F.length("c_mktsegment") % 2 == 0
+    best = p.select(*SEG).distinct().withColumn("model_name", F.when(even, linear.NAME).otherwise(arima.NAME))
+    out = forecasting.request_forecast(fitted, "best", 30, best=best)
+    return show(out.select(*SEG, "model", "date", "day_number", F.when(F.col("model") == linear.NAME, F.col("predicted")).alias("predicted")), 2)
+
+
+@query
+def ensemble_request(spark, base):
+    """The ensemble as a model choice, over a horizon of a week, with its interval."""
+    fitted = {linear.NAME: linear.fit(sales(spark, base), SEG, {"include_dow": True})}
+    return show(forecasting.request_forecast(fitted, "ensemble", 30, weights={linear.NAME: 2.0}), 2)
+
+
+@query
+def upload_findings(spark, base):
+    """All checks with their messages on a table with texts for date and measure, an extra column and three missing ones."""
+    upload = table(spark, base, "orders").select(
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_totalprice").cast("string").alias("daily_sales"),
+        F.col("o_orderstatus").alias("product_category"), F.col("o_orderpriority").alias("priority"))
+    return show(quality.validate(upload).select("check", "severity", "column", "count", "pct", "message"))
+
+
+@query
+def dispatched_sources(spark, base):
+    """The panel written in four formats and read back by source kind and date bounds, and as a raw file."""
+    out = new_path(spark, "sources")
+    p = panel(spark, base)
+    parts = []
+    for kind in ("parquet", "orc", "json", "csv"):
+        sinks.write_table(p, f"{out}/{kind}", kind)
+        read = read_sales(spark, kind, f"{out}/{kind}", "1996-01-01", "1997-12-31")
+        parts.append(read.select(F.lit(kind).alias("source"), F.col("date").cast("date").alias("date"), F.col("daily_sales").cast("double").alias("y")))
+    raw = read_raw(spark, "csv", DEFAULT.with_(raw_dir=out))
+    parts.append(raw.select(F.lit("raw").alias("source"), "date", F.col("daily_sales").alias("y")))
+    return show(reduce(DataFrame.unionByName, parts).groupBy("source").agg(
+        F.count("*").alias("n"), F.min("date").alias("start"), F.max("date").alias("end"), F.sum("y").alias("total")), 2)
+
+
+@query
+def forecast_file(spark, base):
+    path = new_path(spark, "forecast-csv")
+    sinks.write_forecasts_csv(_linear(spark, base, True), path)
+    kinds = "c_mktsegment string, model string, date date, day_number int, predicted double, lower_bound double, upper_bound double"
+    return show(spark.read.schema(kinds).option("header", True).csv(path), 2)
+
+
+@query
+def report_and_run_files(spark, base):
+    """The JSON report and the JSON runs, read back: row counts, findings and stored scores."""
+    path = new_path(spark, "report")
+    raw = written(raw_sales(spark, base), "raw")
+    clean = raw.dropna(subset=["date"])
+    sinks.write_report(spark, path, raw.count(), clean.count(), quality.missing_values(raw, SEG), quality.missing_values(clean, SEG))
+    sinks.write_runs_json(_runs(spark, base), f"{path}/runs")
+    summary = spark.read.json(f"{path}/summary").select("pipeline_summary.*")
+    facts = [summary.select(F.lit(c).alias("fact"), F.col(c).cast("double").alias("value")) for c in ("initial_rows", "final_rows", "rows_removed")]
+    for part in ("validation", "features"):
+        facts.append(spark.read.json(f"{path}/{part}").agg(F.sum("count").cast("double").alias("value")).select(F.lit(part).alias("fact"), "value"))
+    facts.append(spark.read.json(f"{path}/runs").agg(F.sum("test_mape").alias("value")).select(F.lit("test_mape").alias("fact"), "value"))
+    return show(reduce(DataFrame.unionByName, facts), 3)
+
+
+@query
+def features_and_target(spark, base):
+    """The target by name, the features without date, target and categories, and what both hold."""
+    made = features.create_features(panel(spark, base), SEG, "minimal")
+    x, y = splits.feature_target_split(made, resolve_target(made))
+    names = [c for c in x.columns if c not in SEG]
+    told = x.agg(F.lit(",".join(sorted(names))).alias("names"), F.count("*").alias("n"), F.sum("marketing_spend").alias("spend"))
+    return show(attach(told, y.agg(F.sum(y.columns[0]).alias("target")), []), 2)
+
+
+@query
+def stored_insights(spark, base):
+    store = ResultsStore(spark, new_path(spark, "store"), SEG)
+    p = sales(spark, base)
+    store.save_insights("a1", p.groupBy(*SEG).agg(
+        F.struct(F.count("*").alias("days"), F.date_format(F.min("date"), "yyyy-MM-dd").alias("first")).alias("span"),
+        F.create_map(F.lit("holidays"), F.sum("is_holiday"), F.lit("gaps"), F.lit(None).cast("long")).alias("flags"),
+        F.max("product_category").alias("category")))
+    return show(store.insights("a1").select(*SEG, "insight_type", "insight_key", "insight_value"))
+
+
+@query
+def stored_learning_curve(spark, base):
+    store = ResultsStore(spark, new_path(spark, "store"), [])
+    months = sales(spark, base).groupBy(F.month("date").alias("iteration")).agg(
+        F.avg("daily_sales").alias("train_loss"), F.stddev_samp("daily_sales").alias("val_loss"))
+    store.save_learning_curve("r1", "boosted_trees", months)
+    return show(store.learning_curve("r1").select("run_id", "model_name", "iteration", "train_loss", "val_loss", "metric_type"), 4)
+
+
 # --- results store ---------------------------------------------------------------------------
 
 

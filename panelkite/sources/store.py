@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from panelkite.operators.reshape import flatten_insights, latest_per, pivot_forecasts, zip_learning_curve
 
-# The columns of each result table, beside the series keys.
+# The columns of each result table, beside the series keys; spans and sizes are named as in ``split_info``.
 TABLES = {
     "training_runs": (
         "run_id string, model_name string, train_start date, train_end date, test_start date, test_end date, "
