@@ -39,7 +39,9 @@ def _by_header(spark: SparkSession, path: str, corrupt_column: str | None) -> Da
         part = reader.csv(sorted(groups[header]))
         if corrupt_column:
             schema = part.schema.add(corrupt_column, "string")
-            part = reader.schema(schema).option("columnNameOfCorruptRecord", corrupt_column).csv(sorted(groups[header]))
+            # All columns are parsed: with fewer, a line is held against the chosen ones alone and passes as whole.
+            part = reader.schema(schema).option("columnNameOfCorruptRecord", corrupt_column).option(
+                "columnPruning", False).csv(sorted(groups[header]))
         parts.append(part)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else raw
 
