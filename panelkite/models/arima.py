@@ -163,23 +163,50 @@ def _fit(y: np.ndarray, p: dict[str, Any]) -> dict[str, Any]:
     }
 
 
-def predict_arrays(s: dict[str, Any], n_days: int) -> tuple[np.ndarray, np.ndarray]:
-    """Means and standard errors of the next n_days values."""
-    ar, ma = np.asarray(s["ar"], float), np.asarray(s["ma"], float)
-    y = np.concatenate([np.asarray(s["y_tail"], float), np.zeros(n_days)])
-    e = np.concatenate([np.asarray(s["e_tail"], float), np.zeros(n_days)])
-    ny, ne = len(y) - n_days, len(e) - n_days
-    psi = np.zeros(n_days)
-    psi[0] = 1.0
+def predict_many(ar: np.ndarray, ma: np.ndarray, y_tail: np.ndarray, e_tail: np.ndarray, level: np.ndarray,
+                 slope: np.ndarray, t_last: np.ndarray, sigma: np.ndarray, n_days: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard errors, one row per series; all series step through the days together.
+
+    The arrays hold one series per row; the series have equally many terms and kept values.
+    """
+    rows, na, nm = len(ar), ar.shape[1], ma.shape[1]
+    y = np.concatenate([y_tail, np.zeros((rows, n_days))], axis=1)
+    e = np.concatenate([e_tail, np.zeros((rows, n_days))], axis=1)
+    ny, ne = y_tail.shape[1], e_tail.shape[1]
+    psi = np.zeros((rows, n_days))
+    psi[:, 0] = 1.0
     for h in range(n_days):
-        mean = s["const"] + s["slope"] * (s["t_last"] + h + 1)
-        mean += ar @ y[ny + h - len(ar):ny + h][::-1] if len(ar) else 0.0
-        mean += ma @ e[ne + h - len(ma):ne + h][::-1] if len(ma) else 0.0
-        y[ny + h] = mean
+        mean = level + slope * (t_last + h + 1)
+        if na:
+            mean = mean + (ar * y[:, ny + h - na:ny + h][:, ::-1]).sum(axis=1)
+        if nm:
+            mean = mean + (ma * e[:, ne + h - nm:ne + h][:, ::-1]).sum(axis=1)
+        y[:, ny + h] = mean
         if h:
-            reach = min(h, len(ar))
-            psi[h] = (ma[h - 1] if h <= len(ma) else 0.0) + ar[:reach] @ psi[h - reach:h][::-1]
-    return y[ny:], s["sigma"] * np.sqrt(np.cumsum(psi ** 2))
+            reach = min(h, na)
+            psi[:, h] = (ar[:, :reach] * psi[:, h - reach:h][:, ::-1]).sum(axis=1) + (ma[:, h - 1] if h <= nm else 0.0)
+    return y[:, ny:], sigma[:, None] * np.sqrt(np.cumsum(psi ** 2, axis=1))
+
+
+VECTORS, NUMBERS = ("ar", "ma", "y_tail", "e_tail"), ("const", "slope", "t_last", "sigma")
+
+
+def predict_arrays(s: dict[str, Any], n_days: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means and standard errors of the next n_days values."""
+    one = [np.asarray(s[c], float)[None, :] for c in VECTORS] + [np.array([s[c]], float) for c in NUMBERS]
+    mean, se = predict_many(*one, n_days)
+    return mean[0], se[0]
+
+
+def predict_frame(states: pd.DataFrame, n_days: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`predict_many` for state rows of any orders: rows of one shape are stacked and solved at once."""
+    mean, se = np.zeros((2, len(states), n_days))
+    shape = pd.Series(list(zip(*[states[c].map(len) for c in VECTORS])))
+    for _, at in shape.groupby(shape).indices.items():
+        part = states.iloc[at]
+        stacked = [np.stack([np.asarray(v, float) for v in part[c]]) for c in VECTORS]
+        mean[at], se[at] = predict_many(*stacked, *[part[c].to_numpy(float) for c in NUMBERS], n_days)
+    return mean, se
 
 
 def fit(
@@ -225,11 +252,9 @@ def forecast(
 
     def kernel(batches):
         for pdf in batches:
-            values = []
-            for s in pdf.to_dict("records"):
-                mean, se = predict_arrays(s, n_days)
-                values.append([{"predicted": m, "se": d} for m, d in zip(mean, se)])
-            yield pdf[[*keys, "last_date"]].assign(v=values)
+            mean, se = predict_frame(pdf, n_days)
+            paths = [[{"predicted": m, "se": d} for m, d in zip(*row)] for row in zip(mean.tolist(), se.tolist())]
+            yield pdf[[*keys, "last_date"]].assign(v=paths)
 
     def value(i, _):
         x = F.element_at("v", i)

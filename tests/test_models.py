@@ -152,6 +152,24 @@ def test_arima_seasonal_difference_repeats_the_week():
     assert np.allclose(arima.predict_arrays(walk, 3)[0], [50, 51, 52])
 
 
+def test_arima_steps_many_series_together():
+    """Series of mixed orders and lengths, each against its own recursion."""
+    rng = np.random.default_rng(7)
+    orders = [{}, {"q": 2, "D": 1}, {"p": 0, "d": 0, "q": 0, "trend": "c"}, {"p": 2, "q": 0}, {"P": 1, "Q": 1}]
+    states = [arima.fit_arrays(100 + rng.normal(size=n).cumsum(), arima.DEFAULTS | o) for o in orders for n in (60, 90)]
+    states.append(arima._last_value(np.array([4.0])))
+    mean, se = arima.predict_frame(pd.DataFrame(states), 40)
+    for s, m, d in zip(states, mean, se):
+        y, e, psi = list(s["y_tail"]), list(s["e_tail"]), [1.0]
+        for h in range(1, 41):
+            y.append(s["const"] + s["slope"] * (s["t_last"] + h)
+                     + sum(a * y[-i - 1] for i, a in enumerate(s["ar"])) + sum(c * e[-i - 1] for i, c in enumerate(s["ma"])))
+            e.append(0.0)
+            psi.append((s["ma"][h - 1] if h <= len(s["ma"]) else 0.0) + sum(a * psi[-i - 1] for i, a in enumerate(s["ar"]) if i < h))
+        assert m == pytest.approx(y[-40:], rel=1e-9)
+        assert d == pytest.approx(s["sigma"] * np.sqrt(np.cumsum(np.square(psi[:40]))), rel=1e-9)
+
+
 def test_arima_panel_and_short_series(spark):
     df, _ = trend_panel(spark, 200, noise=2.0)
     short = df.filter("series_id = 'a' OR date <= '2023-01-02'")
