@@ -61,6 +61,32 @@ def test_import_replaces_and_counts(spark, one, folder):
     assert again.columns.tolist() == list(readers.STORED_COLUMNS) and again["marketing_spend"].isna().all()
 
 
+def jobs_of(spark, group, call):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        call()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_import_counts_while_it_writes(spark, one, folder):
+    """No job beyond those of the write itself; an empty table counts 0."""
+    def plain():
+        one.repartitionByRange("date").sortWithinPartitions("date").write.parquet(f"{folder}/plain")
+
+    alone = jobs_of(spark, "plain", plain)
+    assert jobs_of(spark, "import", lambda: sinks.import_sales(one, f"{folder}/counted")) <= alone
+    assert sinks.import_sales(one.limit(0), f"{folder}/none") == 0
+
+
+def test_pipeline_counts_rows_it_drops_or_keeps(spark, one, folder):
+    kept = run_pipeline(one, f"{folder}/kept", drop_nulls=False)
+    assert (kept.initial_rows, kept.final_rows) == (100, 100)
+    nothing = run_pipeline(one.limit(3), f"{folder}/nothing")
+    assert (nothing.success, nothing.initial_rows, nothing.final_rows) == (True, 3, 0), nothing.error
+
+
 def test_exports(spark, one):
     h = one.withColumn("is_holiday", F.lit(None).cast("int")).transform(sinks.history_export).first()
     assert h["is_holiday"] == 0 and h["date"] == "2023-01-01"
