@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from panelkite.session import written
@@ -32,8 +33,9 @@ def whole_series(keys: Iterable[str], date_col: str = "date") -> WindowSpec:
 
 
 SALT_BUCKETS = 32
-# Statistics of at most this many series are broadcast to row-level frames; more are joined by shuffle.
-BROADCAST_ROWS = 200_000
+# Statistics of at most this many bytes, as they lie in memory, are broadcast to row-level frames; larger ones are shuffled.
+BROADCAST_BYTES = 64 << 20
+ROW_BYTES, FIELD_BYTES = 64, 16
 
 
 def _renamed(stats: DataFrame, keys: list[str]) -> tuple[DataFrame, list[str], Column]:
@@ -60,10 +62,21 @@ def attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
     return df.join(right, condition, "left").select(*df.columns, *value_cols)
 
 
+def bytes_held(stats: DataFrame) -> int:
+    """An upper estimate of the table in memory: a fixed size per row and field, texts and arrays by their length."""
+    size = F.lit(ROW_BYTES + FIELD_BYTES * len(stats.columns))
+    for field in stats.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(field.name), F.lit(0))
+        elif isinstance(field.dataType, T.ArrayType):
+            size = size + FIELD_BYTES * F.coalesce(F.size(field.name), F.lit(0))
+    return stats.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
 def attach_rows(df: DataFrame, stats: DataFrame, keys: list[str], stored: bool = False) -> DataFrame:
     """As :func:`attach` for row-level frames, where one series may hold much of the data.
 
-    The statistics are written first (unless ``stored`` says they are) and counted. Up to ``BROADCAST_ROWS`` series they are broadcast
+    The statistics are written first (unless ``stored`` says they are) and measured. Up to ``BROADCAST_BYTES`` they are broadcast
     and the rows do not move. Beyond that they are copied to every salt and a row meets one copy, so a
     hot series is spread over tasks, and the join's partitioning does not serve a later aggregate by
     the same keys, which leaves adaptive execution free to split what is still skewed.
@@ -72,7 +85,7 @@ def attach_rows(df: DataFrame, stats: DataFrame, keys: list[str], stored: bool =
         return attach(df, stats, keys)
     stats = stats if stored else written(stats, "stats")
     right, value_cols, condition = _renamed(stats, keys)
-    if stats.count() <= BROADCAST_ROWS:
+    if bytes_held(stats) <= BROADCAST_BYTES:
         return df.join(F.broadcast(right), condition, "left").select(*df.columns, *value_cols)
     # A hash of the row and not a random number: a recomputed task sends its rows the same way.
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALT_BUCKETS)).cast("int"))

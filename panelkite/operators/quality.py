@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelkite.config import DEFAULT, PanelConfig, numeric_columns
-from panelkite.functions.keys import attach, attach_rows, long_form, series_window
+from panelkite.functions.keys import attach, attach_rows, long_form, null_if_nan, series_window
 from panelkite.operators.quantiles import exact_quantiles, wide_quantiles
 from panelkite.session import written
 from panelkite.sources.readers import parse_date
@@ -86,16 +86,28 @@ def duplicate_dates(df: DataFrame, keys: list[str], cfg: PanelConfig = DEFAULT)
     )
 
 
-def iqr_bounds(df: DataFrame, keys: list[str], columns: list[str], k: float = 1.5) -> DataFrame:
-    """``keys, column, q1, q3, lower_bound, upper_bound`` from exact quantiles of any group size."""
-    q = wide_quantiles(exact_quantiles(df, keys, columns, (0.25, 0.75)), keys, {0.25: "q1", 0.75: "q3"})
+def iqr_bounds(
+    df: DataFrame, keys: list[str], columns: list[str], k: float = 1.5, accuracy: int | None = None
+) -> DataFrame:
+    """``keys, column, q1, q3, lower_bound, upper_bound`` from exact quantiles of any group size.
+
+    With an ``accuracy`` the quartiles are values of the data whose ranks are off by at most a share of 1/accuracy, from one
+    pass that combines sketches on the map side.
+    """
+    if accuracy is None:
+        q = wide_quantiles(exact_quantiles(df, keys, columns, (0.25, 0.75)), keys, {0.25: "q1", 0.75: "q3"})
+    else:
+        sketch = F.percentile_approx("v", [0.25, 0.75], accuracy)
+        long = null_if_nan(long_form(df, keys, columns))
+        q = long.groupBy(*keys, "column").agg(sketch.alias("q")).select(
+            *keys, "column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     return q.select("*", (F.col("q1") - k * iqr).alias("lower_bound"), (F.col("q3") + k * iqr).alias("upper_bound"))
 
 
-def iqr_outliers(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+def iqr_outliers(df: DataFrame, keys: list[str], columns: list[str], accuracy: int | None = None) -> DataFrame:
     """``keys, column, q1, q3, lower_bound, upper_bound, count, pct`` of values outside the bounds."""
-    bounds = written(iqr_bounds(df, keys, columns), "bounds")
+    bounds = written(iqr_bounds(df, keys, columns, accuracy=accuracy), "bounds")
     long = long_form(df, keys, columns)
     rows = attach_rows(
         long, bounds.select(*keys, "column", "lower_bound", "upper_bound"), [*keys, "column"], stored=True)

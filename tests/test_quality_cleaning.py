@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkite.config import PanelConfig, resolve_target
+from panelkite.functions import keys as keyed
 from panelkite.operators import cleaning, quality, quantiles
 from panelkite.operators.quantiles import exact_quantiles
 
@@ -105,6 +106,33 @@ def test_quantile_ranking_is_cut_into_ranges(spark):
         assert value == pytest.approx(want.loc[want["k"] == k, "v"].quantile(p))
 
 
+def test_sketched_quartiles_keep_their_rank(spark):
+    n, accuracy = 20_000, 200
+    rows = spark.range(n).select(F.lit("k").alias("k"), ((F.col("id") * 7919) % n).cast("double").alias("x"))
+    rows = rows.withColumn("y", F.when(F.col("x") % 2 == 0, F.col("x")).otherwise(F.lit(float("nan"))))
+    got = {r["column"]: r for r in quality.iqr_bounds(rows, ["k"], ["x", "y"], accuracy=accuracy).collect()}
+    for r in got.values():
+        assert abs(r["q1"] / n - 0.25) <= 1.5 / accuracy and abs(r["q3"] / n - 0.75) <= 1.5 / accuracy
+        assert r["lower_bound"] == r["q1"] - 1.5 * (r["q3"] - r["q1"])
+    none = quality.iqr_outliers(rows.limit(0), ["k"], ["x"], accuracy=accuracy)
+    assert none.count() == 0
+
+
+def test_statistics_join_alike_beyond_the_byte_bound(spark, panel, monkeypatch):
+    keys = ["series_id"]
+    stats = panel.groupBy(*keys).agg(F.avg("daily_sales").alias("mu"), F.collect_set("is_holiday").alias("flags"))
+    held = keyed.bytes_held(stats)
+    longer = stats.withColumn("series_id", F.rpad("series_id", 1000, "x"))
+    assert 3 * keyed.ROW_BYTES < held < 2_000 and keyed.bytes_held(longer) > held + 2_900
+    small = keyed.attach_rows(panel, stats, keys)
+    assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(keyed, "BROADCAST_BYTES", held - 1)
+    large = keyed.attach_rows(panel, stats, keys)
+    order = ["series_id", "date"]
+    pd.testing.assert_frame_equal(rows_of(small.drop("flags"), *order), rows_of(large.drop("flags"), *order))
+    assert keyed.bytes_held(stats.limit(0)) == 0
+
+
 def test_quantiles_of_empty_and_null_groups(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("b", 1.0)], "k string, x double")
     assert [tuple(r) for r in exact_quantiles(df, ["k"], ["x"], (0.5,)).collect()] == [("b", "x", 0.5, 1.0)]
