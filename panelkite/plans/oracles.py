@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 from panelkite.functions.scalars import AS241
+from panelkite.models.registry import resolve, sample_params
 
 _PANEL = """
 sp AS (SELECT l_orderkey, sum(l_extendedprice * l_discount) AS spend FROM lineitem GROUP BY 1),
@@ -210,6 +212,11 @@ WHERE ts >= TIMESTAMP '2024-01-02' AND ts < TIMESTAMP '2024-01-06' GROUP BY 1"""
 ORACLES["csv_scan"] = """
 SELECT CAST(o_orderkey % 7 AS DOUBLE) AS marketing_spend, count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS keys,
        round(sum(o_totalprice), 2) AS sales, min(CAST(o_orderdate AS DATE)) AS first_date FROM orders GROUP BY 1"""
+ORACLES["csv_corrupt_rows"] = """
+WITH o AS (SELECT CAST(o_orderdate AS DATE) AS date, o_orderkey AS k, o_orderkey % 10 = 0 AS is_corrupt,
+                  strftime(CAST(o_orderdate AS DATE), '%Y-%m-%d') || ',' || o_orderkey || ',5,7' AS line FROM orders)
+SELECT date, is_corrupt, count(*) AS n, CAST(sum(k) AS DOUBLE) AS sales, max(CASE WHEN is_corrupt THEN line END) AS last_line
+FROM o GROUP BY 1, 2"""
 ORACLES["dedup_null_rows"] = _sql(_PANEL, "c_mktsegment, date", {"daily_sales": "daily_sales"}, "p")
 ORACLES["history_export"] = _sql(
     _GAPPY, "strftime(date, '%Y-%m-%d') AS date, CAST(0 AS BIGINT) AS is_holiday",
@@ -332,6 +339,7 @@ ORACLES["iqr_outliers_rows"] = _cast_union([
         round(100.0 * count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) / count(*), 6) AS pct
         FROM lineitem JOIN (SELECT l_returnflag, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem GROUP BY 1)
         USING (l_returnflag) GROUP BY l_returnflag, q1, q3""" for c in ("l_extendedprice", "l_quantity")])
+ORACLES["iqr_outliers_sketched"] = ORACLES["iqr_outliers_rows"].replace("quantile_cont", "quantile_disc")
 ORACLES["summary_statistics"] = _sql(
     _RAW, "c_mktsegment, count(*) AS total_rows, min(date) AS date_start, max(date) AS date_end, CAST(max(date) - min(date) + 1 AS BIGINT) AS days",
     {"mean": "avg(daily_sales)", "std": "stddev_samp(daily_sales)", "min": "min(daily_sales)", "max": "max(daily_sales)",
@@ -772,6 +780,58 @@ _BOTH = _POS + _linear_ctes("f0", False) + _linear_ctes("f1", True) + """,
 bf AS (SELECT *, 'plain' AS model FROM f0 UNION ALL SELECT *, 'weekday' AS model FROM f1)"""
 ORACLES["linear_trend_forecast"] = _sql(_PLAIN, "c_mktsegment, date, day_number, 'linear_trend' AS model", _FC, "f0", 2)
 ORACLES["linear_weekday_forecast"] = _sql(_WEEKDAY, "c_mktsegment, date, day_number, 'linear_trend' AS model", _FC, "f1", 2)
+_PREVIOUS = """(SELECT *, lag(daily_sales) OVER (PARTITION BY c_mktsegment ORDER BY date) AS before,
+               lag(daily_sales, 7) OVER (PARTITION BY c_mktsegment ORDER BY date) AS week_before,
+               count(*) OVER (PARTITION BY c_mktsegment) - pos AS back FROM x)"""
+ORACLES["arima_closed_forms"] = f"""WITH {_POS},
+z AS (SELECT *, daily_sales - before AS step, daily_sales - week_before AS week_step FROM {_PREVIOUS}),
+f AS (SELECT c_mktsegment, max(date) AS last_date, arg_max(daily_sales, date) AS y, regr_slope(daily_sales, before) AS a,
+             regr_intercept(daily_sales, before) AS c, avg(step) AS drift,
+             sqrt((regr_syy(daily_sales, before) - regr_sxy(daily_sales, before) * regr_sxy(daily_sales, before) / regr_sxx(daily_sales, before))
+                  / (regr_count(daily_sales, before) - 2)) AS sd_a,
+             sqrt(var_pop(step) * count(step) / (count(step) - 1)) AS sd_d, sqrt(avg(week_step * week_step)) AS sd_w FROM z GROUP BY 1),
+h AS (SELECT f.*, i, z.daily_sales AS same_weekday FROM f CROSS JOIN range(1, 31) r(i)
+      JOIN z ON z.c_mktsegment = f.c_mktsegment AND z.back = 7 - (i - 1) % 7),
+m AS (SELECT c_mktsegment, last_date, i, 'autoregression' AS model, c / (1 - a) + pow(a, i) * (y - c / (1 - a)) AS v,
+             sd_a * sqrt((1 - pow(a, 2 * i)) / (1 - a * a)) AS se FROM h
+      UNION ALL SELECT c_mktsegment, last_date, i, 'drift', y + i * drift, sd_d * sqrt(i) FROM h
+      UNION ALL SELECT c_mktsegment, last_date, i, 'last_week', same_weekday, sd_w * sqrt((i - 1) // 7 + 1) FROM h)
+SELECT c_mktsegment, model, CAST(last_date + CAST(i AS INT) AS DATE) AS date, i AS day_number, round(greatest(v, 0), 2) AS predicted,
+       round(greatest(v - {_Z} * se, 0), 2) AS lower_bound, round(greatest(v + {_Z} * se, 0), 2) AS upper_bound FROM m"""
+
+# Ridge on scaled columns in closed form: the weekday columns have a diagonal Gram matrix less one outer product, which one
+# rank-one update inverts; the trend is then one Schur complement. Without a penalty it is the common slope within weekdays.
+_TRIALS = ", ".join(
+    f"({i}, {c['include_dow']}, CAST({c['regularization']!r} AS DOUBLE), '{json.dumps(c)}')"
+    for i, c in enumerate(sample_params(resolve("linear_trend"), 10)))
+ORACLES["linear_search"] = f"""WITH {_POS},
+k AS (SELECT c_mktsegment, any_value(n) // 2 AS least, (any_value(n) - any_value(n) // 2) // 3 AS size FROM x GROUP BY 1),
+fo AS (SELECT c_mktsegment, f, least + f * size AS cut, size FROM k CROSS JOIN range(3) r(f) WHERE size > 0),
+tr AS (SELECT c_mktsegment, f, cut, date, isodow(date) AS dow, CAST(pos AS DOUBLE) AS t, daily_sales AS y FROM x JOIN fo USING (c_mktsegment) WHERE pos < cut),
+m AS (SELECT c_mktsegment, f, count(*) AS n, avg(t) AS mt, avg(y) AS my, var_pop(t) AS vt, covar_pop(t, y) AS cty, max(date) AS last FROM tr GROUP BY 1, 2),
+d AS (SELECT c_mktsegment, f, dow, count(*) / n AS s, sum(t - mt) / n AS ct, sum(y - my) / n AS cy
+      FROM tr JOIN m USING (c_mktsegment, f) GROUP BY 1, 2, 3, n),
+c(trial, by_dow, alpha, params) AS (VALUES {_TRIALS}),
+g AS (SELECT c_mktsegment, f, trial, dow, by_dow, alpha, n, mt, my, vt, cty, s, ct, cy, alpha / n AS w,
+             CASE WHEN alpha > 0 THEN 1 / (1 - s) + alpha / n END AS a, sqrt(s * (1 - s)) AS sd, sqrt(s / (1 - s)) AS u
+      FROM m JOIN d USING (c_mktsegment, f) CROSS JOIN c),
+q AS (SELECT *, ct / (sd * sqrt(vt)) AS gt, cy / sd AS gy FROM g),
+t AS (SELECT c_mktsegment, f, trial, any_value(by_dow) AS by_dow, any_value(alpha) AS alpha, any_value(w) AS w, any_value(vt) AS vt,
+             any_value(cty) AS cty, 1 - sum(u * u / a) AS z, sum(u * gt / a) AS pt, sum(u * gy / a) AS py, sum(gt * gt / a) AS tt,
+             sum(gt * gy / a) AS ty, sum(ct * cy / s) AS wy, sum(ct * ct / s) AS wt FROM q GROUP BY 1, 2, 3),
+b AS (SELECT *, CASE WHEN NOT by_dow THEN cty / vt / (1 + w) WHEN alpha = 0 THEN (cty - wy) / (vt - wt)
+                ELSE (cty / sqrt(vt) - ty - pt * py / z) / (1 + w - tt - pt * pt / z) / sqrt(vt) END AS slope FROM t),
+e AS (SELECT q.*, slope, CASE WHEN NOT q.by_dow THEN 0 WHEN q.alpha = 0 THEN cy / s - slope * ct / s
+                ELSE ((gy - gt * slope * sqrt(q.vt)) / a + u / a * (py - pt * slope * sqrt(q.vt)) / z) / sd END AS effect
+      FROM q JOIN b USING (c_mktsegment, f, trial)),
+o AS (SELECT c_mktsegment, f, trial, sum(s * effect) AS middle FROM e GROUP BY 1, 2, 3),
+v AS (SELECT c_mktsegment, f, trial, daily_sales AS y, greatest(e.my + slope * (e.n + (x.date - last) - 1 - e.mt) + effect - middle, 0) AS predicted
+      FROM x JOIN fo USING (c_mktsegment) JOIN m USING (c_mktsegment, f) JOIN e USING (c_mktsegment, f) JOIN o USING (c_mktsegment, f, trial)
+      WHERE x.pos >= cut AND x.pos < cut + size AND e.dow = isodow(x.date)),
+r AS (SELECT c_mktsegment, f, trial, 100 * avg(abs((y - predicted) / y)) FILTER (y <> 0) AS mape FROM v GROUP BY 1, 2, 3),
+sc AS (SELECT c_mktsegment, trial, avg(mape) AS mape FROM r GROUP BY 1, 2),
+best AS (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY mape, trial) AS place FROM sc)
+SELECT c_mktsegment, CAST(trial AS BIGINT) AS trial, round(mape, 3) AS mape, params FROM best JOIN c USING (trial) WHERE place = 1"""
 ORACLES["linear_in_sample"] = _sql(_WEEKDAY, "c_mktsegment, date", {"actual": "actual", "predicted": "predicted"}, "f1_e", 2)
 ORACLES["ensemble_forecast"] = _sql(
     _BOTH, "c_mktsegment, f0.date, f0.day_number, 'ensemble' AS model", {c: f"0.75 * f0.{c} + 0.25 * f1.{c}" for c in _FC},

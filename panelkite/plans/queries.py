@@ -166,6 +166,19 @@ def csv_scan(spark, base):
         F.min("date").alias("first_date")), 2)
 
 
+@query
+def csv_corrupt_rows(spark, base):
+    """Lines with a field too many are kept whole beside the rows that fit their header."""
+    path = new_path(spark, "csv")
+    spend = F.when(F.col("o_orderkey") % 10 == 0, F.lit("5,7")).otherwise((F.col("o_orderkey") % 7).cast("string"))
+    lines = F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd"), "o_orderkey", spend)
+    whole = table(spark, base, "orders").select(lines.alias("date,daily_sales,marketing_spend"))
+    whole.write.option("header", True).option("sep", "\t").csv(path)
+    got = read_csv(spark, path, corrupt_column="line")
+    return show(got.groupBy("date", F.col("line").isNotNull().alias("is_corrupt")).agg(
+        F.count("*").alias("n"), F.sum("daily_sales").alias("sales"), F.max("line").alias("last_line")))
+
+
 @query
 def dedup_null_rows(spark, base):
     """A known value is kept before a missing one of the same date."""
@@ -350,6 +363,13 @@ def iqr_outliers_rows(spark, base):
     return show(quality.iqr_outliers(items, ["l_returnflag"], ["l_extendedprice", "l_quantity"]), 6)
 
 
+@query
+def iqr_outliers_sketched(spark, base):
+    """Quartiles from one pass of sketches, here finer than a rank of any group, so that SQL can say them."""
+    items = table(spark, base, "lineitem").select("l_returnflag", "l_extendedprice", "l_quantity")
+    return show(quality.iqr_outliers(items, ["l_returnflag"], ["l_extendedprice", "l_quantity"], accuracy=10_000_000), 6)
+
+
 @query
 def summary_statistics(spark, base):
     return show(quality.summary_statistics(raw_sales(spark, base), SEG).drop("total_columns"))
@@ -804,6 +824,19 @@ def seasonal_arima_forecast(spark, base):
     return show(arima.forecast(arima.fit(sales(spark, base), SEG), 30), 2)
 
 
+@query
+def arima_closed_forms(spark, base):
+    """Orders whose fit and forecast have a closed form: one autoregressive term, a drift, and last week's values."""
+    orders = {
+        "autoregression": {"p": 1, "d": 0, "q": 0, "trend": "c"},
+        "drift": {"p": 0, "d": 1, "q": 0, "trend": "c"},
+        "last_week": {"p": 0, "d": 0, "q": 0, "D": 1, "trend": "n"},
+    }
+    p = sales(spark, base)
+    made = [arima.forecast(arima.fit(p, SEG, params), 30).withColumn("model", F.lit(name)) for name, params in orders.items()]
+    return show(reduce(DataFrame.unionByName, made), 2)
+
+
 @query
 def boosted_trees_forecast(spark, base):
     fitted = trees.fit(sales(spark, base), SEG, trees.BOOSTED)
