@@ -5,10 +5,13 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelkite.config import DEFAULT, PanelConfig
@@ -16,7 +19,7 @@ from panelkite.functions.keys import join_series
 from panelkite.models import linear, trees
 from panelkite.models.base import Fitted
 from panelkite.models.registry import MODELS, resolve
-from panelkite.models.search import best_overall, best_params, horizon, score
+from panelkite.models.search import best_overall, best_params, score
 from panelkite.operators.metrics import align, rank_models, trainer_metrics
 from panelkite.operators.splits import simple_split, split_info
 from panelkite.session import written
@@ -68,13 +71,20 @@ def train_model(
             full = [spec.defaults | c | chosen for c in candidates]
             tuned = {"per_series": written(best_params(scores, keys, full).select(*keys, "params"), "tuned")}
     extra = {"curve": curve} if is_global else {}
-    fitted = _stored(spec.fit(train, keys, params=chosen, cfg=cfg, **extra, **tuned))
-    ahead = spec.forecast(fitted, horizon(train, test, keys, cfg), include_ci=False, limit=None)
+    steps = [
+        lambda: _stored(spec.fit(train, keys, params=chosen, cfg=cfg, **extra, **tuned)),
+        lambda: _horizon(split, keys, cfg),
+    ]
+    if train_on_full_data:
+        steps.append(lambda: _stored(spec.fit(df, keys, params=chosen, cfg=cfg, **tuned)))
+    # None needs another's result. Tree fits each keep a matrix and fill the cluster, so they go one after another.
+    fitted, days, *refit = [step() for step in steps] if is_global else _side_by_side(df.sparkSession, steps)
+    ahead = spec.forecast(fitted, days, include_ci=False, limit=None)
     actual = test.select(*keys, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).alias("actual"))
     tested = _prefixed(trainer_metrics(align(actual, ahead, keys), keys), keys, "test")
     learned = _prefixed(_train_metrics(train, fitted, cfg), keys, "train")
     if train_on_full_data:
-        final = _stored(spec.fit(df, keys, params=chosen, cfg=cfg, **tuned))
+        final = refit[0]
         final.importances = final.importances or fitted.importances
         final.curve = fitted.curve
     else:
@@ -99,6 +109,18 @@ def train_model(
     return Trained(final, run_id, runs)
 
 
+def _side_by_side(spark: SparkSession, steps: list[Callable[[], Any]]) -> list[Any]:
+    with ThreadPool(len(steps)) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda step: step()), steps, chunksize=1)
+
+
+def _horizon(split: DataFrame, keys: list[str], cfg: PanelConfig) -> int:
+    """Days from the end of training to the last test date, at most over all series."""
+    last = lambda role: F.max(F.when(F.col("role") == role, F.col(cfg.date_col)))
+    gaps = split.groupBy(*keys).agg(F.datediff(last("test"), last("train")).alias("gap"))
+    return max(int(gaps.agg(F.max("gap")).first()[0] or 1), 1)
+
+
 def _stored(fitted: Fitted) -> Fitted:
     """Keep the state in the shared folder, so that scoring and forecasting do not fit again."""
     if fitted.nodes is None:
