@@ -25,15 +25,22 @@ CHUNK = 1_000_000
 def features(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDERS) -> tuple[np.ndarray, np.ndarray]:
     """Hashed n-grams of all texts, and the offsets of each text's share.
 
-    Texts are lower-cased; digits, ASCII punctuation and white space count as one blank kind. Each text is framed
-    by blanks, so no n-gram spans two texts.
+    Texts are lower-cased; digits, ASCII punctuation and white space count as one blank kind. As many blanks as the
+    longest n-gram reaches ahead come before each text and one behind it, so none has a letter of another text.
     """
-    points = np.frombuffer((" " + "  ".join(texts).lower() + " ").encode("utf-32-le"), "<u4")
-    if sum(map(len, texts)) + 2 * len(texts) != len(points):  # lower-casing can change the length
+    ahead = max(orders) - 1
+    lead, end = " " * ahead, " " * ahead
+
+    def joined(parts: list[str]) -> str:
+        return lead + (" " + lead).join(parts) + " " + end
+
+    frame = ahead + 1
+    points = np.frombuffer(joined(texts).lower().encode("utf-32-le"), "<u4")
+    if sum(map(len, texts)) + frame * len(texts) + ahead != len(points):  # lower-casing can change the length
         texts = [t.lower() for t in texts]
-        points = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le"), "<u4")
+        points = np.frombuffer(joined(texts).encode("utf-32-le"), "<u4")
     points = np.where((points < 97) | ((points > 122) & (points < 170)), np.uint32(32), points)
-    sizes = np.array([len(t) + 2 for t in texts], np.int64)
+    sizes = np.array([len(t) + frame for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
     n, shift = len(points), np.uint32(32 - bits)
     out = np.empty((n, len(orders)), np.uint32)
@@ -44,7 +51,7 @@ def features(texts: list[str], bits: int = BITS, orders: tuple[int, ...] = ORDER
             code[: n - k] = (code[: n - k] ^ part) * np.uint32(0x85EBCA6B)
             code ^= code >> np.uint32(15)
         out[:, j] = (code * np.uint32(0xC2B2AE35)) >> shift
-    return out, begins
+    return out[: n - ahead], begins
 
 
 @dataclass(frozen=True)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import os
 import random
 import sys
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -265,6 +267,46 @@ def test_packing_plan_covers_every_rank(seed):
         assert at <= 50
 
 
+def plain_ngrams(text):
+    """The hashed n-grams of one text by itself, character by character."""
+    kinds = [ord(c) if ord(c) >= 97 and not 122 < ord(c) < 170 else 32 for c in text.lower()]
+    framed, out = [32, 32, *kinds, 32], Counter()
+    for at in range(len(framed)):
+        for order in langid.ORDERS:
+            code = 0x9E3779B1 * order & 0xFFFFFFFF
+            for k in range(order):
+                code = (code ^ (framed + [32, 32])[at + k]) * 0x85EBCA6B & 0xFFFFFFFF
+                code ^= code >> 15
+            out[(code * 0xC2B2AE35 & 0xFFFFFFFF) >> (32 - langid.BITS)] += 1
+    return out
+
+
+def test_language_equals_plain_bayes(spark):  # noqa: F811
+    """Predictions and scores of a naive Bayes in plain Python, whatever text lies next to a text."""
+    rng = random.Random(4)
+    draw = {"aa": "abcde fgh", "bb": "abcdk lmn", "cc": "çéüa bcß"}
+    rows = [(i, "".join(rng.choices(draw[x], k=rng.randint(1, 12))), x) for i, x in enumerate(rng.choices(list(draw), k=120))]
+    rows += [(200, "İSTANBUL ab", "aa"), (201, "ab İ", None), (202, "x", None)]
+    grams = {i: plain_ngrams(t) for i, t, _ in rows}
+    sums = {x: Counter() for x in sorted(draw)}
+    for i, _, x in rows:
+        if x and zlib.crc32(str(i).encode()) % 5:
+            sums[x].update(grams[i])
+    width = 1 << langid.BITS
+    total = {x: sum(c.values()) + langid.SMOOTHING * width for x, c in sums.items()}
+    want = {}
+    for i, text, _ in rows:
+        logs = {x: sum(n * math.log((sums[x][g] + langid.SMOOTHING) / total[x]) for g, n in grams[i].items()) for x in sums}
+        best = max(logs, key=logs.get)
+        want[i] = (best, 1 / sum(math.exp(v - logs[best]) for v in logs.values())) if any(map(str.isalpha, text)) else ("und", 0.0)
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    for order in (table.repartition(1), table.orderBy(F.desc("doc_id")).repartition(7)):
+        got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(order).collect()}
+        assert got.keys() == want.keys()
+        for i, (lang, score) in want.items():
+            assert got[i][0] == lang and abs(got[i][1] - score) < 1e-9, (i, got[i], want[i])
+
+
 def test_language(spark, empty):  # noqa: F811
     rng = random.Random(1)
     draw = {"aa": "abcde fgh", "bb": "klmno pqr", "cc": "çéüß ñöà"}
