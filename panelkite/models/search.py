@@ -17,7 +17,6 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.storagelevel import StorageLevel
 
 from panelkite.config import DEFAULT, PanelConfig
 from panelkite.models import arima, decomposable, linear, trees
@@ -130,7 +129,7 @@ def _score_global(
     days = horizon(train, valid, by_fold, cfg)
     actual = valid.select(*by_fold, F.col(cfg.date_col).alias("date"), F.col(cfg.target_col).alias("actual"))
     tails = written(trees.tails(train, by_fold, cfg), "tails")
-    matrix = trees.assemble(trees.lag_matrix(train, by_fold, cfg), cfg.target_col).persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = trees.keep(trees.assemble(trees.lag_matrix(train, by_fold, cfg), cfg.target_col), by_fold)
     failures: list[Exception] = []
 
     def one(trial: int, fold: int) -> DataFrame:

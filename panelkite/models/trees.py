@@ -7,6 +7,7 @@ values, and one Arrow pass rolls every series of a batch forward through the who
 
 from __future__ import annotations
 
+from math import ceil
 from typing import Any
 
 import numpy as np
@@ -49,6 +50,8 @@ FEATURES = (
 # Forest sizes at which the learning curve is read.
 CURVE_SIZES = (10, 25, 50, 75, 100, 150, 200)
 HOLDOUT = 0.2
+# Partitions of a kept matrix follow its rows from this number of partitions on.
+FIT_ROWS, FIT_PARTITIONS = 20_000, 16
 
 
 def lag_matrix(df: DataFrame, keys: list[str], cfg: PanelConfig = DEFAULT) -> DataFrame:
@@ -80,6 +83,25 @@ def assemble(matrix: DataFrame, target: str) -> DataFrame:
     )
 
 
+def keep(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The assembled rows, kept for the fits in as many partitions as they fill, one series in one, in order of date.
+
+    Every level of every tree is a job over all partitions, so empty ones of the session's shuffle cost more than the rows. A session
+    of few partitions keeps its own. Subsamples are drawn by partition, so the number must not hang on the cluster.
+    """
+    kept = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not keys or session <= FIT_PARTITIONS:
+        return kept
+    try:
+        parts = min(session, max(FIT_PARTITIONS, ceil(kept.count() / FIT_ROWS)))
+        packed = kept.repartition(parts, *keys).sortWithinPartitions(*keys, "date").persist(StorageLevel.MEMORY_AND_DISK)
+        packed.count()
+    finally:
+        kept.unpersist()
+    return packed
+
+
 def _estimator(model: str, p: dict[str, Any], target: str):
     if model == BOOSTED:
         return GBTRegressor(
@@ -137,7 +159,7 @@ def fit(
     """
     p = DEFAULTS[model] | (params or {})
     target, spark = cfg.target_col, df.sparkSession
-    rows = assemble(lag_matrix(df, keys, cfg), target).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = keep(assemble(lag_matrix(df, keys, cfg), target), keys)
     learning = None
     try:
         trained, honest, rounds = fit_rows(rows, model, p, target, curve)

@@ -501,3 +501,21 @@ def test_single_series_without_keys(spark):
     for name in ("linear_trend", "decomposable", "seasonal_arima"):
         got = rows_of(resolve(name).forecast(resolve(name).fit(one, []), 3), "date")
         assert len(got) == 3, name
+
+
+def test_kept_matrix_has_partitions_by_its_rows_and_not_by_the_session(spark):
+    """Every level of a tree runs over all partitions: a session of many must not make the fit of a small panel longer."""
+    df, _ = trend_panel(spark, 60, noise=5.0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    made = []
+    try:
+        for session in (40, 90):
+            spark.conf.set("spark.sql.shuffle.partitions", session)
+            rows = trees.assemble(trees.lag_matrix(df, K), "daily_sales")
+            kept = trees.keep(rows, K)
+            assert kept.rdd.getNumPartitions() == trees.FIT_PARTITIONS
+            made.append([[(*[r[k] for k in K], r["date"]) for r in part] for part in kept.rdd.glom().collect()])
+            kept.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert made[0] == made[1] and all(part == sorted(part) for part in made[0]) and sum(map(len, made[0])) == rows.count()
