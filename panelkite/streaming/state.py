@@ -7,10 +7,13 @@ the checkpoint of the query, a batch reads and writes the state of its own entit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
 from typing import Any
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +21,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from panelkite.operators.sessions import HISTORY_LENGTH, SESSION_GAP_SECONDS, STALE_SECONDS
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
+CHUNK_ROWS = 100_000  # of an entity and one batch held at a time
+NEVER = -(2**63)
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -73,76 +78,70 @@ def newest_items(
 class Silence(StatefulProcessor):
     """Emits an entity once when it turns stale and once when it expires, as the watermark passes.
 
-    Events fall into slots as long as the shorter limit; rows of one slot are never further apart than the limit, so a slot
-    keeps its first and last time only, and whether its silence was called stale. A timer stands at the next time that needs
-    a look; it settles all that the watermark has passed, and drops slots that may have expired, so the state of an entity
-    is bounded by the limits and the lateness.
+    Events no further apart than the shorter limit make one span, of which only the first and last time are kept. All spans of an
+    entity are one value, read and written once a batch, with the watermark up to which silences were called stale. A timer stands
+    at the next time that needs a look; it settles all that the watermark has passed, and drops spans that may have expired, so
+    the state of an entity is bounded by the limits and the lateness.
     """
 
-    def __init__(self, by: T.StructType, stale: int, expired: int):
-        self.by, self.stale, self.expired = by, stale * 1_000_000, expired * 1_000_000
+    def __init__(self, names: list[str], stale: int, expired: int):
+        self.made, self.stale, self.expired = Row(*names), stale * 1_000_000, expired * 1_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "first long, last long, stale boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        spans: dict[int, tuple[int, int]] = {}
-        for part in rows:
-            t = part.iloc[:, -1].astype("int64")  # by place, as the engine may rename a computed column
-            times = t.groupby(t // self.stale).agg(["min", "max"])
-            for slot, low, high in times.itertuples():
-                first, last = spans.get(slot, (low, high))
-                spans[slot] = min(first, int(low)), max(last, int(high))
-        for slot, (first, last) in spans.items():
-            if self.slots.containsKey((int(slot),)):
-                old = self.slots.getValue((int(slot),))
-                first, last = min(first, old[0]), max(last, old[1])
-            self.slots.updateValue((int(slot),), (int(first), int(last), False))
-        self._look_at(last + self.stale for _, last in spans.values())
-        yield self._made(key, [])
-
-    def _look_at(self, times) -> None:
-        """A timer for the earliest of these; timers have milliseconds, so at the first one not before it."""
-        due = min(times, default=None)
-        if due is not None:
-            self.handle.registerTimer(int(-(-due // 1000)))
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.spans = handle.getValueState("spans", "first array<long>, last array<long>, looked long")
+
+    def _read(self) -> tuple[np.ndarray, np.ndarray, int]:
+        held = self.spans.get()
+        if held is None:
+            return np.empty(0, "int64"), np.empty(0, "int64"), NEVER
+        return np.array(held[0], "int64"), np.array(held[1], "int64"), int(held[2])
+
+    def _merged(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans no further apart than the shorter limit become one."""
+        order = np.argsort(first, kind="stable")
+        first, last = first[order], np.maximum.accumulate(last[order])
+        apart = first[1:] > last[:-1] + self.stale
+        return first[np.append(True, apart)], last[np.append(apart, True)]
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        first, last, looked = self._read()
+        while len(t := np.fromiter((r["micros"] for r in islice(rows, CHUNK_ROWS)), "int64")):
+            first, last = self._merged(np.append(first, t), np.append(last, t))
+        self.spans.update((first.tolist(), last.tolist(), looked))
+        self._look_at(last, looked)
+        return iter(())
+
+    def _look_at(self, last: np.ndarray, looked: int) -> None:
+        """A timer for the next time that needs a look; timers have milliseconds, so at the first one not before it."""
+        due = int(np.where(last + self.stale > looked, last + self.stale, last + self.expired).min())
+        self.handle.registerTimer(-(-due // 1000))
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
+        first, last, looked = self._read()
+        if not len(last):  # settled by an earlier timer
+            return
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        spans = sorted((int(s[0]), int(v[0]), int(v[1]), bool(v[2])) for s, v in self.slots.iterator())
-        out, ahead = [], []
-        for i, (slot, first, last, called) in enumerate(spans):
-            following = spans[i + 1][1] if i + 1 < len(spans) else None
-
-            def is_silent(limit: int) -> bool:
-                return following is None or following > last + limit
-
-            if last + self.stale <= passed and not called:
-                if is_silent(self.stale):
-                    out.append(("stale", last, last + self.stale))
-                self.slots.updateValue((slot,), (first, last, True))
-            elif not called:
-                ahead.append(last + self.stale)
-            if last + self.expired <= passed:
-                if is_silent(self.expired):
-                    out.append(("expired", last, last + self.expired))
-                self.slots.removeKey((slot,))
-            else:
-                ahead.append(last + self.expired)
-        self._look_at(ahead)
-        yield self._made(key, out)
-
-    def _made(self, key: Any, out: list[tuple[str, int, int]]) -> pd.DataFrame:
-        made = pd.DataFrame(out, columns=["status", "last_micros", "at_micros"]).astype({"status": object, "last_micros": "int64", "at_micros": "int64"})
-        for field, value in zip(self.by.fields, key):
-            made.insert(0, field.name, pd.Series([value] * len(made), dtype=object if len(made) == 0 else None))
-        return made
+        called = (last + self.stale <= passed) & (last + self.stale > looked)
+        over = last + self.expired <= passed
+        silent = np.append(first[1:] > last[:-1] + self.expired, True)
+        if over.all():
+            self.spans.clear()
+        else:
+            left = last[~over]
+            self.spans.update((first[~over].tolist(), left.tolist(), passed))
+            self._look_at(left, passed)
+        yield self.made(*key, last[called].tolist(), last[over & silent].tolist())
 
     def close(self) -> None:
         pass
 
 
+def _silence(status: str, seconds: int, last: Column) -> Column:
+    at = F.timestamp_micros(last + seconds * 1_000_000)
+    return F.struct(F.lit(status).alias("status"), F.timestamp_micros(last).alias("last_seen"), at.alias("at"))
+
+
 def silent_entities(
     events: DataFrame, by: list[str], ts: str = "ts", stale_seconds: int = STALE_SECONDS, timeout_seconds: int = SESSION_GAP_SECONDS,
     late: str = "1 day",
@@ -155,10 +154,12 @@ def silent_entities(
     if not 0 < stale_seconds <= timeout_seconds:
         raise ValueError("the stale limit must lie above 0 and not above the timeout")
     use_state_store(events.sparkSession)
-    rows = events.withWatermark(ts, late).select(*by, ts, F.unix_micros(F.col(ts)).alias("micros"))
-    keys = T.StructType(_fields(events, by))
-    schema = T.StructType([*reversed(keys.fields), T.StructField("status", T.StringType()), T.StructField("last_micros", T.LongType()),
-                           T.StructField("at_micros", T.LongType())])
-    made = rows.groupBy(*by).transformWithStateInPandas(
-        Silence(keys, stale_seconds, timeout_seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
-    return made.select(*by, "status", F.timestamp_micros("last_micros").alias("last_seen"), F.timestamp_micros("at_micros").alias("at"))
+    rows = events.withWatermark(ts, late).filter(F.col(ts).isNotNull()).select(*by, ts, F.unix_micros(F.col(ts)).alias("micros"))
+    # One row an entity and look, and not one a silence, comes out of the processor.
+    times = T.ArrayType(T.LongType())
+    schema = T.StructType([*_fields(events, by), T.StructField("stale", times), T.StructField("expired", times)])
+    made = rows.groupBy(*by).transformWithState(
+        Silence(schema.names, stale_seconds, timeout_seconds), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    limits = (("stale", stale_seconds), ("expired", timeout_seconds))
+    silences = [F.transform(status, partial(_silence, status, seconds)) for status, seconds in limits]
+    return made.select(*by, F.inline(F.concat(*silences)))

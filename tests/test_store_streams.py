@@ -246,6 +246,46 @@ def test_silences_are_emitted_once_and_survive_a_restart(spark, folder):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_silences_hold_every_row_against_the_watermark(spark, folder):
+    """A gap of exactly the limit is no silence, and rows a little late undo none."""
+    day, out, mark = 86_400, f"{folder}/out", f"{folder}/mark"
+    event_files(spark, folder, [[(1, 0, 7, 0.0), (2, 600, 7, 0.0), (3, 600, 7, 0.0), (4, 1201, 7, 0.0), (5, day + 1801, 8, 0.0), (9, None, 7, 0.0)]])
+    raw = spark.readStream.schema(EVENTS).option("recursiveFileLookup", True).parquet(f"{folder}/in")
+    got = lambda: sorted((r["user_id"], r["status"], int(r["last_seen"].timestamp()), int(r["at"].timestamp()))
+                         for r in spark.read.parquet(out).collect())
+    run = lambda: stream.run_available(state.silent_entities(raw, ["user_id"], stale_seconds=600, timeout_seconds=3600), out, mark)
+    run()
+    assert got() == [(7, "stale", 600, 1200), (7, "stale", 1201, 1801)]
+    # The watermark stands at 1801: a row at 1300 is dropped, though it lies within the limit; the other moves the watermark on.
+    more = spark.createDataFrame([(6, 1300, 7, 0.0), (7, day + 9000, 8, 0.0)], "event_id long, t long, user_id long, value double")
+    more.select("event_id", F.timestamp_seconds("t").alias("ts"), "user_id", "value").coalesce(1).write.parquet(f"{folder}/in/b1")
+    run()
+    assert got() == [(7, "expired", 1201, 4801), (7, "stale", 600, 1200), (7, "stale", 1201, 1801)]
+
+
+def test_silences_touch_the_state_of_an_entity_once_a_batch():
+    """The calls between the worker and the state store do not grow with the events of an entity."""
+    from types import SimpleNamespace
+
+    calls, held = [], {}
+
+    class Value:
+        get = staticmethod(lambda: calls.append("get") or held.get("v"))
+        update = staticmethod(lambda v: calls.append("update") or held.update(v=v))
+        clear = staticmethod(lambda: calls.append("clear") or held.clear())
+
+    handle = SimpleNamespace(getValueState=lambda *_: Value, registerTimer=lambda ms: calls.append(("timer", ms)))
+    processor = state.Silence(["user_id", "stale", "expired"], 300, 3600)
+    processor.init(handle)
+    times = [i * 400 * 1_000_000 for i in range(50)]
+    assert list(processor.handleInputRows((1,), iter([{"micros": t} for t in reversed(times)]), None)) == []
+    assert calls == ["get", "update", ("timer", 300_000)]
+    watermark = SimpleNamespace(getCurrentWatermarkInMs=lambda: 10**9)
+    (made,) = processor.handleExpiredTimer((1,), watermark, None)
+    assert made.user_id == 1 and made.stale == times and made.expired == times[-1:]
+    assert calls[3:] == ["get", "clear"] and list(processor.handleExpiredTimer((1,), watermark, None)) == []
+
+
 def test_csv_intake_rejects_and_resumes(spark, folder):
     import os
     os.makedirs(f"{folder}/in")
