@@ -21,7 +21,13 @@ SHARD_ROWS = 8192
 QUERY_ROWS = 1024
 K = 5
 SCALE = 256.0
-SMALL_BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "4"}  # rows of a shard are megabytes
+# Rows of a shard are megabytes: few of them at once are read, sent to Python, or held outside the memory that Spark manages.
+LARGE_ROWS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4",
+    "spark.sql.parquet.columnarReaderBatchSize": "4",
+    "spark.sql.cartesianProductExec.buffer.in.memory.threshold": "4",
+    "spark.sql.files.openCostInBytes": "1m",  # more of the small files in a task, so fewer pairs of partitions
+}
 PACKED = "shard int, n int, width int, ids binary, cells binary"
 
 
@@ -116,8 +122,11 @@ class Best:
 
 
 def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int,
-           block: int = BLOCK_ROWS) -> tuple[Best, int]:
-    """The best k of one shard for each query, and the number of (query, block) pairs that were scored."""
+           block: int = BLOCK_ROWS, best: Best | None = None) -> tuple[Best, int]:
+    """The best k of one shard for each query, and the number of (query, block) pairs that were scored.
+
+    ``best`` holds what other shards gave the same queries; the shard is added to it.
+    """
     width = min(queries.shape[1], vectors.shape[1])
     edges = np.arange(0, len(ids), block)
     highest = np.maximum.reduceat(vectors[:, :width], edges, axis=0)
@@ -125,7 +134,8 @@ def search(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors:
     own = queries[:, :width]
     bound = np.maximum(own, 0) @ highest.T + np.minimum(own, 0) @ lowest.T
     bound += np.abs(bound) * 1e-12  # above any rounding of the sums
-    best = Best(len(query_ids), k)
+    if best is None:
+        best = Best(len(query_ids), k)
     scored = 0
     for b in np.argsort(-bound.max(axis=0), kind="stable"):
         # Longs below the k-th score as doubles stay below it, so no tie is lost.
@@ -147,8 +157,9 @@ def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, id_col: str =
 
     Rows with a null id, a null vector or a null or non-finite component take no part. A query never meets rows of
     its own id; a query id with several vectors asks with the smallest one. Vectors of different width meet in the
-    components they share. Ties go to the smaller id. Queries meet the shards in blocks of queries by shards; what a
-    task holds is one block of queries and one shard.
+    components they share. Ties go to the smaller id. Every block of queries meets every shard in a product of two stored
+    tables: a task reads a few files of each, and neither is broadcast or shuffled. What a task holds is one shard, the
+    blocks of its files, which spill, and the best rows of these.
     """
     rows = usable(vectors, id_col, vec_col)
     asked = usable(vectors.filter(is_query), id_col, vec_col).groupBy("vec_id").agg(F.min("cells").alias("cells"))
@@ -156,24 +167,26 @@ def top_k(vectors: DataFrame, is_query: Column, scratch: Scratch, id_col: str =
     shards = max(1, -(-n // SHARD_ROWS))
     stored = scratch.write(packed(rows, shards, SHARD_ROWS), "shards")
     blocks = scratch.write(packed(asked, max(1, -(-n // (50 * QUERY_ROWS))), QUERY_ROWS), "queries")
-    # Every block of queries is sent once to every shard.
-    last = stored.agg(F.max("shard")).first()[0]
-    every = F.explode(F.sequence(F.lit(0), F.lit(0 if last is None else last)))
-    visits = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "cells")], every.alias("shard"))
+    # As an equi-join on copies of the blocks, the copies, estimated as small as the blocks, would be broadcast by the driver.
+    asking = blocks.select(*[F.col(c).alias(f"q_{c}") for c in ("n", "width", "ids", "cells")])
+    visits = stored.hint("shuffle_replicate_nl").crossJoin(asking)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, Best]] = {}  # by the ids of a block, which no other block has
         for batch in batches:
             for row in batch.to_pylist():
                 query_ids, queries = unpack(row["q_ids"], row["q_cells"], row["q_n"], row["q_width"])
                 ids, cells = unpack(row["ids"], row["cells"], row["n"], row["width"])
-                best, _ = search(query_ids, queries, ids, cells, k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids[best.query]), pa.array(best.ids), pa.array(best.score)],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    found = visits.join(stored, "shard").mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-    local = scratch.write(found, "local-best", SMALL_BATCH)
+                _, so_far = best.get(row["q_ids"], (None, None))
+                best[row["q_ids"]] = query_ids, search(query_ids, queries, ids, cells, k, best=so_far)[0]
+        for query_ids, kept in best.values():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(query_ids[kept.query]), pa.array(kept.ids), pa.array(kept.score)],
+                names=["query_id", "vec_id", "score"],
+            )
+
+    found = visits.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
+    local = scratch.write(found, "local-best", LARGE_ROWS)
     scratch.close(local)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -225,6 +225,28 @@ def test_top_k(spark):  # noqa: F811
     assert scored < 4000 / topk.BLOCK_ROWS / 2  # most blocks are never scored
 
 
+def test_top_k_sends_no_queries_through_the_driver(spark):  # noqa: F811
+    """A block of queries goes to every shard: copies that pass for a small table must not be broadcast, nor be shuffled."""
+    plans = []
+
+    class Watched(Scratch):
+        def write(self, df, name="llm", conf=None):
+            if name == "local-best":
+                plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df, name, conf)
+
+    rng = np.random.default_rng(4)
+    table = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(300)], "vec_id bigint, embedding array<double>")
+    old = topk.SHARD_ROWS, topk.QUERY_ROWS
+    topk.SHARD_ROWS, topk.QUERY_ROWS = 50, 2
+    try:
+        got = topk.top_k(table, F.col("vec_id") % 50 == 0, Watched(spark)).collect()
+    finally:
+        topk.SHARD_ROWS, topk.QUERY_ROWS = old
+    assert len(got) == 6 * 5 and len(plans) == 1
+    assert "Broadcast" not in plans[0] and "Exchange" not in plans[0]
+
+
 def test_packing(spark, docs, empty):  # noqa: F811
     encoder = Encoder(default_path())
     for capacity in (2048, 100):
