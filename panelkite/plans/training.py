@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -153,11 +154,13 @@ def train_all(
     params: dict[str, dict[str, Any]] | None = None,
     model_dir: str | None = None,
     cfg: PanelConfig = DEFAULT,
+    needs_all: bool = False,
 ) -> tuple[dict[str, Trained], DataFrame, dict[str, str]]:
     """Train the models one after another, each distributed, and rank them per series by test error.
 
     The panel is written once and every fit reads the copy. Returns the trained models, the ranked
-    comparison, and the message of every model that failed.
+    comparison, and the message of every model that failed; a warning names those that the comparison
+    lacks. With ``needs_all`` the first failure ends the training, and nothing is ranked or stored.
     """
     df = written(df, "panel")
     out: dict[str, Trained] = {}
@@ -168,9 +171,13 @@ def train_all(
                 df, keys, name, n_trials, test_size, train_on_full_data, (params or {}).get(name),
                 model_dir=model_dir, cfg=cfg)
         except Exception as error:  # noqa: BLE001 - one model's failure must not stop the others
+            if needs_all:
+                raise RuntimeError(f"{name} could not be trained, so the models cannot be ranked") from error
             failed[name] = f"{type(error).__name__}: {str(error)[:300]}"
     if not out:
         raise RuntimeError(f"no model could be trained: {failed}")
+    if failed:
+        warnings.warn(f"the comparison lacks models that could not be trained: {failed}", RuntimeWarning, stacklevel=2)
     runs = None
     for t in out.values():
         runs = t.runs if runs is None else runs.unionByName(t.runs)

@@ -15,6 +15,7 @@ from panelkite.models.base import Fitted, robust_sigma
 from panelkite.models.ensemble import ensemble
 from panelkite.operators.splits import walk_forward_split
 from panelkite.models.registry import MODELS, fit_models, forecast_all, resolve, sample_params
+from panelkite.plans import queries, training
 from panelkite.plans.forecasting import request_forecast, response
 from panelkite.plans.training import train_all
 
@@ -495,6 +496,26 @@ def test_failed_model_is_reported(spark):
     assert list(failed) == ["nonesuch"] and ranked.count() == 2
 
 
+def test_ranking_of_all_models_fails_with_any_of_them(spark, monkeypatch):
+    """A model whose training breaks must not be left out of a ranking that says it has all models."""
+    df, _ = trend_panel(spark, 60)
+    train_model = training.train_model
+
+    def breaking(panel, keys, name, *args, **options):
+        if name != "linear_trend":
+            raise OSError(f"{name}: no space left on device")
+        return train_model(panel, keys, name, *args, **options)
+
+    monkeypatch.setattr(training, "train_model", breaking)
+    monkeypatch.setattr(queries, "sales", lambda spark, base: df.withColumnRenamed("series_id", "c_mktsegment"))
+    with pytest.raises(RuntimeError, match="could not be trained") as caught:
+        queries.ranked_backtest(spark, "").count()
+    assert isinstance(caught.value.__cause__, OSError)
+    with pytest.warns(RuntimeWarning, match="random_forest"):
+        _, ranked, failed = train_all(df, K, ["linear_trend", "random_forest"], train_on_full_data=False)
+    assert list(failed) == ["random_forest"] and ranked.count() == 2
+
+
 def test_single_series_without_keys(spark):
     df, _ = trend_panel(spark, 150, keys=("a",))
     one = df.drop("series_id")
